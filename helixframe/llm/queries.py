@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, token_blocks
+from . import hilbert, packing, secrets, token_blocks, toxicity
 from .common import shared_dir
 
 
@@ -32,8 +32,28 @@ def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
+def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: fixed patterns, and strings of high entropy."""
+    return secrets.find_secrets(_documents(spark, sf_dir))
+
+
+def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels that aren't held out."""
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 16 shards of equal row counts, cut from the Hilbert order of size, language and source."""
+    out = hilbert.document_shards(_documents(spark, sf_dir), shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_blocks": op1_token_blocks, "op2_nnls_packing": op2_nnls_packing}
+    found = (op1_token_blocks, op2_nnls_packing, op4_entropy_secrets, op9_subword_toxicity, op10_hilbert_shards)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
