@@ -160,12 +160,14 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             row = {"shard": shard, "segment": n, "first_id": first, "n_ids": n_held, "n_docs": len(held), "payload": segment(held, block, percentile)}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int32()), ("payload", pa.binary())]))
 
-        for doc_id, text in table_rows(batches, "doc_id", "text"):
-            held.append((doc_id, encode.ids(text) + end))
-            n_held += len(held[-1][1]) // 4
-            if n_held >= segment_ids:
-                yield out()
-                first, n, held, n_held = first + n_held, n + 1, [], 0
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.many(texts)):
+                held.append((doc_id, ids + end))
+                n_held += len(ids) // 4 + 1
+                if n_held >= segment_ids:
+                    yield out()
+                    first, n, held, n_held = first + n_held, n + 1, [], 0
         if held:
             yield out()
 

@@ -1,26 +1,41 @@
-"""Encoding whole texts with the tokenizers library, piece by piece.
+"""Encoding whole texts with the tokenizers library, each distinct piece of a batch once.
 
-A text is cut where no token can reach across, each piece is encoded by the library, and the ids of recent pieces are kept
-as bytes. The ids equal those of encoding the text at once (see tests/llm/test_tokens.py), at several times the speed.
+A text is cut where no token can reach across. The pieces of a batch are dictionary-encoded by Arrow, the library encodes
+the distinct ones, and numpy lays their ids out again. Pieces of letters are one pre-token each and go straight to the
+library's BPE model; all others take its whole path of normaliser, pre-tokenizer and model. The ids equal those of encoding
+the texts at once (tests/llm/test_tokens.py), at several times the speed.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import Bounded
+#: ASCII signs that end a run of letters; not the apostrophe, which starts contractions.
+_SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+_TABLE: dict[int, str] = {}
 
-_OTHER_SPACE = str.maketrans("\t\n\x0b\f\r", "     ")
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character for each byte in byte-level vocabularies: itself, or the next of those from U+0100 on."""
+    if not _TABLE:
+        keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        other = iter(range(0x100, 0x200))
+        _TABLE.update({b: chr(b if b in keep else next(other)) for b in range(256)})
+    return _TABLE
 
 
 class Encoder:
-    """ids(text): the ids of a whole text as little-endian unsigned 32-bit integers.
+    """many(texts): the ids of whole texts, little-endian unsigned 32-bit integers.
 
     Special tokens' strings in a text are ordinary text. For vocabularies whose normaliser drops white space, texts are cut
     at ASCII white space; for byte-level ones in front of a blank that follows another character than white space.
-    A full stop or comma that ends a piece after a letter is encoded by itself, which both kinds of vocabulary do anyway.
+    Signs that end a piece after letters are a pre-token of their own in both kinds, so they are encoded by themselves.
     """
 
     def __init__(self, path: str, limit: int = 1 << 19):
@@ -29,36 +44,113 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.byte_level = self.tokenizer.normalizer is None
-        self.first = Bounded(self._ids, limit >> 4)
-        self.rest = Bounded(self._ids if not self.byte_level else lambda p: self._ids(" " + p), limit)
+        self.blank = " " if self.byte_level else ""
+        self.limit = limit
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
 
     def _encode(self, piece: str) -> bytes:
         return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _ids(self, piece: str) -> bytes:
-        if len(piece) > 2 and piece[-1] in ".," and piece[-2].isalpha():
-            return self._encode(piece[:-1]) + self._encode(piece[-1])
-        return self._encode(piece)
+    def _letters(self, word: str) -> bytes:
+        """The ids of a piece of letters, behind the blank that the cut took."""
+        if word.isascii():
+            piece = f"\u0120{word}" if self.byte_level else word.lower()
+        else:
+            piece = f" {word}" if self.byte_level else self.tokenizer.normalizer.normalize_str(word)
+            if not self.byte_level and not piece.isalpha():
+                return self._encode(word)
+            piece = piece.encode().decode("latin-1").translate(_byte_chars())
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, each behind the blank that the cut took."""
+        if len(self.known) > self.limit:  # two generations: a piece that is still in use moves to the new one
+            self.known, self.older = {}, self.known
+        known, letters, stops = self.known, self._word, self.stops
+        out = list(map(known.get, words))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            w = words[k]
+            if w.isalpha():
+                out[k] = letters(w)
+            elif (base := w.rstrip(_SIGNS)) != w and base.isalpha():
+                out[k] = letters(base) + (stops.get(w[len(base) :]) or self._stop(w[len(base) :]))
+            else:
+                out[k] = self._encode(self.blank + w)
+        return out
+
+    def _stop(self, signs: str) -> bytes:
+        if len(self.stops) > 1 << 12:
+            self.stops.clear()
+        ids = self.stops[signs] = self._encode(signs)
+        return ids
+
+    def _word(self, w: str) -> bytes:
+        ids = self.known.get(w)
+        if ids is None:
+            ids = self.older.get(w) or self._letters(w)
+            if len(w) <= 64:
+                self.known[w] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
-        if not self.byte_level:
-            rest = self.rest
-            return b"".join([rest[p] for p in text.translate(_OTHER_SPACE).split(" ") if p])
-        if not text:
-            return b""
-        pieces = text.split(" ")
-        if "" in pieces or any(p[-1].isspace() for p in pieces):
-            pieces = _joined(pieces)
-        rest = self.rest
-        return self.first[pieces[0]] + b"".join([rest[p] for p in pieces[1:]])
+        return self.many([text])[0]
+
+    def many(self, texts: list[str] | pa.Array, most: int = 1 << 24) -> list[bytes]:
+        """A value per text; texts are taken some `most` bytes at a time."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        texts = texts.cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        out, at = [], 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            out += self._slice(texts[at:to])
+            at = to
+        return out
+
+    def _slice(self, texts: pa.Array) -> list[bytes]:
+        if self.byte_level:
+            cut = pc.split_pattern(texts, " ")
+            odd = pc.match_substring_regex(texts, r"[\s\v\p{Z}\x85\x1c-\x1f] |[\s\v\p{Z}\x85\x1c-\x1f]$|^ |[\s\v\p{Z}\x85\x1c-\x1f]\z")
+        else:
+            cut, odd = pc.ascii_split_whitespace(texts), None
+        sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        pieces = cut.flatten()
+        if odd is not None and pc.any(odd).as_py():
+            rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            more = [_joined(texts[int(k)].as_py().split(" ")) for k in rows]
+            sizes[rows] = [len(m) for m in more]
+            starts[rows] = len(pieces) + np.cumsum(sizes[rows]) - sizes[rows]
+            pieces = pa.concat_arrays([pieces, pa.array(list(chain.from_iterable(more)), pieces.type)])
+        coded = pieces.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        made = self._learn(coded.dictionary.to_pylist())
+        if self.byte_level and len(starts):  # a text's first piece has no blank in front
+            heads = pieces.take(pa.array(starts)).dictionary_encode()
+            codes[starts] = len(made) + heads.indices.to_numpy(zero_copy_only=False)
+            made += [self._encode(h) for h in heads.dictionary.to_pylist()]
+        table = np.frombuffer(b"".join(made), dtype="<u4")
+        length = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        offset = np.cumsum(length) - length
+        # rows in their order, and their pieces in theirs
+        order = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        codes = codes[order]
+        n = length[codes]
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = table[np.repeat(offset[codes] - total[:-1], n) + np.arange(total[-1])].tobytes()
+        ends = (4 * total[np.cumsum(sizes)]).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _joined(pieces: list[str]) -> list[str]:
     """Pieces of which none but the last ends in white space: there the next blank belongs to a run of white space."""
-    out, open_ = [], ""
+    out, open_, hold = [], "", True
     for k, p in enumerate(pieces):
-        open_ = p if not k else f"{open_} {p}" if hold else p
+        open_ = f"{open_} {p}" if hold and k else p
         hold = not open_ or open_[-1].isspace()
         if not hold:
             out.append(open_)
@@ -69,7 +161,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder for the vocabulary file at path: its pieces stay for later tasks."""
+    """This worker's encoder for the vocabulary file at path: what it has learnt stays for later tasks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
