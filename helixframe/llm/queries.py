@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hilbert, packing, secrets, token_blocks, toxicity
+from . import hilbert, jaccard_join, packing, secrets, token_blocks, toxicity
 from .common import shared_dir
 
 
@@ -37,6 +37,11 @@ def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.jaccard_components(_documents(spark, sf_dir), k=5, percent=80)
+
+
 def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from the labels that aren't held out."""
     docs = _documents(spark, sf_dir)
@@ -52,7 +57,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_blocks, op2_nnls_packing, op4_entropy_secrets, op9_subword_toxicity, op10_hilbert_shards)
+    found = (op1_token_blocks, op2_nnls_packing, op4_entropy_secrets, op8_jaccard_join, op9_subword_toxicity, op10_hilbert_shards)
     return {f.__name__: f for f in found}
 
 
