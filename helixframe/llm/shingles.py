@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,21 +17,26 @@ def odd_constants(n: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts (A-Z lower-cased), and where each text's words begin.
+def bare(word: bytes) -> bytes:
+    """The word in lower case without signs; empty if it has no letter or digit."""
+    return "".join(c for c in word.decode().lower() if c.isalnum()).encode()
+
+
+def word_hashes(texts: pa.Array, normal: Callable[[bytes], bytes] = bytes.lower) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the normal forms of words `[^\\x20\\x09-\\x0D]+` of all texts, and where each text's words begin.
 
-    The second array has one entry more than texts; a null text has no words.
+    Words whose normal form is empty are left out. The second array has one entry more than texts; a null text has no words.
     """
     texts = texts.cast(pa.large_string())
     cut = pc.ascii_split_whitespace(texts)
     sizes = pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = cut.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    hashes = np.fromiter(map(xxh3_64_intdigest, map(bytes.lower, words) if lower else words), np.uint64, len(words))
+    words = list(map(normal, coded.dictionary.cast(pa.large_binary()).to_pylist()))
+    hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     codes = coded.indices.to_numpy(zero_copy_only=False)
     blank = np.fromiter((not w for w in words), bool, len(words))
     begins = np.concatenate(([0], np.cumsum(sizes)))
-    if blank.any():  # white space at an end of a text
+    if blank.any():
         real = ~blank[codes]
         begins = np.concatenate(([0], np.cumsum(real)))[begins]
         codes = codes[real]
