@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hilbert, jaccard_join, packing, secrets, token_blocks, toxicity
+from . import decontaminate, hilbert, jaccard_join, licenses, packing, quality, secrets, token_blocks, toxicity
 from .common import shared_dir
 
 
@@ -32,11 +32,26 @@ def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
+def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's canonical digest, the licence that it is, and the licence notices among its lines."""
+    return licenses.scan_licenses(_documents(spark, sf_dir))
+
+
 def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: fixed patterns, and strings of high entropy."""
     return secrets.find_secrets(_documents(spark, sf_dir))
 
 
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts of every document, and whether it survives the removal of its host's frequent lines."""
+    return quality.quality(_documents(spark, sf_dir))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy, exact or edited, of a benchmark item, with the passage."""
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return jaccard_join.jaccard_components(_documents(spark, sf_dir), k=5, percent=80)
@@ -57,9 +72,9 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_blocks, op2_nnls_packing, op4_entropy_secrets, op8_jaccard_join, op9_subword_toxicity, op10_hilbert_shards)
+    found = (op1_token_blocks, op2_nnls_packing, op3_license_digests, op4_entropy_secrets, op5_line_frequency, op6_decontaminate, op8_jaccard_join, op9_subword_toxicity, op10_hilbert_shards)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_digests": licenses.oracle(), "op5_line_frequency": quality.ORACLE}
