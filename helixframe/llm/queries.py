@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, hilbert, jaccard_join, licenses, packing, quality, secrets, token_blocks, toxicity
+from . import decontaminate, hilbert, jaccard_join, licenses, packing, quality, secrets, substring_dedup, token_blocks, toxicity
 from .common import shared_dir
 
 
@@ -52,6 +52,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in several documents, word for word or edited."""
+    return substring_dedup.repeated_passages(_documents(spark, sf_dir), k=5, least_words=50, percent=80)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return jaccard_join.jaccard_components(_documents(spark, sf_dir), k=5, percent=80)
@@ -72,7 +77,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_blocks, op2_nnls_packing, op3_license_digests, op4_entropy_secrets, op5_line_frequency, op6_decontaminate, op8_jaccard_join, op9_subword_toxicity, op10_hilbert_shards)
+    found = (op1_token_blocks, op2_nnls_packing, op3_license_digests, op4_entropy_secrets, op5_line_frequency, op6_decontaminate, op7_collinear_chains, op8_jaccard_join, op9_subword_toxicity, op10_hilbert_shards)
     return {f.__name__: f for f in found}
 
 
