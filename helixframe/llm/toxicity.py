@@ -171,10 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = 5, la
     return train([r["text"] for r in found], [r["y"] for r in found])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """A score from 0 to 1 for every whole text: doc_id, score, or with keep all columns of docs and score.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
+    """A score from 0 to 1 for every whole text: doc_id and score, or with keep all columns of docs and the score, called name.
 
-    Null, empty and wordless texts get the score of the bias. With keep, a column named score is replaced. Each row is scored by itself, so repeated rows and null ids
+    Null, empty and wordless texts get the score of the bias. With keep, a column of that name is replaced. Each row is scored by itself, so repeated rows and null ids
     are no matter; the model, of a fixed size, is all that a task needs.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -184,12 +184,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             out = [*batch.columns[:-1], pa.array([scorer(t) for t in texts], pa.float64())]
-            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], name])
 
-    kept = docs.drop("score").columns if keep else []
+    kept = docs.drop(name).columns if keep else []
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), *[F.col(f"`{id_col}`").alias("doc_id")] * (not keep), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("\x00text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, schema + ", `score` double")
+    return rows.mapInArrow(run, schema + f", `{name}` double")
 
 
 _SCORERS: dict = {}
