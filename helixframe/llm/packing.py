@@ -194,9 +194,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
         narrow = max(e.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0)
-            for k in range(0, len(texts), 512):
-                raw = [e.ids(t) + end for t in texts[k : k + 512]]
+            raw_ids, ids = e.many(batch.column(1)), batch.column(0)
+            for k in range(0, len(raw_ids), 512):
+                raw = [i + end for i in raw_ids[k : k + 512]]
                 yield pa.RecordBatch.from_pydict({"doc_id": ids[k : k + 512], "n_ids": pa.array([len(r) // 4 for r in raw], pa.int64()), "ids": pa.array([np.frombuffer(r, "<u4").astype("<u2").tobytes() if narrow else r for r in raw], pa.binary())})
 
     return columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(encode, TOKENS)

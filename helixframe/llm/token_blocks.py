@@ -161,8 +161,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int32()), ("payload", pa.binary())]))
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.many(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.many(batch.column(1))):
                 held.append((doc_id, ids + end))
                 n_held += len(ids) // 4 + 1
                 if n_held >= segment_ids:

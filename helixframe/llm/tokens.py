@@ -99,7 +99,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return self.many([text])[0]
 
-    def many(self, texts: list[str] | pa.Array, most: int = 1 << 24) -> list[bytes]:
+    def many(self, texts: list[str] | pa.Array, most: int = 1 << 22) -> list[bytes]:
         """A value per text; texts are taken some `most` bytes at a time."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         texts = texts.cast(pa.large_string())
