@@ -284,7 +284,8 @@ def to_bed(df: DataFrame) -> DataFrame:
     turned = forward_ranges()
     blocks = F.sort_array(F.transform(turned, lambda b: F.struct(b["t_start"].alias("start"), b["t_end"].alias("end"))))
     strand = F.when(q_strand() == t_strand(), "+").otherwise("-")
-    return df.select(F.col("t_name").alias("chrom"), F.col("t_start").alias("chrom_start"), F.col("t_end").alias("chrom_end"), F.col("q_name").alias("name"), F.lit(0).alias("score"), strand.alias("strand"), F.col("t_end").alias("thick_start"), F.col("t_end").alias("thick_end"), F.lit("0").alias("item_rgb"), blocks.alias("blocks"))
+    df = df.withColumns({"__blocks": blocks, "__strand": strand})  # the output has a column named strand, too
+    return df.select(F.col("t_name").alias("chrom"), F.col("t_start").alias("chrom_start"), F.col("t_end").alias("chrom_end"), F.col("q_name").alias("name"), F.lit(0).alias("score"), F.col("__strand").alias("strand"), F.col("t_end").alias("thick_start"), F.col("t_end").alias("thick_end"), F.lit("0").alias("item_rgb"), F.col("__blocks").alias("blocks"))
 
 
 def from_cigar(q_name: ColumnOrName, strand: ColumnOrName, t_name: ColumnOrName, t_size: ColumnOrName, t_position: ColumnOrName, cigar: Column) -> list[Column]:

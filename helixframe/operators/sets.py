@@ -13,7 +13,7 @@ def power_set(elements: ColumnOrName) -> Column:
     """All non-empty subsets of an array's distinct elements, by size, then by members."""
 
     def subsets(e: Column) -> Column:
-        bits = F.shiftleft(F.lit(1).cast("bigint"), F.size(e)) - 1
+        bits = F.pow(F.lit(2), F.size(e)).cast("bigint") - 1
         one = F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(bits, F.lit(1))), lambda b: F.filter(e, lambda x, i: F.call_function("getbit", b, i) == 1))
         ordered = F.sort_array(F.transform(one, lambda s: F.struct(F.size(s).alias("n"), s.alias("s"))))
         return F.filter(F.transform(ordered, lambda x: x["s"]), lambda s: F.size(s) > 0)

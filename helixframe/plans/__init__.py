@@ -1,6 +1,6 @@
 """Queries and programs on top of the operators; importing the package registers all queries."""
 
-from . import interval_queries
+from . import gene_queries, interval_queries, table_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "interval_queries"]
+__all__ = ["ORACLES", "QUERIES", "gene_queries", "interval_queries", "table_queries"]
