@@ -80,8 +80,11 @@ def best_window(logits: np.ndarray, window: int) -> tuple[float, int]:
     return float(means[k]), k
 
 
-def train(texts: list[str], labels: list[int], bits: int = 17, dim: int = 8, window: int = 32, epochs: int = 20, rate: float = 0.5, seed: int = 7) -> Model:
-    """Fit vectors and softmax jointly. With no text or one class only, the model gives that class's smoothed share."""
+def train(texts: list[str], labels: list[int], bits: int = 17, dim: int = 12, window: int = 32, epochs: int = 20, updates: int = 800, rate: float = 0.5, seed: int = 7) -> Model:
+    """Fit vectors and softmax jointly, in `epochs` passes, or more if these make fewer than `updates` steps of 64 documents.
+
+    With no text or one class only, the model gives that class's smoothed share.
+    """
     rng = np.random.default_rng(seed)
     y = np.array(labels, dtype=np.int64)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -98,9 +101,8 @@ def train(texts: list[str], labels: list[int], bits: int = 17, dim: int = 8, win
     weights, bias = rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
     v2, w2, b2 = np.full((1 << bits, 1), 1e-6, np.float32), np.full((dim, 2), 1e-6), np.full(2, 1e-6)
     balance = np.array([0.5, 0.5]) * len(y) / np.bincount(y, minlength=2)
-    balance = balance ** 0.5
     order = np.array([k for k in range(len(docs)) if len(docs[k])])
-    for epoch in range(epochs):
+    for epoch in range(max(epochs, -(-64 * updates // max(1, len(order))))):
         if epoch:
             scalar = vectors @ (weights[:, 1] - weights[:, 0]).astype(np.float32)
             logit = np.add.reduceat(scalar[flat], first) / size
