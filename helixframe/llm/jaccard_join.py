@@ -10,6 +10,9 @@ Inside a region the recursion is by documents. Its smallest document is the pivo
 are linked to it, so they need no comparison with each other; then, among members whose components still differ, pairs
 remain only within the triangle window |d(x, p) - d(y, p)| <= radius and the size window. Every link is verified on
 whole shingle sets. What the join returns, components, is exact; links within a component that is known already are skipped.
+
+Before sets are fetched, pairs pass a cheaper metric bound: how many shingles of a set lie in each of 256 parts of the hash
+space is a 1-Lipschitz map, so the distance of these counts is at most the size of the symmetric difference.
 """
 
 from __future__ import annotations
@@ -21,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import columns, table_rows, written
+from . import sketch
+from .common import columns, mix64, written
 from .components import components
 from .shingles import shingle_sets
 
-SKETCH_BITS, RANGES = 22, 64
-MEMBERS = "doc_id long, node long, n long, part int, counts binary"
-REGIONS = "region int, node long, n int"
-SETS = "node long, n int, hashes binary"
+MEMBERS = "doc_id long, node long, n long, parts binary, part int, content binary"
+REGIONS = "region int, salt int, node long, n int, u int"
+SETS = "node long, hashes binary"
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -44,119 +47,117 @@ def window_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def part_counts(hashes: np.ndarray) -> bytes:
+    """How many hashes lie in each of 256 parts, 255 at most."""
+    return np.minimum(np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def _members(docs: DataFrame, k: int) -> DataFrame:
-    """A row per document with the key and size of its set, and per task the counts of its shingles by hash bucket."""
+    """A row per document with the key, size and part counts of its set, and per task the counts of its shingles by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+        counts, twice, seen = sketch.Counts(), sketch.Twice(), set()
+        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("parts", pa.binary()), ("part", pa.int32()), ("content", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 sets = shingle_sets(part.column(1), k)
-                counts += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                nodes = [node_of(s) if len(s) else None for s in sets]
+                fresh = [n is not None and n not in seen and not seen.add(n) for n in nodes]
+                hashes = np.concatenate([s for s, f in zip(sets, fresh) if f] or [np.zeros(0, np.uint64)])
+                counts.add(hashes)
+                twice.add(hashes)
                 none = pa.nulls(len(sets))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-        if counts.any():
-            rows = [{"part": r, "counts": pa.compress(c.tobytes(), "zstd", asbytes=True)} for r, c in enumerate(counts.reshape(RANGES, -1)) if c.any()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([part_counts(s) if len(s) else None for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+        if rows := counts.rows() + twice.rows():
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return columns(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MEMBERS)
 
 
-def _rarity(counts: DataFrame) -> np.ndarray:
-    """For each hash bucket how far its count over all documents stands out: 0 for the usual, higher for common shingles.
+def _regions(docs: DataFrame, k: int, percent: int, levels, shared) -> DataFrame:
+    """Each set in the regions of its first shingles in the order of rarity; once a task for equal sets.
 
-    The sketch has a fixed size (4 million counters) and counts every shingle of every document; it only sets the order.
+    First come the u shingles that are known to be in this set alone; nobody else is in their regions, so they aren't listed.
+    Regions of shingles that stand out by a thousand sets or more are salted by node, to groups of some hundreds.
     """
-    width = (1 << SKETCH_BITS) // RANGES
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for part, raw in table_rows(batches, "part", "counts"):
-            c = np.frombuffer(pa.decompress(raw, 4 * width, "zstd"), np.uint32)
-            sums[part] = sums[part] + c if part in sums else c.astype(np.uint64)
-        for part, c in sums.items():
-            yield pa.RecordBatch.from_pylist([{"part": part, "counts": pa.compress(np.minimum(c, 0xFFFFFFFF).astype(np.uint32).tobytes(), "zstd", asbytes=True)}], schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
-
-    total = np.zeros((RANGES, width), np.float64)
-    for r in counts.select("part", "counts").repartition(RANGES, "part").mapInArrow(add, "part int, counts binary").collect():  # RANGES rows, 16 MB in all
-        total[r["part"]] = np.frombuffer(pa.decompress(bytes(r["counts"]), 4 * width, "zstd"), np.uint32)
-    usual = total.mean() + 4 * np.sqrt(total.mean())
-    return np.minimum(np.frexp(np.maximum(0, total.ravel() - usual) // 16)[1], 15).astype(np.uint8)
-
-
-def _regions(docs: DataFrame, k: int, percent: int, rarity) -> DataFrame:
-    """(region, node, n): each set in the regions of its first shingles in the order of rarity; once a task for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = rarity.value, set()
+        level, bits, seen = levels.value, shared.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                found, nodes, sizes, counts = [], [], [], []
+                found, nodes, sizes, own, counts = [], [], [], [], []
                 for s in shingle_sets(batch.column(0).slice(at, 2000), k):
                     if len(s) and (node := node_of(s)) not in seen:
                         seen.add(node)
-                        m = window_size(len(s), percent)
-                        rank = (level[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(60)) | ((s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(4))
+                        known = s[sketch.is_shared(bits, s)]
+                        m = window_size(len(s), percent) - (len(s) - len(known))
+                        if m <= 0:
+                            continue
+                        own.append(len(s) - len(known))
+                        n, s = len(s), known
+                        rank = (level[sketch.bucket(s)].astype(np.uint64) << np.uint64(60)) | ((s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(4))
                         found.append(np.partition(rank, m - 1)[:m])
                         nodes.append(node)
-                        sizes.append(len(s))
+                        sizes.append(n)
                         counts.append(m)
                 if found:
-                    region = (np.concatenate(found) >> np.uint64(16)).astype(np.uint32).view(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["region", "node", "n"])
+                    rank = np.concatenate(found)
+                    node = np.repeat(np.array(nodes, np.int64), counts)
+                    groups = np.int64(1) << np.maximum(0, (rank >> np.uint64(60)).astype(np.int64) - 6)
+                    salt = np.where(groups > 1, 1 + (node & (groups - 1)), 0).astype(np.int32)
+                    region = (rank >> np.uint64(16)).astype(np.uint32).view(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(salt), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.repeat(np.array(own, np.int32), counts))], names=["region", "salt", "node", "n", "u"])
 
     return columns(docs, text="text").mapInArrow(run, REGIONS)
 
 
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose part counts are near enough: |x ^ y| <= (100 - percent) / (100 + percent) * (|x| + |y|) for those that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for c in (2, 3))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            sizes = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * apart <= (100 - percent) * sizes))
+
+    one = classes.select(F.col("node").alias("a"), F.col("parts").alias("x"), F.col("n").alias("n_x"))
+    two = classes.select(F.col("node").alias("b"), F.col("parts").alias("y"), F.col("n").alias("n_y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(run, "a long, b long")
+
+
 def _sets(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """(node, n, hashes) of sets whose key the filter may hold, once a task for equal sets."""
+    """(node, hashes) of documents whose id the filter may hold, and of those without an id; once a task for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, set()
         for batch in batches:
+            ids = batch.column(0)
+            key = mix64(ids.fill_null(0).to_numpy(zero_copy_only=False)).view(np.int64)
+            batch = batch.filter(pa.array(sketch.holds(bits, key) | ids.is_null().to_numpy(zero_copy_only=False)))
             for at in range(0, batch.num_rows, 500):
                 rows = []
-                for s in shingle_sets(batch.column(0).slice(at, 500), k):
-                    if len(s) and (node := node_of(s)) not in seen and _holds(bits, node):
+                for s in shingle_sets(pa.concat_arrays([batch.column(1).slice(at, 500)]), k):
+                    if len(s) and (node := node_of(s)) not in seen:
                         seen.add(node)
-                        rows.append({"node": node, "n": len(s), "hashes": s.tobytes()})
+                        rows.append({"node": node, "hashes": s.tobytes()})
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("node", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary())]))
-
-    return columns(docs, text="text").mapInArrow(run, SETS)
-
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("node", pa.int64()), ("hashes", pa.binary())]))
 
-FILTER_BITS = 26
+    return columns(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
 
 
-def _holds(bits: np.ndarray, node: int) -> bool:
-    at = (node & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER_BITS)
-    return bool(bits[at >> 3] >> (at & 7) & 1)
-
-
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """A bit for each value of the first FILTER_BITS bits of the nodes' keys: 8 MB whatever the input, false positives only."""
-    width = 1 << (FILTER_BITS - 3 - 6)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
+def _sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """The sets of the pairs' nodes, made anew from one document of each, and perhaps a few more."""
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            part = (at // np.uint64(8 * width)).astype(np.int64)
-            for p in np.unique(part).tolist():
-                inside = at[part == p] % np.uint64(8 * width)
-                bits = parts.setdefault(p, np.zeros(width, np.uint8))
-                np.bitwise_or.at(bits, (inside >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (inside & np.uint64(7))).astype(np.uint8))
-        for p, bits in parts.items():
-            yield pa.RecordBatch.from_pylist([{"part": p, "bits": pa.compress(bits.tobytes(), "zstd", asbytes=True)}], schema=pa.schema([("part", pa.int32()), ("bits", pa.binary())]))
-
-    out = np.zeros((64, width), np.uint8)
-    key = F.shiftrightunsigned("node", 58)
-    for r in nodes.select("node").repartition(64, key).mapInArrow(run, "part int, bits binary").collect():  # 64 rows at most
-        out[r["part"]] |= np.frombuffer(pa.decompress(bytes(r["bits"]), width, "zstd"), np.uint8)
-    return out.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(batch.column(0).to_numpy(zero_copy_only=False)).view(np.int64))], names=["node"])
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = classes.select("node", "least").join(nodes, "node", "left_semi").where("least IS NOT NULL").select("least").mapInArrow(mixed, "node long")
+    wanted = docs.sparkSession.sparkContext.broadcast(sketch.key_filter(ids))
+    return _sets(docs, k, wanted).dropDuplicates(["node"])
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,24 +181,84 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, total long")
 
 
+def _may_link(n: str, u: str, m: str, v: str, percent: int) -> str:
+    """Whether sets of n and m shingles can reach percent: none of the u and v that are known to be in one set only is shared."""
+    shared = f"least({n} - {u}, {m} - {v})"
+    return f"100L * {shared} >= {percent}L * ({n} + {m} - {shared})"
+
+
 def _unresolved(regions: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of regions whose members are in different components, with their root, and how many there are."""
-    rows = regions.select("label", "node", "n", "pivot").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = regions.select("label", "node", "n", "u", "pivot").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("label").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("left")).where("lo != hi")
     return rows.join(mixed.select("label", "left"), "label")
 
 
-def _window_pairs(rows: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) within a region that may be linked: other components, sizes and distances to the pivot near enough."""
-    away = measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("away"))
-    rows = rows.join(away, ["node", "pivot"], "left").select("label", "node", "n", "root", "away")
-    one, two = rows.alias("x"), rows.alias("y")
-    radius = 1 - percent / 100 + 1e-9
-    window = F.expr(f"(x.n < y.n OR x.n = y.n AND x.node < y.node) AND 100L * x.n >= {percent}L * y.n AND x.root != y.root AND coalesce(abs(x.away - y.away), 0D) <= {radius}D")
-    return one.join(two, (F.col("x.label") == F.col("y.label")) & window).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+def _blocked(rows: DataFrame, block: int) -> DataFrame:
+    """Rows with the block pairs (i, j) of their region that they take part in: one for up to `block` members.
 
+    A larger region is cut by node into blocks, and each pair of blocks is compared by itself, in bounded memory.
+    """
+    parts = F.ceil(F.col("left") / block).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+
+
+def _window_pairs(rows: DataFrame, measured: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) within a region that may be linked: other components, and near enough by what is known of both.
+
+    That is their sizes and own shingles, the ring that they lie on around the region's pivot, and their part counts. A
+    task compares a block's members in numpy, and only pairs that pass all bounds become rows.
+    """
+    away = measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("away"))
+    rows = rows.join(away, ["node", "pivot"], "left").join(classes.select("node", "parts"), "node").withColumnRenamed("parts", "counts")
+    keys = ["label", "i", "j"]
+    rows = _blocked(rows, block).select(*keys, "node", "mine", "n", "u", "root", "pivot", F.coalesce("away", F.lit(-1.0)).alias("away"), "counts")
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 3, block: int = 64) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+            node, mine, n, u, root, pivot, away = (c.to_numpy(zero_copy_only=False) for c in group.columns[3:10])
+            counts = np.frombuffer(b"".join(group.column(10).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
+            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            out = []
+            for x in left.tolist():
+                y = right[(node[right] > node[x]) if i == j else slice(None)]
+                y = y[root[y] != root[x]]
+                shared = np.minimum(n[x] - u[x], n[y] - u[y])
+                y = y[100 * shared >= percent * (n[x] + n[y] - shared)]
+                ring = (pivot[y] != pivot[x]) | (away[y] < 0) | (away[x] < 0) | (np.abs(away[y] - away[x]) <= 1 - percent / 100 + 1e-9)
+                y = y[ring]
+                if len(y):
+                    apart = np.abs(counts[y] - counts[x]).sum(axis=1, dtype=np.int64)
+                    y = y[(100 + percent) * apart <= (100 - percent) * (n[y] + n[x])]
+                    out += [(node[x], v) for v in node[y].tolist()]
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Stretches of rows with equal keys (the first n_keys columns, integers) from rows that are sorted by them."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        keys = [rows.column(k).to_numpy() for k in range(n_keys)]
+        new = np.zeros(max(0, rows.num_rows - 1), bool)
+        for k in keys:
+            new |= k[1:] != k[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for x, y in zip(edges, edges[1:]):
+            yield rows.slice(x, y - x)
+        held = rows.slice(edges[-1]) if rows.num_rows else None
+    if held is not None and held.num_rows:
+        yield held
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 4096) -> DataFrame:
     """A row per document: doc_id, n_shingles and component_id, the smallest doc_id that it reaches over links.
 
     Documents link when 100 * shared >= percent * union of their distinct k-word shingles (A-Z lower-cased; with fewer words
@@ -209,37 +270,41 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
     spark = docs.sparkSession
     made = written(_members(docs, k), "members")
     members = made.where("part IS NULL").select("doc_id", "node", "n")
-    rarity = spark.sparkContext.broadcast(_rarity(made.where("part IS NOT NULL")))
-
-    # regions with two sets or more, without the shingle: regions of the same sets are one
-    by_size = Window.partitionBy("region").orderBy("n", "node")
-    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    regions = _regions(docs, k, percent, rarity).repartition("region").dropDuplicates(["region", "node"]).withColumns(
-        {"pivot": F.first("node").over(by_size), "pivot_n": F.first("n").over(by_size), "size": F.count("*").over(whole), "label": F.bit_xor(F.xxhash64("node")).over(whole), "nth": F.row_number().over(by_size)}
-    )
-    regions = written(regions.where("size > 1").groupBy("label", "node").agg(F.first("n").alias("n"), F.min("pivot").alias("pivot"), F.min("pivot_n").alias("pivot_n"), F.min("size").alias("size")), "regions")
-    near = F.expr(f"100L * pivot_n >= {percent}L * n AND node != pivot")
-    pairs = written(regions.where(near).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-
-    wanted = spark.sparkContext.broadcast(_filter_of(regions.select("node").distinct()))
-    sets = written(_sets(docs, k, wanted).dropDuplicates(["node"]), "sets", "none")
+    classes = made.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("parts").alias("parts"))
+    classes = written(classes, "classes")
+    levels = spark.sparkContext.broadcast(sketch.levels(made.where(f"part >= 0 AND part < {sketch.PARTS}")))
+    shared = spark.sparkContext.broadcast(sketch.shared_buckets(made.where(f"part < 0 OR part >= {sketch.PARTS}")))
+    near = F.expr(f"node != pivot AND {_may_link('n', 'u', 'pivot_n', 'pivot_u', percent)}")
     linked = F.expr(f"100L * shared >= {percent}L * total")
-    measured = written(_distances(pairs, sets), "distances")
+
+    def star(rows: DataFrame, *keys: str) -> DataFrame:
+        inner = Window.partitionBy(*keys).orderBy("u", "n", "node")  # what has fewest shingles of its own is in the middle
+        return rows.withColumns({f"pivot{c}": F.first(x).over(inner) for c, x in (("", "node"), ("_n", "n"), ("_u", "u"))})
+
+    def measured_of(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return spark.createDataFrame([], "a long, b long, shared long, total long")
+        return written(_distances(pairs, written(_sets_of(docs, pairs, classes, k), "sets", "none")), "distances")
+
+    # regions of two sets or more, without their shingle: those of the same sets are one
+    whole = Window.partitionBy("region", "salt")
+    regions = _regions(docs, k, percent, levels, shared).repartition("region", "salt").dropDuplicates(["region", "salt", "node"])
+    regions = star(regions, "region", "salt").withColumns({"size": F.count("*").over(whole), "label": F.bit_xor(F.xxhash64("node")).over(whole)})
+    regions = regions.where("size > 1 OR salt > 0").withColumn("label", F.when(F.col("salt") > 0, F.xxhash64("region")).otherwise(F.col("label")))
+    regions = regions.groupBy("label", "salt", "node").agg(*(F.first(c).alias(c) for c in ("n", "u", "pivot", "pivot_n", "pivot_u")))
+    regions = written(regions, "regions")
+    hubs = star(regions.where("salt > 0 AND node = pivot").select("label", "node", "n", "u"), "label")  # one of each salt: 512 at most
+    pairs = regions.where(near).unionByName(hubs.where(near), allowMissingColumns=True).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    measured = measured_of(_near(pairs.distinct(), classes, percent))
     found = components(measured.where(linked).select("a", "b"))
 
-    for level in range(star_rounds + 1):  # members but the pivot, of regions in which components still differ
-        open_ = written(_unresolved(regions.where("node != pivot"), found), "open")
-        if open_.isEmpty():
-            break
-        few = F.lit(True) if level == star_rounds else F.col("left") <= block
-        deeper = open_.where(~few).withColumns({"pivot": F.first("node").over(Window.partitionBy("label").orderBy("n", "node")), "pivot_n": F.first("n").over(Window.partitionBy("label").orderBy("n", "node"))})
-        regions = written(deeper.select("label", "node", "n", "pivot", "pivot_n", "root"), "regions")
-        pairs = _window_pairs(open_.where(few), measured, percent).unionAll(regions.where(near).where("root != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        new = written(_distances(written(pairs.distinct(), "pairs"), sets), "distances")
-        links = new.where(linked).select("a", "b")
+    # regions in which components still differ, without the pivots, which are done
+    open_ = written(_unresolved(regions.where("salt > 0 OR node != pivot"), found), "open")
+    if not open_.isEmpty():
+        links = measured_of(_window_pairs(open_, measured, classes, percent, block)).where(linked).select("a", "b")
         if not links.isEmpty():
             found = components(found.toDF("a", "b").unionAll(links))
-        measured = measured.unionAll(new)
 
     out = members.join(found.withColumnRenamed("root", "found"), "node", "left").withColumn("root", F.coalesce("found", "node"))
     smallest = out.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
