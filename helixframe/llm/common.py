@@ -41,8 +41,16 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand Python workers a few megabytes at a time, however long the texts; what the session sets itself is left alone."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def columns(df: DataFrame, **named: str) -> DataFrame:
     """Only the named columns of df, under the operator's names, so that extra columns can't clash."""
+    bounded_batches(df.sparkSession)
     return df.select(*(F.col(f"`{c}`").alias(n) for n, c in named.items()))
 
 
@@ -76,7 +84,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Bounded(dict):
     """A cache of make(key), emptied when it holds limit entries; long keys aren't kept."""
 
-    def __init__(self, make: Callable, limit: int = 1 << 19, longest: int = 64):
+    def __init__(self, make: Callable, limit: int = 1 << 18, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
 

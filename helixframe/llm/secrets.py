@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns, text_of
+from .common import bounded_batches, columns, text_of
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -161,6 +161,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """docs with its own columns, every secret in text_col replaced by mark and, where it changed, chars_col counted anew."""
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
 

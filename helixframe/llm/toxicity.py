@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Bounded, columns
+from .common import Bounded, bounded_batches, columns
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -179,6 +179,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null, empty and wordless texts get the score of the bias. With keep, a column of that name is replaced. Each row is scored by itself, so repeated rows and null ids
     are no matter; the model, of a fixed size, is all that a task needs.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
