@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from ..types import CIGAR
@@ -143,8 +144,6 @@ def anchor(url: Column, text: Column, target: str = "browser") -> Column:
 
 def to_ascii(s: ColumnOrName) -> Column:
     """Letters without their marks and common ligatures spelled out; other non-ASCII characters become ?."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def plain(texts: pd.Series) -> pd.Series:
         import unicodedata

@@ -64,7 +64,7 @@ def gene_pred(spark: SparkSession, path: str) -> DataFrame:
 def gene_pred_from_big(beds: DataFrame) -> DataFrame:
     """genePred columns from bigGenePred rows (BED12 with extra columns: name2, CDS start and end status, frames, ...)."""
     extra = lambda k: F.get("extra_cols", F.lit(k))
-    starts, ends = (F.transform("blocks", lambda b, n=n: b[n]) for n in ("start", "end"))
+    starts, ends = F.transform("blocks", lambda b: b["start"]), F.transform("blocks", lambda b: b["end"])
     return beds.select(
         "name", "chrom", "strand", F.col("chrom_start").alias("tx_start"), F.col("chrom_end").alias("tx_end"), F.col("thick_start").alias("cds_start"), F.col("thick_end").alias("cds_end"),
         exons_from_lists(starts, ends, split_list(extra(3), "int")).alias("exons"), "score", extra(0).alias("name2"), extra(1).alias("cds_start_stat"), extra(2).alias("cds_end_stat"), F.lit(True).alias("has_frames"),

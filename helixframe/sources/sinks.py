@@ -62,11 +62,16 @@ def gene_pred_line(extended: bool = False) -> Column:
     return tab_line(*values)
 
 
+def _fields(items: str, name: str) -> Column:
+    """One field of each struct of an array."""
+    return F.transform(items, lambda x: x[name])
+
+
 def psl_line(sequences: bool = False) -> Column:
     """A PSL line of 21 columns, or 23 with block sequences."""
     numbers = ("match", "mis_match", "rep_match", "n_count", "q_num_insert", "q_base_insert", "t_num_insert", "t_base_insert", "strand", "q_name", "q_size", "q_start", "q_end", "t_name", "t_size", "t_start", "t_end")
     lists = ("size", "q_start", "t_start", *(("q_seq", "t_seq") if sequences else ()))
-    return tab_line(*(F.col(c) for c in numbers), F.size("blocks"), *(join_list(F.transform("blocks", lambda b, n=n: b[n])) for n in lists))
+    return tab_line(*(F.col(c) for c in numbers), F.size("blocks"), *(join_list(_fields("blocks", n)) for n in lists))
 
 
 def gff3_line() -> Column:

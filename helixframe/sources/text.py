@@ -73,17 +73,18 @@ def read_tsv(
     if twice:
         raise ValueError(f"duplicate columns in {path}: {sorted(twice)}")
     width = len(names)
-    schema = ", ".join(f"`_c{k}` string" for k in range(width + 1))
-    reader = spark.read.schema(schema + ", `_bad` string").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").option("sep", separator).option("encoding", encoding)
-    reader = reader.option("quote", quote or "").option("escape", quote or "").option("multiLine", bool(quote)).option("nullValue", "\x00").option("emptyValue", "").option("header", not columns)
+    schema = ", ".join(f"`_c{k}` string" for k in range(width)) + ", `_bad` string"
+    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").option("columnPruning", False).option("sep", separator).option("encoding", encoding)
+    reader = reader.option("quote", quote or "").option("escape", quote or "").option("multiLine", bool(quote)).option("header", not columns)
     raw = reader.option("enforceSchema", True).csv(path)
-    # a row of the right width leaves the spare column null and the others set
-    short = F.col(f"_c{width - 1}").isNull()
-    long = F.lit(False) if ignore_extra else F.col(f"_c{width}").isNotNull()
-    guard = F.when(short | long, F.raise_error(F.concat(F.lit(f"{path}: row doesn't have {width} columns: "), F.coalesce("_c0", F.lit("")))).cast("string"))
+    # the reader marks rows of another width as malformed; of those, longer ones may be wanted
+    wrong = F.col("_bad").isNotNull()
+    if ignore_extra:
+        wrong = wrong & (F.size(F.split("_bad", f"\\Q{separator}\\E", -1)) < width)
+    first = F.when(wrong, F.raise_error(F.concat(F.lit(f"{path}: row doesn't have {width} columns: "), F.coalesce("_c0", F.lit("")))).cast("string")).otherwise(F.coalesce("_c0", F.lit("")))
     out = []
     for k, n in enumerate(names):
-        value = F.col(f"_c{k}") if k else F.coalesce(guard, F.col("_c0"))
+        value = F.coalesce(f"_c{k}", F.lit("")) if k else first
         kind = (types or {}).get(n, default_type)
         out.append((kind(value) if callable(kind) else value.cast(kind)).alias(n))
     return raw.select(*out)
