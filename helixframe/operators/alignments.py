@@ -270,6 +270,23 @@ def project_cds(cds_start: ColumnOrName, cds_end: ColumnOrName, from_side: str =
     return bind(col(blocks), carried)
 
 
+def map_cds(source: DataFrame, dest: DataFrame, cds_start: str = "cds_start", cds_end: str = "cds_end", contained: bool = False) -> DataFrame:
+    """The CDS of source queries carried over to dest queries through the target that both are aligned to.
+
+    Pairs are joined on the target's name where their target ranges overlap; target strands must agree (reverse-complement
+    one side if need be). Rows: q_name of both, and the CDS on the target and on the dest query, null where nothing is carried.
+    """
+    from .intervals import overlap_join
+
+    on_target = source.select(F.col("q_name").alias("source_name"), "t_name", t_strand().alias("t_strand"), project_cds(cds_start, cds_end, "q", contained).alias("t_cds")).where("t_cds IS NOT NULL")
+    on_target = on_target.select("source_name", "t_name", "t_strand", F.col("t_cds.start").alias("start"), F.col("t_cds.end").alias("end"))
+    first, last = F.get("blocks", F.lit(0)), F.element_at("blocks", -1)
+    targets = dest.select("q_name", "t_name", t_strand().alias("t_strand"), first["t_start"].alias("start"), (last["t_start"] + last["size"]).alias("end"), "blocks")
+    pairs = overlap_join(on_target, targets, ["t_name", "t_strand"])
+    out = pairs.withColumn("c", project_cds("start", "end", "t", contained, blocks="blocks_r"))
+    return out.select("source_name", F.col("q_name_r").alias("dest_name"), F.col("start").alias("t_cds_start"), F.col("end").alias("t_cds_end"), F.col("c.start").alias("cds_start"), F.col("c.end").alias("cds_end"))
+
+
 def same_alignment(a: str = "a_", b: str = "b_") -> Column:
     """Equal names, sizes, strand and blocks of two alignments (columns with the prefixes a and b), counts aside."""
     plain = lambda p: F.transform(F.col(f"{p}blocks"), lambda x: F.struct(x["q_start"], x["t_start"], x["size"]))

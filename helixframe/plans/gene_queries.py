@@ -197,3 +197,13 @@ def same_alignment(t: Tables) -> DataFrame:
     x = a.withColumn("strand", F.concat(A.q_strand(), A.t_strand())).select(*(F.col(c).alias("a_" + c) for c in a.columns))
     y = twice.select(*(F.col(c).alias("b_" + c) for c in a.columns))
     return x.join(y, F.col("a_q_name") == F.col("b_q_name")).agg(F.count("*").alias("n"), F.count_if(A.same_alignment()).alias("n_same"))
+
+
+@query(f"""WITH {ALIGNMENTS}, pl AS (SELECT l_orderkey, t_name, ts, q_name FROM ps), s AS (SELECT bl.l_orderkey, min(t + greatest(900, q) - q) AS a, max(t + least(1700, q + n) - q) AS b FROM bl WHERE greatest(900, q) < least(1700, q + n) GROUP BY 1),
+sp AS (SELECT s.*, pl.* EXCLUDE (l_orderkey) FROM s JOIN pl USING (l_orderkey) WHERE l_orderkey % 50 = 0), d AS (SELECT l_orderkey, min(t) AS lo, max(t + n) AS hi FROM bl GROUP BY 1),
+pr AS (SELECT sp.q_name AS source_name, pl.q_name AS dest_name, a, b, d.l_orderkey AS k FROM sp JOIN pl ON sp.t_name = pl.t_name AND sp.ts = pl.ts AND pl.l_orderkey % 7 = 0 JOIN d ON d.l_orderkey = pl.l_orderkey AND d.lo < b AND d.hi > a)
+SELECT source_name, dest_name, a AS t_cds_start, b AS t_cds_end, min(q + greatest(a, t) - t) FILTER (greatest(a, t) < least(b, t + n)) AS cds_start, max(q + least(b, t + n) - t) FILTER (greatest(a, t) < least(b, t + n)) AS cds_end FROM pr JOIN bl ON bl.l_orderkey = k GROUP BY ALL""")
+def map_cds(t: Tables) -> DataFrame:
+    a = alignments(t)
+    source = a.where("l_orderkey % 50 = 0").withColumns({"cds_start": F.lit(900), "cds_end": F.lit(1700)})
+    return A.map_cds(source, a.where("l_orderkey % 7 = 0"))

@@ -306,3 +306,27 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.table("isl").collect()) == [("c", 1, 9, 2), ("d", 1, 2, 1)]
+
+
+def test_range_table(spark):
+    from helixframe.sources.tables import RangeTable, numeric_order, run, tables_like
+
+    t = RangeTable(spark, "genes_by_range")
+    rows = spark.createDataFrame([("c1", 5, 9, "a", "+"), ("c1", 400_000, 900_000, "b", "-"), ("c2", 1, 3, "c", "+"), ("c1", 7, 8, "d", "-")], "chrom string, start long, end long, name string, strand string")
+    assert not t.exists()
+    t.load(rows)
+    assert t.exists() and "genes_by_range" in tables_like(spark, "genes*") and t.oid_range() == (0, 4)
+    assert {r["name"] for r in t.overlapping("c1", 6, 10).collect()} == {"a", "d"} and {r["name"] for r in t.overlapping("c1", strand="-").collect()} == {"b", "d"}
+    assert {r["name"] for r in t.overlapping("c1", 0, 10**6, where=F.col("start") > 6).collect()} == {"b", "d"}
+    assert t.by_name("a", "zz").count() == 1 and t.names().count() == 4 and t.by_oid(1, 3).count() == 2
+    with pytest.raises(Exception, match="name not found"):
+        t.required(spark.createDataFrame([("zz",)], "n string")).collect()
+    t.load(rows.where("name = 'a'"), mode="append")
+    assert t.oid_range() == (0, 5) and t.rows().select("oid").distinct().count() == 5
+    assert run(spark, "SELECT count(*) AS n FROM genes_by_range WHERE name = :who", who="a").first()["n"] == 2
+    t.drop()
+    assert not t.exists()
+    d = spark.createDataFrame([("10",), ("9",), (" ",), ("1,000",)], "v string")
+    assert [r["v"] for r in d.orderBy(*numeric_order(d, "v")).collect()] == [" ", "9", "10", "1,000"]
+    x = spark.createDataFrame([("10",), ("9",), ("a",)], "v string")
+    assert [r["v"] for r in x.orderBy(*numeric_order(x, "v")).collect()] == ["10", "9", "a"]
