@@ -10,16 +10,17 @@ few words in a long text must not be averaged away; training takes the same pass
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Bounded, bounded_batches, columns
+from .common import bounded_batches, columns, mix64
+from .shingles import odd_constants
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -29,11 +30,26 @@ def words_of(text: str) -> list[str]:
     return [w for w, _ in groupby(_WORD.findall(text.lower()))]
 
 
-def features(word: str, bits: int, shortest: int = 3, longest: int = 6) -> np.ndarray:
-    raw = f"<{word[:64]}>".encode()
-    grams = {raw, *(raw[k : k + n] for n in range(shortest, longest + 1) for k in range(len(raw) - n + 1))}
-    mask = (1 << bits) - 1
-    return np.array(sorted({zlib.crc32(g) & mask for g in grams}), dtype=np.int32)
+_PLACES = odd_constants(320)
+
+
+def features(words: list[str], bits: int, shortest: int = 3, longest: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' n-grams (of bytes, with marks at the ends) and of the words themselves, and how many each has."""
+    raw = [f"<{w[:64]}>".encode() for w in words]
+    length = np.fromiter(map(len, raw), np.int64, len(raw))
+    text = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    begin = np.cumsum(length) - length
+    word = np.repeat(np.arange(len(raw)), length)
+    room = np.repeat(begin + length, length) - np.arange(len(text))
+    whole = np.add.reduceat(text * _PLACES[np.arange(len(text)) - begin[word]], begin) if len(raw) else np.zeros(0, np.uint64)
+    owner, hashes = [np.arange(len(raw))], [whole]
+    for n in range(shortest, longest + 1):
+        at = np.flatnonzero(room >= n)
+        owner.append(word[at])
+        hashes.append(sum((text[at + j] * _PLACES[300 - j] for j in range(n)), np.uint64(n)))
+    order = np.argsort(np.concatenate(owner), kind="stable")
+    bucket = (mix64(np.concatenate(hashes)) >> np.uint64(64 - bits)).astype(np.int32)
+    return bucket[order], np.bincount(np.concatenate(owner), minlength=len(raw))
 
 
 @dataclass
@@ -51,23 +67,43 @@ class Model:
 
 
 class Scorer:
-    """Scores texts: the softmax of an average is that of the mean of the words' own logits, which are kept."""
+    """Scores texts: the logit of an average is the mean of the words' own logits, so each distinct word of a batch gets one."""
 
     def __init__(self, model: Model):
         self.bits, self.window = model.bits, model.window
         self.bucket = (model.vectors @ (model.weights[:, 1] - model.weights[:, 0])).astype(np.float64)
         self.bias = float(model.bias[1] - model.bias[0])
-        self.word = Bounded(lambda w: float(self.bucket[features(w, self.bits)].mean()))
-
-    def logit(self, text: str) -> float:
-        words = words_of(text)
-        if not words:
-            return self.bias
-        word = self.word
-        return self.bias + best_window(np.array([word[w] for w in words]), self.window)[0]
 
     def __call__(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -500, 500))))
+        return float(self.many(pa.array([text]))[0])
+
+    def many(self, texts: pa.Array) -> np.ndarray:
+        """A score per text. Words never reach across white space, so texts are cut there and words sought in distinct pieces."""
+        cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        pieces = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        found = [_WORD.findall(p.lower()) for p in coded.dictionary.to_pylist()]
+        index: dict[str, int] = {}
+        held = np.fromiter((index.setdefault(w, len(index)) for ws in found for w in ws), np.int64)
+        n_held = np.fromiter(map(len, found), np.int64, len(found))
+        first = np.cumsum(n_held) - n_held
+        flat, size = features(list(index), self.bits)
+        logit = np.add.reduceat(self.bucket[flat], np.cumsum(size) - size) / size if len(size) else np.zeros(0)
+        n = n_held[codes]
+        total = np.concatenate(([0], np.cumsum(n)))
+        words = held[np.repeat(first[codes] - total[:-1], n) + np.arange(total[-1])]
+        ends = total[np.cumsum(pieces)] if len(pieces) else pieces
+        out, start = np.empty(len(texts)), 0
+        for k, end in enumerate(ends.tolist()):
+            own = words[start:end]
+            if len(own):
+                own = own[np.append(True, own[1:] != own[:-1])]
+                out[k] = self.bias + best_window(logit[own], self.window)[0]
+            else:
+                out[k] = self.bias
+            start = end
+        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
 def best_window(logits: np.ndarray, window: int) -> tuple[float, int]:
@@ -93,10 +129,9 @@ def train(texts: list[str], labels: list[int], bits: int = 17, dim: int = 12, wi
         return model
     index: dict[str, int] = {}
     docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int64) for t in texts]
-    grams = [features(w, bits) for w in index]
-    flat, size = np.concatenate(grams), np.array([len(g) for g in grams])
+    flat, size = features(list(index), bits)
     first = np.cumsum(size) - size
-    del grams, index
+    del index
     vectors = rng.normal(0, 0.3, (1 << bits, dim)).astype(np.float32)
     weights, bias = rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
     v2, w2, b2 = np.full((1 << bits, 1), 1e-6, np.float32), np.full((dim, 2), 1e-6), np.full(2, 1e-6)
@@ -185,8 +220,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            out = [*batch.columns[:-1], pa.array([scorer(t) for t in texts], pa.float64())]
+            out = [*batch.columns[:-1], pa.array(scorer.many(batch.column(batch.num_columns - 1)))]
             yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], name])
 
     kept = docs.drop(name).columns if keep else []
