@@ -205,3 +205,17 @@ def sra_run_info(spark: SparkSession, path: str) -> DataFrame:
     """An SRA run table, CSV or TSV by extension; Run becomes an array."""
     out = read_tsv(spark, path, separator="," if path.endswith(".csv") else "\t")
     return out.withColumn("Run", F.split("Run", ", *")) if "Run" in out.columns else out
+
+
+def overlap_select_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Overlap statistics of pairs (inId, selectId): ratios as doubles, base counts as longs."""
+    out = read_tsv(spark, path)
+    kind = lambda c: "string" if c in ("inId", "selectId") else "bigint" if c.endswith("Bases") else "double"
+    return out.select(*(F.col(c).cast(kind(c)).alias(c) for c in out.columns))
+
+
+def values_file(spark: SparkSession, path: str, kind: str = "bigint", value_column: int = 0, count_column: int | None = None) -> DataFrame:
+    """value (and count) of a headerless tab file, as histograms take them."""
+    rows = tab_rows(spark, path, comments=True, blank=True)
+    counts = [] if count_column is None else [_at(count_column).cast("bigint").alias("count")]
+    return rows.select(_at(value_column).cast(kind).alias("value"), *counts)

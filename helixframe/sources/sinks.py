@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.codecs import format_attributes, join_list
 from ..functions.bins import calc_bin
-from ..functions.strings import encode_column
+from ..functions.strings import encode_column, strip_tags, to_number
 
 
 def _text(c: Column) -> Column:
@@ -106,6 +106,18 @@ def html_table(df: DataFrame, header: bool = True, caption: str | None = None, m
     return "\n".join(["<table>", *top, *rows, "</table>"])
 
 
+def cell_fields(cell: Column) -> Column:
+    """What an interactive table needs of an HTML cell: struct<display,text,number>, the text without tags and its number."""
+    text = strip_tags(cell)
+    return F.struct(F.coalesce(F.nullif(cell, F.lit("")), F.lit("&nbsp;")).alias("display"), text.alias("text"), to_number(text).alias("number"))
+
+
+def page_links(page: int, n_pages: int, name: str = "dir{}.html") -> str:
+    """Links from one page of a directory to the others, the page itself as plain text."""
+    link = lambda k, text: f'<a href="{name.format(k)}">{text}</a>' if 0 <= k < n_pages and k != page else str(text)
+    return " ".join([link(page - 1, "prev"), *(link(k, k + 1) for k in range(n_pages)), link(page + 1, "next")])
+
+
 def pages(df: DataFrame, order: Sequence[Column], size: int, group: str) -> DataFrame:
     """df with page (from 0) and place on the page, in the order of (group, *order)."""
     from ..operators.intervals import number_in_order

@@ -330,3 +330,13 @@ def test_range_table(spark):
     assert [r["v"] for r in d.orderBy(*numeric_order(d, "v")).collect()] == [" ", "9", "10", "1,000"]
     x = spark.createDataFrame([("10",), ("9",), ("a",)], "v string")
     assert [r["v"] for r in x.orderBy(*numeric_order(x, "v")).collect()] == ["10", "9", "a"]
+
+
+def test_value_files_and_cells(spark, tmp_path):
+    p = put(tmp_path, "h", "5\t2\n#x\n7\t1\n")
+    assert [tuple(r) for r in records.values_file(spark, p, count_column=1).collect()] == [(5, 2), (7, 1)]
+    s = put(tmp_path, "s", "#inId\tselectId\tinOverlap\toverBases\na\tb\t0.5\t7\n")
+    assert tuple(records.overlap_select_stats(spark, s).first()) == ("a", "b", 0.5, 7)
+    c = spark.createDataFrame([("<b>1,000</b>",), ("",)], "v string").select(sinks.cell_fields(F.col("v")).alias("c")).collect()
+    assert (c[0]["c"]["text"], c[0]["c"]["number"], c[1]["c"]["display"], c[1]["c"]["number"]) == ("1,000", 1000.0, "&nbsp;", None)
+    assert sinks.page_links(0, 2) == 'prev 1 <a href="dir1.html">2</a> <a href="dir1.html">next</a>'
