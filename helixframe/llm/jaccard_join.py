@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import sketch
-from .common import columns, mix64, written
+from .common import columns, dropped, mix64, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -285,7 +285,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: in
         pairs = written(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             return spark.createDataFrame([], "a long, b long, shared long, total long")
-        return written(_distances(pairs, written(_sets_of(docs, pairs, classes, k), "sets", "none")), "distances")
+        sets = written(_sets_of(docs, pairs, classes, k), "sets", "none")
+        out = written(_distances(pairs, sets), "distances")
+        dropped(spark, pairs, sets)
+        return out
 
     # regions of two sets or more, without their shingle: those of the same sets are one
     whole = Window.partitionBy("region", "salt")
@@ -305,6 +308,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: in
         links = measured_of(_window_pairs(open_, measured, classes, percent, block)).where(linked).select("a", "b")
         if not links.isEmpty():
             found = components(found.toDF("a", "b").unionAll(links))
+    dropped(spark, regions, open_, classes)
 
     out = members.join(found.withColumnRenamed("root", "found"), "node", "left").withColumn("root", F.coalesce("found", "node"))
     smallest = out.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
