@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns, running_start, table_rows, text_of, written
+from .common import columns, dropped, running_start, table_rows, text_of, written
 from .tokens import encoder
 
 TOKENS = "doc_id long, n_ids long, ids binary"
@@ -241,6 +241,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, end_id:
             yield out(rows)
 
     pieces = written(tokens.mapInArrow(pack, PIECES), "pieces")
+    if not with_ids:
+        dropped(spark, tokens)
     sequences = pieces.groupBy("task").agg((F.max("local_sequence") + 1).alias("n"))
     pieces = pieces.join(running_start(sequences, "task", "n", "first"), "task")
     out = pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("local_sequence")).alias("sequence_id"), "offset")

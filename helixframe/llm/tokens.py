@@ -38,7 +38,7 @@ class Encoder:
     Signs that end a piece after letters are a pre-token of their own in both kinds, so they are encoded by themselves.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 19):
+    def __init__(self, path: str, limit: int = 1 << 18):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -99,7 +99,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return self.many([text])[0]
 
-    def many(self, texts: list[str] | pa.Array, most: int = 1 << 22) -> list[bytes]:
+    def many(self, texts: list[str] | pa.Array, most: int = 1 << 23) -> list[bytes]:
         """A value per text; texts are taken some `most` bytes at a time."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         texts = texts.cast(pa.large_string())
@@ -127,21 +127,21 @@ class Encoder:
             starts[rows] = len(pieces) + np.cumsum(sizes[rows]) - sizes[rows]
             pieces = pa.concat_arrays([pieces, pa.array(list(chain.from_iterable(more)), pieces.type)])
         coded = pieces.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = pieces.take(pa.array(starts)).dictionary_encode() if self.byte_level else None
+        codes = coded.indices.to_numpy(zero_copy_only=False).copy()
         made = self._learn(coded.dictionary.to_pylist())
         if self.byte_level and len(starts):  # a text's first piece has no blank in front
-            heads = pieces.take(pa.array(starts)).dictionary_encode()
             codes[starts] = len(made) + heads.indices.to_numpy(zero_copy_only=False)
             made += [self._encode(h) for h in heads.dictionary.to_pylist()]
         table = np.frombuffer(b"".join(made), dtype="<u4")
-        length = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        offset = np.cumsum(length) - length
-        # rows in their order, and their pieces in theirs
-        order = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        length = np.fromiter(map(len, made), np.int32, len(made)) // 4
+        offset = np.cumsum(length, dtype=np.int32) - length
+        # rows in their order, and their pieces in theirs; places are 32 bits wide, slices being small
+        order = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes) + np.arange(sizes.sum(), dtype=np.int32)
         codes = codes[order]
         n = length[codes]
-        total = np.concatenate(([0], np.cumsum(n)))
-        ids = table[np.repeat(offset[codes] - total[:-1], n) + np.arange(total[-1])].tobytes()
+        total = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        ids = table[np.repeat(offset[codes] - total[:-1].astype(np.int32), n) + np.arange(total[-1], dtype=np.int32)].tobytes()
         ends = (4 * total[np.cumsum(sizes)]).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
