@@ -124,3 +124,35 @@ def document_shards(docs: DataFrame, shards: int = 16, bits: int = 5) -> DataFra
 def write_shards(rows: DataFrame, path: str) -> None:
     """One folder of Parquet files per shard, rows in curve order, so that the files' statistics prune in every dimension."""
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def oracle(shards: int = 16, bits: int = 5) -> str:
+    """document_shards in DuckDB's SQL: a common table expression per step of the curve, and crc32 byte by byte."""
+    name_cell = "CAST('0x' || substr(md5(coalesce({}, '')), 1, 8) AS BIGINT) >> " + str(32 - bits)
+    steps = [f"s0 AS (SELECT *, CAST(least({(1 << bits) - 1}, floor(2 * log2(CAST(size AS DOUBLE) + 1))) AS BIGINT) AS x0, {name_cell.format('lang')} AS x1, {name_cell.format('source')} AS x2 FROM d)"]
+
+    def step(x0: str, x1: str, x2: str) -> None:
+        n = len(steps)
+        steps.append(f"s{n} AS (SELECT * EXCLUDE (x0, x1, x2), {x0} AS x0, {x1} AS x1, {x2} AS x2 FROM s{n - 1})")
+
+    for b in range(bits - 1, 0, -1):
+        q, p = 1 << b, (1 << b) - 1
+        step(f"CASE WHEN x0 & {q} <> 0 THEN xor(x0, {p}) ELSE x0 END", "x1", "x2")
+        for i in (1, 2):
+            t = f"(xor(x0, x{i}) & {p})"
+            moved = f"CASE WHEN x{i} & {q} <> 0 THEN x{i} ELSE xor(x{i}, {t}) END"
+            step(f"CASE WHEN x{i} & {q} <> 0 THEN xor(x0, {p}) ELSE xor(x0, {t}) END", moved if i == 1 else "x1", moved if i == 2 else "x2")
+    step("x0", "xor(x1, x0)", "x2")
+    step("x0", "x1", "xor(x2, x1)")
+    t = "CAST(0 AS BIGINT)"
+    for b in range(bits - 1, 0, -1):
+        t = f"xor({t}, CASE WHEN x2 & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    step(f"xor(x0, {t})", f"xor(x1, {t})", f"xor(x2, {t})")
+    woven = " + ".join(f"(((x{j} >> {b}) & 1) << {3 * b + 2 - j})" for b in range(bits) for j in range(3))
+    last = f"s{len(steps) - 1}"
+    crc = "xor(list_reduce(regexp_extract_all(hex(encode(coalesce(text, ''))), '..').list_transform(lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, l[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+    table = "SELECT list(v ORDER BY k) AS l FROM (SELECT k, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k) AS v FROM range(256) r(k))"
+    return f"""WITH crc AS ({table}), d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, {crc} AS text_crc32, lang, source FROM documents, crc),
+{', '.join(steps)}, h AS (SELECT doc_id, size, text_crc32, {woven} AS hilbert FROM {last}),
+r AS (SELECT *, row_number() OVER (ORDER BY hilbert, text_crc32, doc_id NULLS FIRST) - 1 AS k, count(*) OVER () AS n FROM h)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(k * {shards} // n AS INTEGER) AS shard, k - ((k * {shards} // n) * n + {shards - 1}) // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, hilbert FROM r"""

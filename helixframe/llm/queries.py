@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_digests": licenses.oracle(), "op5_line_frequency": quality.ORACLE}
+    return {"op3_license_digests": licenses.oracle(), "op5_line_frequency": quality.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE, "op10_hilbert_shards": hilbert.oracle()}
