@@ -34,14 +34,24 @@ _PLACES = odd_constants(320)
 
 
 def features(words: list[str], bits: int, shortest: int = 3, longest: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words' n-grams (of bytes, with marks at the ends) and of the words themselves, and how many each has."""
+    """Buckets of all words' n-grams (of bytes, with marks at the ends) and of the words themselves, and how many each has.
+
+    Some ten thousand words are hashed at a time, so that what is held is 4 bytes a bucket.
+    """
+    parts = [_features(words[k : k + 20_000], bits, shortest, longest) for k in range(0, len(words), 20_000)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _features(words: list[str], bits: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
     raw = [f"<{w[:64]}>".encode() for w in words]
     length = np.fromiter(map(len, raw), np.int64, len(raw))
     text = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     begin = np.cumsum(length) - length
     word = np.repeat(np.arange(len(raw)), length)
     room = np.repeat(begin + length, length) - np.arange(len(text))
-    whole = np.add.reduceat(text * _PLACES[np.arange(len(text)) - begin[word]], begin) if len(raw) else np.zeros(0, np.uint64)
+    whole = np.add.reduceat(text * _PLACES[np.arange(len(text)) - begin[word]], begin)
     owner, hashes = [np.arange(len(raw))], [whole]
     for n in range(shortest, longest + 1):
         at = np.flatnonzero(room >= n)
@@ -128,7 +138,7 @@ def train(texts: list[str], labels: list[int], bits: int = 17, dim: int = 12, wi
     if not len(y) or y.min() == y.max():
         return model
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int64) for t in texts]
+    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int32) for t in texts]
     flat, size = features(list(index), bits)
     first = np.cumsum(size) - size
     del index
