@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words (operator 6).
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words (operator 6).
 
 Test items are taken in blocks of a bounded number of n-grams, which tasks hold as a sorted table; a block after the other
-goes over all documents, so any number of items is handled. A first pass counts in how many documents each n-gram of an item
-occurs. Of an item's n-grams, those count as rare seeds that are in few documents, or in no more than a few times as many
-as the item's median n-gram, so that an item that leaked a million times keeps its seeds. A second pass joins each
-document's n-grams to the seeds, opens a window around hits on near diagonals, and aligns the item with the window's words.
+goes over all documents, so any number of items is handled. Every n-gram of an item is a seed, however many documents hold
+it: a common one costs time, never a copy. One pass joins each document's n-grams to the seeds, opens a window around hits
+on near diagonals, cuts from it what holds too few of the item's words for a copy, and aligns the item with the rest.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from .common import columns
 from .shingles import bare, shingle_hashes, word_hashes
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+HITS = 1 << 20
 FOUND = "doc_id long, item_id long, similarity double, n_matched long, n_item_words long, start_word long, end_word long"
 
 
@@ -114,6 +114,22 @@ def windows_of(where: np.ndarray, item_at: np.ndarray, length: int, slack: int)
     return [(int(part[0]) - slack, int(part[-1]) + length + slack) for part in np.split(diagonal, cuts)]
 
 
+def dense(window: np.ndarray, item: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """The parts (from, to) of a window outside which no passage can reach `least`; nothing that does is cut.
+
+    Such a passage has least * len(item) matches or more, all of them words of the item, and what its matches gain over that
+    bounds the words it can skip, and so its length.
+    """
+    needed = int(np.ceil(least * len(item) - 1e-9))
+    reach = min(len(window), len(item) + int(MATCH * (1 - least) * len(item) + 1e-9))
+    held = np.concatenate(([0], np.cumsum(np.isin(window, item))))
+    starts = np.flatnonzero(held[reach:] - held[: len(held) - reach] >= needed)
+    if not len(starts):
+        return []
+    cuts = np.flatnonzero(np.diff(starts) > reach) + 1
+    return [(int(part[0]), int(part[-1]) + reach) for part in np.split(starts, cuts)]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, few: int = 100, times: int = 4, block_grams: int = 1 << 21, item_col: str = "item_id") -> DataFrame:
     """A row per document and test item that it holds a copy of, exact or edited.
 
@@ -121,14 +137,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     and n_item_words (words), start_word and end_word (of the passage, counting words that have a letter or digit). Only the
     best passage of an item in a document is listed. Words are compared in lower case without signs. Null, empty and
     wordless texts and items match nothing; rows of equal or null doc_id are documents of their own, equal items are all
-    listed. Copies that keep no n words in a row of an item aren't found.
+    listed. Copies that keep no n words in a row of an item aren't found. No seed is dropped for being frequent: few and
+    times, the limits of an earlier choice of rare seeds, are taken and change nothing.
     """
     spark = docs.sparkSession
     rows = columns(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text")
     items = columns(benchmark, item_id=item_col, text="text").select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
     out = None
     for block in _blocks(items, n, block_grams):
-        found = _in_block(spark, rows, block, n, least, few, times)
+        found = _in_block(spark, rows, block, n, least)
         out = found if out is None else out.unionAll(found)
     return spark.createDataFrame([], FOUND) if out is None else out
 
@@ -150,41 +167,11 @@ def _blocks(items: DataFrame, n: int, block_grams: int) -> Iterator[Block]:
         yield block_of(ids, texts, n)
 
 
-def _in_block(spark, rows: DataFrame, block: Block, n: int, least: float, few: int, times: int) -> DataFrame:
+def _in_block(spark, rows: DataFrame, block: Block, n: int, least: float) -> DataFrame:
     sizes = sorted({min(n, len(w)) for w in block.words if len(w)})
-    distinct, inverse = np.unique(block.seeds, return_inverse=True)
-    shared = spark.sparkContext.broadcast((distinct, block.filter_bits()))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, bits = shared.value
-        counts = np.zeros(len(seeds), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                words, begins = word_hashes(batch.column(0).slice(at, 2000), bare)
-                where, which = hits(words, sizes, bits, seeds)
-                doc = np.searchsorted(begins, where, side="right")
-                counts += np.bincount(np.unique(doc.astype(np.int64) * len(seeds) + which) % max(1, len(seeds)), minlength=len(seeds))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["seed", "n"])
-
-    in_docs = np.zeros(len(distinct), np.int64)
-    for r in rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # at most a block's n-grams
-        in_docs[r["seed"]] = r["n"]
-
-    # rare seeds of each item
-    df = in_docs[inverse]
-    order = np.lexsort((df, block.item))
-    item, df = block.item[order], df[order]
-    size = np.bincount(item, minlength=len(block.ids))
-    median = np.zeros(len(block.ids))
-    some = np.flatnonzero(size)
-    median[some] = df[(np.cumsum(size) - size + (size - 1) // 2)[some]]
-    rare = np.sort(order[df <= np.maximum(few, times * median[item])])
-    seeds, first = np.unique(block.seeds[rare], return_index=True)
-    last = np.append(first[1:], len(rare))
-    bits = np.zeros(1 << 20, bool)
-    bits[seeds >> np.uint64(44)] = True
-    table = spark.sparkContext.broadcast((block.ids, block.words, seeds, first, last, block.item[rare], block.position[rare], bits))
+    seeds, first = np.unique(block.seeds, return_index=True)
+    last = np.append(first[1:], len(block.seeds))
+    table = spark.sparkContext.broadcast((block.ids, block.words, seeds, first, last, block.item, block.position, block.filter_bits()))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, item_words, seeds, first, last, seed_item, seed_position, bits = table.value
@@ -192,21 +179,26 @@ def _in_block(spark, rows: DataFrame, block: Block, n: int, least: float, few: i
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 words, begins = word_hashes(part.column(1), bare)
-                where, which = hits(words, sizes, bits, seeds)
-                n_hits = (last - first)[which]
-                where = np.repeat(where, n_hits)
-                entry = np.repeat(first[which] - (np.cumsum(n_hits) - n_hits), n_hits) + np.arange(n_hits.sum())
-                item, position = seed_item[entry], seed_position[entry]
-                doc = np.searchsorted(begins, where, side="right") - 1
-                order = np.lexsort((where, item, doc))
-                where, item, position, doc = where[order], item[order], position[order], doc[order]
-                cuts = np.flatnonzero(np.diff(doc) | np.diff(item)) + 1
+                all_where, all_which = hits(words, sizes, bits, seeds)
+                all_doc = np.searchsorted(begins, all_where, side="right") - 1
+                load = np.cumsum(np.bincount(all_doc, weights=(last - first)[all_which], minlength=part.num_rows))
+                turn = (load // HITS).astype(np.int64)[all_doc]  # documents whose hits are held at a time
                 todo = []
-                for x in np.split(np.arange(len(where)), cuts) if len(where) else []:
-                    d, i = int(doc[x[0]]), int(item[x[0]])
-                    length = len(item_words[i])
-                    for a, b in windows_of(where[x], position[x], length, slack=max(4, length // 4)):
-                        todo.append((d, i, max(a, int(begins[d])), min(b, int(begins[d + 1]))))
+                for t in np.unique(turn).tolist():
+                    where, which, doc = (x[turn == t] for x in (all_where, all_which, all_doc))
+                    n_hits = (last - first)[which]
+                    where, doc = np.repeat(where, n_hits), np.repeat(doc, n_hits)
+                    entry = np.repeat(first[which] - (np.cumsum(n_hits) - n_hits), n_hits) + np.arange(n_hits.sum())
+                    item, position = seed_item[entry], seed_position[entry]
+                    order = np.lexsort((where, item, doc))
+                    where, item, position, doc = where[order], item[order], position[order], doc[order]
+                    cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
+                    for x in np.split(np.arange(len(where)), cuts):
+                        d, i = int(doc[x[0]]), int(item[x[0]])
+                        length = len(item_words[i])
+                        for a, b in windows_of(where[x], position[x], length, slack=max(4, length // 4)):
+                            a, b = max(a, int(begins[d])), min(b, int(begins[d + 1]))
+                            todo += [(d, i, a + lo, a + hi) for lo, hi in dense(words[a:b], item_words[i], least)]
                 best: dict[tuple[int, int], tuple] = {}
                 todo.sort(key=lambda t: t[3] - t[2])
                 for k in range(0, len(todo), 256):

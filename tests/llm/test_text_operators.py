@@ -207,6 +207,30 @@ def test_contamination_finds_copies_and_leaves_the_rest(spark):
     assert decontaminate.contaminated(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_contamination_finds_edited_and_partial_copies_in_many_documents(spark):
+    rng = random.Random(19)
+    edited_item, cut_item = ([f"{c}{k}" for k in range(20)] for c in "ij")
+    rows = []
+    for k in range(600):
+        copy = [f"e{rng.randrange(10**6)}" if j % 4 == 3 else w for j, w in enumerate(edited_item)] if k < 300 else cut_item[:11]
+        rows.append((k, " ".join([words(rng, 60, 5000), *copy, words(rng, 60, 5000)]), "en", "s", 1))
+    rows += [(1000 + k, " ".join([words(rng, 60, 5000), *cut_item[:3], words(rng, 60, 5000)]), "en", "s", 1) for k in range(300)]
+    bench = spark.createDataFrame([(1, " ".join(edited_item)), (2, " ".join(cut_item)), (3, words(rng, 30, 5000))], "item_id long, text string")
+    got = decontaminate.contaminated(table(spark, rows), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, 1 + k // 300) for k in range(600)]
+
+
+def test_dense_parts_hold_every_passage():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        item, window = (rng.integers(0, 12, n).astype(np.uint64) for n in (rng.integers(1, 12), rng.integers(1, 80)))
+        parts = decontaminate.dense(window, item, 0.5)
+        whole = decontaminate.smith_waterman([item], [window])[0]
+        if whole[0] >= len(item):  # half of the item's score with itself
+            cut = [decontaminate.smith_waterman([item], [window[a:b]])[0] for a, b in parts]
+            assert max(c[0] for c in cut) == whole[0]
+
+
 # toxicity
 
 
