@@ -153,6 +153,18 @@ def test_passages_shared_by_documents(spark):
     assert substring_dedup.repeated_passages(table(spark, [])).count() == 0
 
 
+def test_passages_that_a_document_holds_twice(spark):
+    rng = random.Random(15)
+    prose = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    passage = prose(80)
+    twice = prose(30) + passage + prose(70) + passage + prose(30)
+    quoted = prose(20) + passage[:40] + prose(70) + passage[40:] + prose(70) + passage + prose(20)
+    rows = [(k, " ".join(w), "en", "s", 1) for k, w in enumerate([twice, quoted, prose(50) + passage + prose(50)])]
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    for doc, at in ((0, 30), (0, 180), (1, 240), (2, 50)):
+        assert any(r["doc_id"] == doc and r["start_word"] <= at and r["end_word"] >= at + 80 and r["end_word"] - r["start_word"] <= 90 for r in got), (doc, at)
+
+
 def test_passages_of_a_hot_seed(spark, monkeypatch):
     rng = random.Random(8)
     hot = [f"h{k}" for k in range(60)]
