@@ -165,6 +165,39 @@ def test_passages_that_a_document_holds_twice(spark):
         assert any(r["doc_id"] == doc and r["start_word"] <= at and r["end_word"] >= at + 80 and r["end_word"] - r["start_word"] <= 90 for r in got), (doc, at)
 
 
+def test_passages_whose_parts_stand_in_other_texts(spark):
+    """A and B share 80 words, C has the first and D the last of them, under 50 each; whichever nodes are smaller, A and B are found."""
+    rng = random.Random(25)
+    prose = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    docs, want = [], set()
+    for cut, overlap in [(40, 0)] * 20 + [(40, 9)] * 10:
+        passage = prose(80)
+        for part in (passage, passage, passage[: cut + overlap], passage[cut - overlap :]):
+            if len(part) == 80:
+                want.add(len(docs))
+            docs.append(prose(60) + part + prose(60))
+    rows = [(k, " ".join(x), "en", "s", 1) for k, x in enumerate(docs)]
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    assert {r["doc_id"] for r in got if r["start_word"] <= 60 and r["end_word"] >= 140} == want == {r["doc_id"] for r in got}
+
+
+def test_every_equal_run_is_found(spark):
+    """Against brute force: each run of 50 words that another text holds lies in a listed passage."""
+    rng = random.Random(35)
+    phrases = [[f"h{rng.randrange(10**6)}" for _ in range(24)] for _ in range(6)]
+    docs = [[x for _ in range(6) for x in [*rng.choice(phrases), *(["z"] * rng.randrange(2))]] for _ in range(60)]
+    rows = [(k, " ".join(x), "en", "s", 1) for k, x in enumerate(docs)]
+    holders = collections.defaultdict(set)
+    for k, x in enumerate(docs):
+        for i in range(len(x) - 49):
+            holders[tuple(x[i : i + 50])].add(k)
+    listed = collections.defaultdict(list)
+    for r in substring_dedup.repeated_passages(table(spark, rows)).collect():
+        listed[r["doc_id"]].append((r["start_word"], r["end_word"]))
+    missed = [(k, i) for k, x in enumerate(docs) for i in range(len(x) - 49) if len(holders[tuple(x[i : i + 50])]) > 1 and not any(a <= i and b >= i + 50 for a, b in listed[k])]
+    assert not missed
+
+
 def test_passages_of_a_hot_seed(spark, monkeypatch):
     rng = random.Random(8)
     hot = [f"h{k}" for k in range(60)]
