@@ -10,7 +10,7 @@ few words in a long text must not be averaged away; training takes the same pass
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -23,11 +23,21 @@ from .common import bounded_batches, columns, mix64
 from .shingles import odd_constants
 
 _WORD = re.compile(r"[^\W_]+")
+LONGEST, PIECE = 64, 16
+
+
+def in_pieces(words: Iterable[str]) -> Iterator[str]:
+    """The words; of one of more than LONGEST characters, as of scripts without blanks, overlapping pieces up to its end."""
+    for w in words:
+        if len(w) <= LONGEST:
+            yield w
+        else:
+            yield from (w[k : k + PIECE] for k in range(0, len(w) - PIECE // 2, PIECE // 2))
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters and digits of the whole text; a word that repeats at once counts once."""
-    return [w for w, _ in groupby(_WORD.findall(text.lower()))]
+    """Lower-case runs of letters and digits of the whole text, long ones in pieces; a word that repeats at once counts once."""
+    return [w for w, _ in groupby(in_pieces(_WORD.findall(text.lower())))]
 
 
 _PLACES = odd_constants(320)
@@ -45,7 +55,7 @@ def features(words: list[str], bits: int, shortest: int = 3, longest: int = 6) -
 
 
 def _features(words: list[str], bits: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = [f"<{w[:64]}>".encode() for w in words]
+    raw = [f"<{w}>".encode() for w in words]
     length = np.fromiter(map(len, raw), np.int64, len(raw))
     text = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     begin = np.cumsum(length) - length
@@ -93,7 +103,7 @@ class Scorer:
         pieces = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = cut.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        found = [_WORD.findall(p.lower()) for p in coded.dictionary.to_pylist()]
+        found = [list(in_pieces(_WORD.findall(p.lower()))) for p in coded.dictionary.to_pylist()]
         index: dict[str, int] = {}
         held = np.fromiter((index.setdefault(w, len(index)) for ws in found for w in ws), np.int64)
         n_held = np.fromiter(map(len, found), np.int64, len(found))

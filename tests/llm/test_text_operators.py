@@ -265,6 +265,17 @@ def test_toxicity_on_held_out_and_misspelt_words(spark):
     assert all(scorer(f"{clean} {w}") > usual[len(usual) // 2] for w in spoiled)
 
 
+def test_toxicity_behind_64_letters():
+    rows, labels, bad, _ = toxic_rows(800)
+    scorer = toxicity.train([r[1] for r in rows], [y for _, _, y in labels]).scorer()
+    clean = "".join(rows[1][1].split())[:64]
+    for w in bad:
+        assert scorer(clean + w * 3) > scorer(clean + clean[: 3 * len(w)]) and scorer(clean + w * 3) >= 0.5
+    run = "".join(chr(0x4E00 + k) for k in range(1000))
+    assert all(run[k : k + 8] in " ".join(toxicity.words_of(run)) for k in range(0, 993))
+    assert toxicity.words_of("a" * 64 + " b") == ["a" * 64, "b"]
+
+
 def test_toxicity_of_odd_rows(spark):
     model = toxicity.train(["good text", "bad stuff"] * 20, [0, 1] * 20, epochs=2)
     docs = table(spark, extra=True)
