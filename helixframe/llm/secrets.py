@@ -1,7 +1,7 @@
 """Secrets: fixed patterns, and sliding-window Shannon entropy over candidate strings (operator 4).
 
 Base patterns give spans of kinds assign, access and hex. The entropy method takes maximal runs of token characters as
-candidates, puts each into a character class, and moves a window over it; the window's entropy is kept by adding the term
+candidates, and what stands between their '=' and other signs as candidates too, puts each into a character class, and moves a window over it; the window's entropy is kept by adding the term
 of the character that enters and that of the one that leaves. Windows above the class's threshold are merged to a span,
 unless the candidate is on the allow-list or a base span holds it already.
 """
@@ -24,6 +24,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_SEGMENTS = (re.compile(r"[^=]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"))
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "entropy_digits", "entropy_hex", "entropy_alnum", "entropy_base64")
 
@@ -96,22 +97,32 @@ class Scanner:
     def entropy(self, text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         out = []
         for m in _CANDIDATE.finditer(text):
-            s, at = m[0], m.start()
-            if s.isalpha() or any(a <= at and m.end() <= b for _, a, b in known) or any(p.fullmatch(s) for p in self.allowed):
-                continue
-            for c in self.classes:
-                if c.alphabet.fullmatch(s):
-                    n, first, last = min(c.window, len(s)), None, 0
-                    for k, bits in enumerate(entropy_windows(s, c.window)):
-                        if bits >= c.bits:
-                            if first is not None and k > last:
-                                out.append((c.kind, at + first, at + last))
-                                first = None
-                            first = k if first is None else first
-                            last = k + n
-                    if first is not None:
-                        out.append((c.kind, at + first, at + last))
-                    break
+            parts = {(m.start(), m[0]): None}
+            parts.update({(m.start() + x.start(), x[0]): None for p in _SEGMENTS for x in p.finditer(m[0])})
+            mine: list[tuple[str, int, int]] = []
+            for at, s in parts:
+                mine += [x for x in self._suspicious(s, at, known) if not any(a <= x[1] and x[2] <= b for _, a, b in mine)]
+            out += mine
+        return out
+
+    def _suspicious(self, s: str, at: int, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """Spans of one candidate, or segment of one, that begins at `at`."""
+        out: list[tuple[str, int, int]] = []
+        if s.isalpha() or any(a <= at and at + len(s) <= b for _, a, b in known) or any(p.fullmatch(s) for p in self.allowed):
+            return out
+        for c in self.classes:
+            if c.alphabet.fullmatch(s):
+                n, first, last = min(c.window, len(s)), None, 0
+                for k, bits in enumerate(entropy_windows(s, c.window)):
+                    if bits >= c.bits:
+                        if first is not None and k > last:
+                            out.append((c.kind, at + first, at + last))
+                            first = None
+                        first = k if first is None else first
+                        last = k + n
+                if first is not None:
+                    out.append((c.kind, at + first, at + last))
+                break
         return out
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:

@@ -88,6 +88,13 @@ def test_entropy_finds_keys_and_allows_what_is_none():
     assert found("secret=aK9fL2mQ8zR4tY7uP1wE5sD3") == ["assign"]
 
 
+def test_entropy_finds_keys_of_one_case_beside_signs():
+    scanner = secrets.Scanner()
+    for lead, key in (("access_key=", "3ax6xnjp29jd6fds4gc373sgvjxteol0"), ("key-", "3ax6xnjp29jd6fds4gc373sgvjxteol0"), ("KEY=", "9F8E7D6C5B4A39281706F5E4D3C2B1A0"), ("example=", "3ax6xnjp29jd6fds4gc373sgvjxteol0")):
+        spans = scanner.spans(f"x {lead}{key} y")
+        assert spans and all(a >= 2 + len(lead) for _, a, _ in spans) and max(b for _, _, b in spans) == 2 + len(lead) + len(key), lead
+
+
 def test_find_secrets_rows(spark):
     rows = [(k, t, "en", "s", 1) for k, t in enumerate(SECRET_TEXTS)] + odd_rows()
     got = secrets.find_secrets(table(spark, rows, extra=True)).collect()
