@@ -33,9 +33,11 @@ def _byte_chars() -> dict[int, str]:
 class Encoder:
     """many(texts): the ids of whole texts, little-endian unsigned 32-bit integers.
 
-    Special tokens' strings in a text are ordinary text. For vocabularies whose normaliser drops white space, texts are cut
+    Strings of the vocabulary's special tokens get these tokens' ids, as the library gives them: they hold no white space,
+    so no cut goes through them, and a piece that holds one is encoded by the library. For vocabularies whose normaliser drops white space, texts are cut
     at ASCII white space; for byte-level ones in front of a blank that follows another character than white space.
-    Signs that end a piece after letters are a pre-token of their own in both kinds, so they are encoded by themselves.
+    Signs that end a piece after letters are a pre-token of their own in both kinds, so they are encoded by themselves, unless
+    the letters' normal form ends in a mark, which joins the signs' pre-token.
     """
 
     def __init__(self, path: str, limit: int = 1 << 18):
@@ -43,7 +45,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.byte_level = self.tokenizer.normalizer is None
         self.blank = " " if self.byte_level else ""
@@ -76,12 +77,15 @@ class Encoder:
             w = words[k]
             if w.isalpha():
                 out[k] = letters(w)
-            elif (base := w.rstrip(_SIGNS)) != w and base.isalpha():
+            elif (base := w.rstrip(_SIGNS)) != w and base.isalpha() and self._stays_letters(base):
                 out[k] = letters(base) + (stops.get(w[len(base) :]) or self._stop(w[len(base) :]))
             else:
                 out[k] = self._encode(self.blank + w)
         return out
 
+    def _stays_letters(self, word: str) -> bool:
+        return self.byte_level or word.isascii() or self.tokenizer.normalizer.normalize_str(word).isalpha()
+
     def _stop(self, signs: str) -> bytes:
         if len(self.stops) > 1 << 12:
             self.stops.clear()

@@ -16,13 +16,13 @@ from .util import odd_rows, table
 ODD = [
     "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n", "a\n\n  b", "x\t y", "a.", "it's a  dog's,  'll", "\x1c a\x1cb \x85 c", "\xa0 a\xa0 b ", "a ,", "é  ̈ b", " ́a", "日本 語。 テスト", "<|endoftext|> a <|startoftext|>",
     "ΑΣ ΣΑΣ. İ", "a   ", "   a  　b", "12 345, 6.", "a\x0b\x0cb  \r\n c", "a \x1c b", "a  \x1c  b", "  .", ", .", "a , b", "x" * 100 + " b " + "y" * 100 + ".", "a.b", "of%%% it's. a'.' b.'s c_ _c d<|endoftext|> e-", "don't!? x<| y\"'", "a\n", "a  b", "a ",
+    "a<|endoftext|>b", "a <|endoftext|>", "a  <|endoftext|>  b", "<|endoftext|> ", "x<|startoftext|>.", "<|ENDOFTEXT|>", "a\t<|endoftext|><|endoftext|> b", "İßßİ_", "aİ. İ,", "İ", "<|endoftext|", "a<|endoftext|>.",
     "Ünïcode, Ａｂｃ. ﬁn", "é Éa. 가 K K", "ᾳ ǅ ß ẞ",
 ]
 
 
 def plain(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -37,6 +37,22 @@ def test_encoder_equals_library(name):
         assert np.frombuffer(ids, "<u4").tolist() == want(t), repr(t)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_library_on_random_unicode(name):
+    """The untouched library, on strings of special tokens, signs, marks, white space of all kinds and letters of many scripts."""
+    rng = random.Random(11)
+    spans = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x590, 0x700), (0x1E00, 0x2070), (0x3000, 0x3100), (0xAC00, 0xAC80), (0xFB00, 0xFB20), (0x1F600, 0x1F640)]
+    some = ["<|endoftext|>", "<|startoftext|>", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u2028", "\u3000", "İ", "ǅ", "K", "ß", ".", "_", "'s", "'LL", "1"]
+
+    def one() -> str:
+        return rng.choice(some) if rng.random() < 0.5 else chr(rng.randrange(*rng.choice(spans)))
+
+    texts = ["".join(one() for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    e, want = Encoder(public_tokenizers.path(name)), plain(name)
+    bad = [t for t, ids in zip(texts, e.many(texts)) if np.frombuffer(ids, "<u4").tolist() != want(t)]
+    assert not bad, bad[:5]
+
+
 def test_blocks_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     for ids in (np.zeros(0, np.uint32), np.array([7], np.uint32), rng.integers(0, 50_000, 1000, dtype=np.uint32), np.r_[np.full(300, 9), [2**32 - 1, 0]].astype(np.uint32), rng.integers(0, 2**32, 500, dtype=np.uint64).astype(np.uint32), np.where(rng.random(999) < 0.02, 2**31, rng.integers(0, 90, 999)).astype(np.uint32)):
