@@ -11,8 +11,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -48,9 +50,11 @@ CLASSES = (
 )
 
 #: Candidates that are no secrets: UUIDs, paths and hyphenated or underscored words, dates and times, one repeated unit, alphabet runs.
+#: A word or number between signs is read in one way only (possessive groups), so that every match takes linear time.
+_UNIT = r"(?>[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})"
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
-    re.compile(r"[/_=-]*(?:(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]{1,4})[/_=-]+)+(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]{1,4})?[/_=-]*"),
+    re.compile(rf"[/_=-]*+(?:{_UNIT}[/_=-]++)++{_UNIT}?"),
     re.compile(r"(.{1,8}?)\1{2,}.{0,7}"),
     re.compile(r".*(?:abcdefgh|ABCDEFGH|0123456789|qwertyui|EXAMPLE|example).*"),
 )
@@ -76,6 +80,19 @@ def entropy_windows(s: str, window: int) -> Iterator[float]:
             yield whole - total / n
 
 
+class Cover:
+    """holds(a, b): whether one of the spans (kind, start, end) holds all of [a, b); found by bisection."""
+
+    def __init__(self, spans: Iterable[tuple[str, int, int]]):
+        inside = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in inside]
+        self.reach = list(accumulate((b for _, b in inside), max))
+
+    def holds(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, a)
+        return k > 0 and self.reach[k - 1] >= b
+
+
 @dataclass
 class Scanner:
     """spans(text): (kind, start, end) in code points, end exclusive, sorted by start, then kind in the order of KINDS."""
@@ -95,20 +112,25 @@ class Scanner:
         return span[1], self.rank.get(span[0], len(self.rank)), span[0], span[2]
 
     def entropy(self, text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        out = []
+        """Spans of candidates, then of their segments where no span of a longer part holds them already."""
+        out, base = [], Cover(known)
         for m in _CANDIDATE.finditer(text):
-            parts = {(m.start(), m[0]): None}
-            parts.update({(m.start() + x.start(), x[0]): None for p in _SEGMENTS for x in p.finditer(m[0])})
+            levels = [[(m.start(), m[0])], *([(m.start() + x.start(), x[0]) for x in p.finditer(m[0])] for p in _SEGMENTS)]
             mine: list[tuple[str, int, int]] = []
-            for at, s in parts:
-                mine += [x for x in self._suspicious(s, at, known) if not any(a <= x[1] and x[2] <= b for _, a, b in mine)]
+            tried: set[tuple[int, int]] = set()
+            for parts in levels:
+                cover = Cover(mine)
+                for at, s in parts:
+                    if (at, len(s)) not in tried:
+                        tried.add((at, len(s)))
+                        mine += [x for x in self._suspicious(s, at, base) if not cover.holds(x[1], x[2])]
             out += mine
         return out
 
-    def _suspicious(self, s: str, at: int, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    def _suspicious(self, s: str, at: int, base: Cover) -> list[tuple[str, int, int]]:
         """Spans of one candidate, or segment of one, that begins at `at`."""
         out: list[tuple[str, int, int]] = []
-        if s.isalpha() or any(a <= at and at + len(s) <= b for _, a, b in known) or any(p.fullmatch(s) for p in self.allowed):
+        if s.isalpha() or base.holds(at, at + len(s)) or any(p.fullmatch(s) for p in self.allowed):
             return out
         for c in self.classes:
             if c.alphabet.fullmatch(s):
@@ -171,18 +193,23 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """docs with its own columns, every secret in text_col replaced by mark and, where it changed, chars_col counted anew."""
+    """docs with its own columns, every secret in text_col replaced by mark and, where that changed it, chars_col counted anew.
+
+    Null texts stay null, empty texts empty. Each row is searched by itself; repeated rows and other columns make no difference.
+    """
     bounded_batches(docs.sparkSession)
     names = docs.columns
-    at = names.index(text_col)
+    at, changed = names.index(text_col), "\x00changed"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
         for batch in batches:
-            texts = [t if t is None else redacted(t, scanner.spans(t), mark) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            old = batch.column(at).to_pylist()
+            new = [t if t is None else redacted(t, scanner.spans(t), mark) for t in old]
+            made = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            yield made.append_column(changed, pa.array([a != b for a, b in zip(old, new)], pa.bool_()))
 
-    out = docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    out = docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{changed}` boolean")
     if chars_col in names:
-        out = out.withColumn(chars_col, F.when(F.contains(text_col, F.lit(mark)), F.length(text_col)).otherwise(F.col(chars_col)).cast(dict(docs.dtypes)[chars_col]))
-    return out
+        out = out.withColumn(chars_col, F.when(F.col(changed), F.length(text_col)).otherwise(F.col(f"`{chars_col}`")).cast(dict(docs.dtypes)[chars_col]))
+    return out.drop(changed)

@@ -95,6 +95,81 @@ def test_entropy_finds_keys_of_one_case_beside_signs():
         assert spans and all(a >= 2 + len(lead) for _, a, _ in spans) and max(b for _, _, b in spans) == 2 + len(lead) + len(key), lead
 
 
+def brute_unit_list(s):
+    """Whether s is words and numbers of one case or capitalised, each but the last followed by signs, one sign at least."""
+    parts = re.split("[/_=-]", s)
+    words = [p for p in parts if p]
+    return len(parts) > 1 and bool(words) and words[0] != s and all(p.isdigit() and len(p) < 5 or p.isalpha() and (p.islower() or p.isupper() or p[0].isupper() and p[1:].islower()) for p in words)
+
+
+def brute_entropy(text):
+    """Entropy spans from scratch: every window's entropy counted anew, spans as sets of characters."""
+    base = brute_base(text)
+    out = []
+    for c in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        if c.end() - c.start() < 20:
+            continue
+        mine = []
+        for pattern in ("(?s).+", "[^=]+", "[A-Za-z0-9]+"):
+            level = []
+            for m in re.finditer(pattern, c[0]):
+                s, at = m[0], c.start() + m.start()
+                if len(s) < 20 or s.isalpha() or any(a <= at and at + len(s) <= b for _, a, b in base):
+                    continue
+                if re.fullmatch("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", s) or brute_unit_list(s):
+                    continue
+                if any(x in s for x in ("abcdefgh", "ABCDEFGH", "0123456789", "qwertyui", "EXAMPLE", "example")):
+                    continue
+                if any(s[: n * 3] == s[:n] * 3 and len(s) - max(n * k for k in range(3, len(s) // n + 1) if s[: n * k] == s[:n] * k) < 8 for n in range(1, 9) if len(s) >= 3 * n):
+                    continue
+                has = [any(x in g for x in s) for g in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+                if s.isdigit():
+                    kind, size, bits = "entropy_digits", 20, 3.2
+                elif not set(s) - set("0123456789abcdef") or not set(s) - set("0123456789ABCDEF"):
+                    kind, size, bits = "entropy_hex", 20, 3.0
+                elif s.isalnum() and has[0]:
+                    kind, size, bits = "entropy_alnum", 20, 3.7
+                elif all(has):
+                    kind, size, bits = "entropy_base64", 24, 4.0
+                else:
+                    continue
+                n = min(size, len(s))
+                hot = [k for k in range(len(s) - n + 1) if -sum(v / n * math.log2(v / n) for v in collections.Counter(s[k : k + n]).values()) >= bits]
+                runs = []
+                for k in hot:
+                    if runs and k <= runs[-1][1]:
+                        runs[-1][1] = k + n
+                    else:
+                        runs.append([k, k + n])
+                level += [(kind, at + a, at + b) for a, b in runs if not any(x <= at + a and at + b <= y for _, x, y in mine) and (kind, at + a, at + b) not in mine]
+            mine += [x for x in level if x not in mine]
+        out += mine
+    return out
+
+
+def test_entropy_spans_equal_brute_force():
+    rng = random.Random(12)
+    alphabets = ["0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "aZ9", "Ab"]
+    run = lambda: "".join(rng.choice(a) for a in [rng.choice(alphabets)] for _ in range(rng.choice((1, 3, 5, 19, 20, 21, 30, 45))))
+    other = ["=", "/", "-", "_", "+", " ", "\n", "example", "é", "token=", "AbcAbcAbcAbcAbcAbcAbcAb", "123e4567-e89b-12d3-a456-426614174000", "Some-Words_in/3/1999=x", "A_"]
+    scanner = secrets.Scanner()
+    for _ in range(3000):
+        text = "".join(run() if rng.random() < 0.5 else rng.choice(other) for _ in range(rng.randrange(1, 12)))
+        want = sorted(brute_base(text) + brute_entropy(text), key=scanner._order)
+        assert scanner.spans(text) == want, repr(text)
+
+
+def test_long_candidates_take_linear_time():
+    import time
+
+    scanner = secrets.Scanner()
+    key = "aK9fL2mQ8zR4tY7uP1wE5sD3"
+    for text in ("A_" * 50_000 + "9aB+", "A" * 100_000 + "9_", "Ab1=" * 25_000, f"{key}=" * 4_000, f"token={key} " * 4_000, "a1" * 50_000, "_" * 100_000, "9" * 100_000):
+        began = time.perf_counter()
+        scanner.spans(text)
+        assert time.perf_counter() - began < 3, text[:20]
+
+
 def test_find_secrets_rows(spark):
     rows = [(k, t, "en", "s", 1) for k, t in enumerate(SECRET_TEXTS)] + odd_rows()
     got = secrets.find_secrets(table(spark, rows, extra=True)).collect()
@@ -108,11 +183,12 @@ def test_find_secrets_rows(spark):
 
 
 def test_redaction_keeps_documents(spark):
-    df = table(spark, [(1, "a token = abcdef0123456789abcdef0123 b", "en", "s", 38), (2, "clean", "en", "s", 77), (3, None, None, None, None)], extra=True)
+    df = table(spark, [(1, "a token = abcdef0123456789abcdef0123 b", "en", "s", 38), (2, "clean", "en", "s", 77), (3, None, None, None, None), (4, "has [SECRET] already", "en", "s", 5)], extra=True)
     out = secrets.redact_secrets(df)
     got = {r["doc_id"]: r for r in out.collect()}
     assert out.columns == df.columns and got[1]["text"] == "a [SECRET] b" and got[1]["n_chars"] == 12
     assert got[2]["text"] == "clean" and got[2]["n_chars"] == 77 and got[3]["text"] is None
+    assert got[4]["text"] == "has [SECRET] already" and got[4]["n_chars"] == 5
 
 
 # quality
