@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,31 +19,54 @@ WORD_SPACE = " \t\n\x0b\f\r"
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (`spark.checkpoint.dir`).
 
-    Only where that is unset, as in tests on one machine, a folder of the session's warehouse is used.
+    Only where that is unset and all runs on one machine, as in tests, a folder of the session's warehouse is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage is cut, and a lost executor costs nothing."""
+_SCRATCH: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: lineage is cut, and a lost executor costs nothing.
+
+    Inside scratch() the table is deleted at the end, unless keep.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(folder)
+    df.write.option("compression", compression).parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete the files of written() tables which no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
+def _delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written() inside are deleted at the end: what is made of them must have been written with keep by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _SCRATCH.pop())
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the folders of written() tables which no later step reads."""
+    _delete(spark, {f.rpartition("/")[0].rpartition("/")[0] for t in tables for f in t.inputFiles()})
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Hand Python workers a few megabytes at a time, however long the texts; what the session sets itself is left alone."""
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")):
@@ -48,6 +74,26 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def release() -> None:
+    """Give freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives freed memory back to the system: it is used again, by other tasks and stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def columns(df: DataFrame, **named: str) -> DataFrame:
     """Only the named columns of df, under the operator's names, so that extra columns can't clash."""
     bounded_batches(df.sparkSession)

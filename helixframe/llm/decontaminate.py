@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns
+from .common import bounded_batches, columns, tidied, written
 from .shingles import bare, shingle_hashes, word_hashes
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -130,26 +130,60 @@ def dense(window: np.ndarray, item: np.ndarray, least: float) -> list[tuple[int,
     return [(int(part[0]), int(part[-1]) + reach) for part in np.split(starts, cuts)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, few: int = 100, times: int = 4, block_grams: int = 1 << 21, item_col: str = "item_id") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_grams: int = 1 << 21, item_col: str = "item_id") -> DataFrame:
     """A row per document and test item that it holds a copy of, exact or edited.
 
     Columns: doc_id, item_id, similarity (alignment score by that of the whole item with itself, `least` or more), n_matched
     and n_item_words (words), start_word and end_word (of the passage, counting words that have a letter or digit). Only the
     best passage of an item in a document is listed. Words are compared in lower case without signs. Null, empty and
     wordless texts and items match nothing; rows of equal or null doc_id are documents of their own, equal items are all
-    listed. Copies that keep no n words in a row of an item aren't found. No seed is dropped for being frequent: few and
-    times, the limits of an earlier choice of rare seeds, are taken and change nothing.
+    listed. Copies that keep no n words in a row of an item aren't found. No seed is dropped for being frequent.
     """
     spark = docs.sparkSession
     rows = columns(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text")
-    items = columns(benchmark, item_id=item_col, text="text").select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
     out = None
-    for block in _blocks(items, n, block_grams):
-        found = _in_block(spark, rows, block, n, least)
+    for block in _blocks(_items(benchmark, item_col), n, block_grams):
+        table = spark.sparkContext.broadcast(block)
+
+        def find(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            for part, begins, best in _searched(batches, 1, table.value, n, least):
+                if best:
+                    ids, words, doc_ids = table.value.ids, table.value.words, part.column(0).to_pylist()
+                    made = [{"doc_id": doc_ids[d], "item_id": int(ids[i]), "similarity": s, "n_matched": m, "n_item_words": len(words[i]), "start_word": -lo - int(begins[d]), "end_word": hi - int(begins[d])} for (d, i), (s, lo, m, hi) in sorted(best.items())]
+                    yield pa.RecordBatch.from_pylist(made, schema=pa.schema([(c, pa.float64() if c == "similarity" else pa.int64()) for c in made[0]]))
+
+        found = rows.mapInArrow(tidied(find), FOUND)
         out = found if out is None else out.unionAll(found)
     return spark.createDataFrame([], FOUND) if out is None else out
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_grams: int = 1 << 21, item_col: str = "item_id") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no copy of a test item, as contaminated() finds them.
+
+    Every row is judged by its own text where it is read, so repeated and null ids are no matter, and nothing is joined.
+    """
+    bounded_batches(docs.sparkSession)
+    names, schema = docs.columns, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    at = names.index("text")
+    out = docs
+    for k, block in enumerate(_blocks(_items(benchmark, item_col), n, block_grams)):
+        table = docs.sparkSession.sparkContext.broadcast(block)
+        out = written(out, "clean") if k else out
+
+        def keep(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            for part, _, best in _searched(batches, at, table.value, n, least):
+                clean = np.ones(part.num_rows, bool)
+                clean[[d for d, _ in best]] = False
+                yield part.filter(pa.array(clean))
+
+        out = out.mapInArrow(tidied(keep), schema)
+    return out
+
+
+def _items(benchmark: DataFrame, item_col: str) -> DataFrame:
+    return columns(benchmark, item_id=item_col, text="text").select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
+
+
 def _blocks(items: DataFrame, n: int, block_grams: int) -> Iterator[Block]:
     """All items, streamed to the driver, in blocks of some block_grams words."""
     ids, texts, size = [], [], 0
@@ -167,50 +201,55 @@ def _blocks(items: DataFrame, n: int, block_grams: int) -> Iterator[Block]:
         yield block_of(ids, texts, n)
 
 
-def _in_block(spark, rows: DataFrame, block: Block, n: int, least: float) -> DataFrame:
-    sizes = sorted({min(n, len(w)) for w in block.words if len(w)})
+def _searched(batches: Iterator[pa.RecordBatch], text_at: int, block: Block, n: int, least: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, dict]]:
+    """Parts of the batches, where their texts' words begin, and by (row, item) the best passage (similarity, -start, matches, end)."""
+    bits, seed_item, seed_position, item_words = block.filter_bits(), block.item, block.position, block.words
     seeds, first = np.unique(block.seeds, return_index=True)
     last = np.append(first[1:], len(block.seeds))
-    table = spark.sparkContext.broadcast((block.ids, block.words, seeds, first, last, block.item, block.position, block.filter_bits()))
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, item_words, seeds, first, last, seed_item, seed_position, bits = table.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                words, begins = word_hashes(part.column(1), bare)
-                all_where, all_which = hits(words, sizes, bits, seeds)
-                all_doc = np.searchsorted(begins, all_where, side="right") - 1
-                load = np.cumsum(np.bincount(all_doc, weights=(last - first)[all_which], minlength=part.num_rows))
-                turn = (load // HITS).astype(np.int64)[all_doc]  # documents whose hits are held at a time
-                todo = []
-                for t in np.unique(turn).tolist():
-                    where, which, doc = (x[turn == t] for x in (all_where, all_which, all_doc))
-                    n_hits = (last - first)[which]
-                    where, doc = np.repeat(where, n_hits), np.repeat(doc, n_hits)
-                    entry = np.repeat(first[which] - (np.cumsum(n_hits) - n_hits), n_hits) + np.arange(n_hits.sum())
-                    item, position = seed_item[entry], seed_position[entry]
-                    order = np.lexsort((where, item, doc))
-                    where, item, position, doc = where[order], item[order], position[order], doc[order]
-                    cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
-                    for x in np.split(np.arange(len(where)), cuts):
-                        d, i = int(doc[x[0]]), int(item[x[0]])
-                        length = len(item_words[i])
-                        for a, b in windows_of(where[x], position[x], length, slack=max(4, length // 4)):
-                            a, b = max(a, int(begins[d])), min(b, int(begins[d + 1]))
-                            todo += [(d, i, a + lo, a + hi) for lo, hi in dense(words[a:b], item_words[i], least)]
-                best: dict[tuple[int, int], tuple] = {}
-                todo.sort(key=lambda t: t[3] - t[2])
-                for k in range(0, len(todo), 256):
-                    group = todo[k : k + 256]
-                    for (d, i, a, b), (score, matched, lo, hi) in zip(group, smith_waterman([item_words[t[1]] for t in group], [words[t[2] : t[3]] for t in group])):
-                        similarity = score / (MATCH * len(item_words[i]))
-                        if similarity >= least:
-                            row = (similarity, -(a + lo), matched, a + hi)
-                            best[d, i] = max(best.get((d, i), row), row)
-                if best:
-                    doc_ids = part.column(0).to_pylist()
-                    made = [{"doc_id": doc_ids[d], "item_id": int(ids[i]), "similarity": s, "n_matched": m, "n_item_words": len(item_words[i]), "start_word": -lo - int(begins[d]), "end_word": hi - int(begins[d])} for (d, i), (s, lo, m, hi) in sorted(best.items())]
-                    yield pa.RecordBatch.from_pylist(made, schema=pa.schema([(c, pa.float64() if c == "similarity" else pa.int64()) for c in made[0]]))
-
-    return rows.mapInArrow(align, FOUND)
+    sizes = sorted({min(n, len(w)) for w in item_words if len(w)})
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            words, begins = word_hashes(part.column(text_at), bare)
+            all_where, all_which = hits(words, sizes, bits, seeds)
+            all_doc = np.searchsorted(begins, all_where, side="right") - 1
+            load = np.cumsum(np.bincount(all_doc, weights=(last - first)[all_which], minlength=part.num_rows))
+            turn = (load // HITS).astype(np.int64)[all_doc]  # documents whose hits are held at a time
+            todo = []
+            for t in np.unique(turn).tolist():
+                where, which, doc = (x[turn == t] for x in (all_where, all_which, all_doc))
+                n_hits = (last - first)[which]
+                where, doc = np.repeat(where, n_hits), np.repeat(doc, n_hits)
+                entry = np.repeat(first[which] - (np.cumsum(n_hits) - n_hits), n_hits) + np.arange(n_hits.sum())
+                item, position = seed_item[entry], seed_position[entry]
+                order = np.lexsort((where, item, doc))
+                where, item, position, doc = where[order], item[order], position[order], doc[order]
+                cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
+                for x in np.split(np.arange(len(where)), cuts):
+                    d, i = int(doc[x[0]]), int(item[x[0]])
+                    length = len(item_words[i])
+                    for a, b in windows_of(where[x], position[x], length, slack=max(4, length // 4)):
+                        a, b = max(a, int(begins[d])), min(b, int(begins[d + 1]))
+                        todo += [(d, i, a + lo, a + hi) for lo, hi in dense(words[a:b], item_words[i], least)]
+            best: dict[tuple[int, int], tuple] = {}
+            for group in alike(todo, item_words):
+                for (d, i, a, b), (score, matched, lo, hi) in zip(group, smith_waterman([item_words[t[1]] for t in group], [words[t[2] : t[3]] for t in group])):
+                    similarity = score / (MATCH * len(item_words[i]))
+                    if similarity >= least:
+                        row = (similarity, -(a + lo), matched, a + hi)
+                        best[d, i] = max(best.get((d, i), row), row)
+            yield part, begins, best
+
+
+def alike(todo: list[tuple[int, int, int, int]], item_words: list[np.ndarray], most: int = 256, cells: int = 1 << 19) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Alignments (row, item, from, to) in groups of like size, whose padded tables hold `cells` words together, or one alignment."""
+    group, wide, long = [], 0, 0
+    for t in sorted(todo, key=lambda t: (t[3] - t[2] + 2 * len(item_words[t[1]]), t)):
+        w, l = max(wide, t[3] - t[2]), max(long, len(item_words[t[1]]))
+        if group and (len(group) == most or (len(group) + 1) * (w + 2 * l) > cells):
+            yield group
+            group, w, l = [], t[3] - t[2], len(item_words[t[1]])
+        group.append(t)
+        wide, long = w, l
+    if group:
+        yield group

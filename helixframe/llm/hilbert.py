@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import running_start, written
+from .common import running_start, tidied, written
 
 
 def hilbert_index(cells: Sequence[Column], bits: int) -> Column:
@@ -99,7 +99,7 @@ def hilbert_order(rows: DataFrame, cells: Sequence[Column], bits: int, ties: Seq
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "_task", "_nth"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in ordered.dtypes) + ", _task int, _nth long"
-    numbered = written(ordered.mapInArrow(number, schema), "hilbert")
+    numbered = written(ordered.mapInArrow(tidied(number), schema), "hilbert")
     starts = running_start(numbered.groupBy("_task").agg(F.count("*").alias("n")), "_task", "n", "_start")
     total = numbered.count()
     rank = F.col("_start") + F.col("_nth")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns, dropped, running_start, table_rows, text_of, written
+from .common import columns, dropped, running_start, table_rows, text_of, tidied, written
 from .tokens import encoder
 
 TOKENS = "doc_id long, n_ids long, ids binary"
@@ -199,7 +199,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
                 raw = [i + end for i in raw_ids[k : k + 512]]
                 yield pa.RecordBatch.from_pydict({"doc_id": ids[k : k + 512], "n_ids": pa.array([len(r) // 4 for r in raw], pa.int64()), "ids": pa.array([np.frombuffer(r, "<u4").astype("<u2").tobytes() if narrow else r for r in raw], pa.binary())})
 
-    return columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(encode, TOKENS)
+    return columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(tidied(encode), TOKENS)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, depth: int = 3, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -240,7 +240,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, end_id:
         if rows := packer.round(last=True):
             yield out(rows)
 
-    pieces = written(tokens.mapInArrow(pack, PIECES), "pieces")
+    pieces = written(tokens.mapInArrow(tidied(pack), PIECES), "pieces")
     if not with_ids:
         dropped(spark, tokens)
     sequences = pieces.groupBy("task").agg((F.max("local_sequence") + 1).alias("n"))

@@ -19,7 +19,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, columns, text_of
+from .common import bounded_batches, columns, text_of, tidied
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -189,7 +189,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 made = [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
 
-    return columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(find, FOUND)
+    return columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(tidied(find), FOUND)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
@@ -209,7 +209,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | Non
             made = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
             yield made.append_column(changed, pa.array([a != b for a, b in zip(old, new)], pa.bool_()))
 
-    out = docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{changed}` boolean")
+    out = docs.mapInArrow(tidied(run), ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{changed}` boolean")
     if chars_col in names:
         out = out.withColumn(chars_col, F.when(F.col(changed), F.length(text_col)).otherwise(F.col(f"`{chars_col}`")).cast(dict(docs.dtypes)[chars_col]))
     return out.drop(changed)

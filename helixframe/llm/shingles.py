@@ -17,8 +17,15 @@ def odd_constants(n: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+#: ASCII letters in lower case, and what is neither letter nor digit.
+_LOWER = bytes(range(256)).lower()
+_SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
+
+
 def bare(word: bytes) -> bytes:
     """The word in lower case without signs; empty if it has no letter or digit."""
+    if word.isascii():
+        return word.translate(_LOWER, _SIGNS)
     return "".join(c for c in word.decode().lower() if c.isalnum()).encode()
 
 

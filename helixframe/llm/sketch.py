@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table_rows
+from .common import table_rows, tidied
 
-COUNT_BITS, KEY_BITS, SHARED_BITS, PARTS = 20, 26, 27, 64
+COUNT_BITS, KEY_BITS, PARTS = 20, 26, 64
 _PART = pa.schema([("part", pa.int32()), ("content", pa.binary())])
 
 
@@ -55,79 +55,12 @@ def levels(parts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pylist([_packed(part, np.minimum(c, 0xFFFFFFFF).astype(np.uint32))], schema=_PART)
 
     total = np.zeros((PARTS, width), np.float64)
-    for r in parts.select("part", "content").repartition(PARTS, "part").mapInArrow(add, "part int, content binary").collect():  # PARTS rows, 4 MB in all
+    for r in parts.select("part", "content").repartition(PARTS, "part").mapInArrow(tidied(add), "part int, content binary").collect():  # PARTS rows, 4 MB in all
         total[r["part"]] = np.frombuffer(pa.decompress(bytes(r["content"]), 4 * width, "zstd"), np.uint32)
     usual = total.mean() + 4 * np.sqrt(total.mean())
     return np.minimum(np.frexp(np.maximum(0, total.ravel() - usual) // 16)[1], 15).astype(np.uint8)
 
 
-class Twice:
-    """Which of 2**SHARED_BITS buckets have been hit once, and which twice or more, in one task. 32 MB.
-
-    A hash whose bucket was hit once over all tasks is in one set only; more hits may also be chance. With a load of l hashes a
-    bucket, exp(-l) of the hashes that are in one set are known to be: raise SHARED_BITS with the corpus.
-    """
-
-    def __init__(self):
-        self.once, self.more = (np.zeros(1 << (SHARED_BITS - 3), np.uint8) for _ in range(2))
-
-    def add(self, hashes: np.ndarray) -> None:
-        at = np.sort((hashes >> np.uint64(64 - SHARED_BITS)).astype(np.uint32))
-        fresh = np.append(True, at[1:] != at[:-1]) if len(at) else np.zeros(0, bool)
-        again, at = at[~fresh], at[fresh]
-        _set(self.more, again)
-        _set(self.more, at[_bit(self.once, at)])
-        _set(self.once, at)
-
-    def rows(self) -> list[dict]:
-        """Parts from -1 down hold the buckets hit once, from PARTS up those hit more often."""
-        once = [_packed(-1 - p, c) for p, c in enumerate(self.once.reshape(PARTS, -1)) if c.any()]
-        return once + [_packed(PARTS + p, c) for p, c in enumerate(self.more.reshape(PARTS, -1)) if c.any()]
-
-
-def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8)) & 1 == 1
-
-
-def _set(bits: np.ndarray, at: np.ndarray) -> None:
-    """Set the bits at sorted places."""
-    if len(at):
-        byte = at >> np.uint32(3)
-        first = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
-        bits[byte[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (at & np.uint32(7)).astype(np.uint8), first)
-
-
-def shared_buckets(parts: DataFrame) -> np.ndarray:
-    """A bit for each bucket that was hit twice or more over all tasks, from the rows of Twice: 16 MB."""
-    width = 1 << (SHARED_BITS - 3 - 6)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        more: dict[int, np.ndarray] = {}
-        for part, raw in table_rows(batches, "part", "content"):
-            bits = np.frombuffer(pa.decompress(raw, width, "zstd"), np.uint8)
-            p = -1 - part if part < 0 else part - PARTS
-            both = more.setdefault(p, np.zeros(width, np.uint8))
-            if part < 0:
-                had = once.setdefault(p, np.zeros(width, np.uint8))
-                both |= had & bits
-                had |= bits
-            else:
-                both |= bits
-        for p, bits in more.items():
-            yield pa.RecordBatch.from_pylist([_packed(p, bits)], schema=_PART)
-
-    out = np.zeros((PARTS, width), np.uint8)
-    range_ = F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part") - PARTS)
-    for r in parts.select("part", "content").repartition(PARTS, range_).mapInArrow(merge, "part int, content binary").collect():  # PARTS rows
-        out[r["part"]] = np.frombuffer(pa.decompress(bytes(r["content"]), width, "zstd"), np.uint8)
-    return out.ravel()
-
-
-def is_shared(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return _bit(bits, (hashes >> np.uint64(64 - SHARED_BITS)).astype(np.uint32))
-
-
 def _places(nodes: np.ndarray) -> np.ndarray:
     return nodes.view(np.uint64) >> np.uint64(64 - KEY_BITS)
 
@@ -148,7 +81,7 @@ def key_filter(nodes: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pylist([_packed(p, bits)], schema=_PART)
 
     out = np.zeros((PARTS, width), np.uint8)
-    for r in nodes.select("node").repartition(PARTS, F.shiftrightunsigned("node", 58)).mapInArrow(run, "part int, content binary").collect():  # PARTS rows
+    for r in nodes.select("node").repartition(PARTS, F.shiftrightunsigned("node", 58)).mapInArrow(tidied(run), "part int, content binary").collect():  # PARTS rows
         out[r["part"]] |= np.frombuffer(pa.decompress(bytes(r["content"]), width, "zstd"), np.uint8)
     return out.ravel()
 

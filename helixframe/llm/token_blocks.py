@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import columns, running_start, table_rows, text_of
+from .common import columns, running_start, table_rows, text_of, tidied
 from .tokens import encoder
 
 MAGIC = b"PFR1"
@@ -172,7 +172,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     rows = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text_of().alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    rows.select("doc_id", "text").mapInArrow(write, SEGMENTS).write.option("compression", "none").parquet(path)
+    rows.select("doc_id", "text").mapInArrow(tidied(write), SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def read_token_blocks(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -202,6 +202,6 @@ def read_token_blocks(spark: SparkSession, path: str, with_ids: bool = False) ->
 
     segments = spark.read.schema(SEGMENTS).parquet(path)
     totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    found = segments.select("shard", "first_id", "payload").mapInArrow(read, DOCUMENTS + ", ids array<int>" * with_ids)
+    found = segments.select("shard", "first_id", "payload").mapInArrow(tidied(read), DOCUMENTS + ", ids array<int>" * with_ids)
     out = found.join(running_start(totals, "shard", "n", "shard_start"), "shard")
     return out.select("doc_id", (F.col("local_start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32", "shard", *["ids"] * with_ids)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, columns, mix64
+from .common import bounded_batches, columns, mix64, tidied
 from .shingles import odd_constants
 
 _WORD = re.compile(r"[^\W_]+")
@@ -98,7 +98,7 @@ class Scorer:
         return float(self.many(pa.array([text]))[0])
 
     def many(self, texts: pa.Array) -> np.ndarray:
-        """A score per text. Words never reach across white space, so texts are cut there and words sought in distinct pieces."""
+        """A score per text, 0 for those without words. Words never reach across white space, so texts are cut there and words sought in distinct pieces."""
         cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         pieces = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = cut.flatten().dictionary_encode()
@@ -114,16 +114,14 @@ class Scorer:
         total = np.concatenate(([0], np.cumsum(n)))
         words = held[np.repeat(first[codes] - total[:-1], n) + np.arange(total[-1])]
         ends = total[np.cumsum(pieces)] if len(pieces) else pieces
-        out, start = np.empty(len(texts)), 0
+        out, start = np.full(len(texts), -np.inf), 0
         for k, end in enumerate(ends.tolist()):
             own = words[start:end]
             if len(own):
                 own = own[np.append(True, own[1:] != own[:-1])]
                 out[k] = self.bias + best_window(logit[own], self.window)[0]
-            else:
-                out[k] = self.bias
             start = end
-        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+        return np.where(np.isneginf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -500, 500))))
 
 
 def best_window(logits: np.ndarray, window: int) -> tuple[float, int]:
@@ -231,8 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = 5, la
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
     """A score from 0 to 1 for every whole text: doc_id and score, or with keep all columns of docs and the score, called name.
 
-    Null, empty and wordless texts get the score of the bias. With keep, a column of that name is replaced. Each row is scored by itself, so repeated rows and null ids
-    are no matter; the model, of a fixed size, is all that a task needs.
+    Null, empty and wordless texts score 0: nothing in them is toxic. With keep, a column of that name is replaced. Each row
+    is scored by itself, so repeated rows and null ids are no matter; the model, of a fixed size, is all that a task needs.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -246,7 +244,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kept = docs.drop(name).columns if keep else []
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), *[F.col(f"`{id_col}`").alias("doc_id")] * (not keep), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("\x00text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, schema + f", `{name}` double")
+    return rows.mapInArrow(tidied(run), schema + f", `{name}` double")
 
 
 _SCORERS: dict = {}

@@ -110,14 +110,74 @@ def test_shingles_equal_sets_of_tuples():
     assert begins.tolist() == [0, 1, 1, 1, 3] and len(hashes) == 3
 
 
-def test_sketches():
+def test_sketches(spark):
+    """Hashes that stand out by many get a level; the usual ones none."""
     rng = np.random.default_rng(2)
-    a, b = rng.integers(0, 2**63, 5000).astype(np.uint64) * 2, rng.integers(0, 2**63, 3000).astype(np.uint64) * 2
-    t = sketch.Twice()
-    t.add(np.concatenate([a, b[:10], b[:10]]))
-    t.add(b)
-    seen = collections.Counter((np.concatenate([a, b[:10], b[:10], b]) >> np.uint64(64 - sketch.SHARED_BITS)).tolist())
-    assert all(sketch.is_shared(t.more, np.array([x], np.uint64))[0] == (seen[int(x) >> (64 - sketch.SHARED_BITS)] > 1) for x in np.concatenate([a[:500], b[:500]]))
+    usual, hot = rng.integers(0, 2**63, 20_000).astype(np.uint64) * 2, rng.integers(0, 2**63, 1).astype(np.uint64) * 2
+    parts = []
+    for some in (usual, np.repeat(hot, 1000), np.repeat(hot, 500)):
+        c = sketch.Counts()
+        c.add(some)
+        parts += [(r["part"], bytearray(r["content"])) for r in c.rows()]
+    levels = sketch.levels(spark.createDataFrame(parts, "part int, content binary"))
+    assert levels[sketch.bucket(hot)][0] == 7 and levels[sketch.bucket(usual)].max() == 0
+
+
+@pytest.mark.parametrize("n,size", [(400, 60), (300, 8), (200, 400)])
+def test_voronoi_cells_miss_no_pair(n, size):
+    """Every pair of a cell that passes the bounds, by pivots and windows or by trying all of them."""
+    rng = np.random.default_rng(n)
+    centres = [rng.integers(0, 2**63, size).astype(np.uint64) for _ in range(12)]
+    sets = []
+    for k in range(n):
+        c = centres[k % 12].copy()
+        c[rng.integers(0, size, rng.integers(0, max(2, size // 5)))] = rng.integers(0, 2**63, 1).astype(np.uint64)
+        sets.append(np.unique(c[: size - int(rng.integers(0, size // 4))]))
+    counts = np.stack([np.frombuffer(jaccard_join.part_counts(s), np.uint8) for s in sets]).astype(np.int16)
+    home = rng.random(n) < 0.7
+    cell = jaccard_join.Cell(counts, np.array([len(s) for s in sets]), np.arange(n) // 3, home, 80, leaf=6)
+    cell.join(np.flatnonzero(home), np.flatnonzero(~home))
+    got = {(min(a, b), max(a, b)) for x, y in cell.found for a, b in zip(x.tolist(), y.tolist())}
+    x, y = np.triu_indices(n, 1)
+    ok = cell.near(x, y, home)
+    assert got == set(zip(x[ok].tolist(), y[ok].tolist())) and got
+    for a in range(n):
+        for b in range(a):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared) and a // 3 != b // 3 and (home[a] or home[b]):
+                assert (b, a) in got
+
+
+@pytest.mark.parametrize("block", [3, 20])
+def test_large_regions_are_split_into_cells(spark, block):
+    """Texts that share hot shingles but differ otherwise, in regions far larger than a block."""
+    rng = random.Random(block)
+    rows = []
+    for g in range(30):
+        lead = [f"h{k}" for k in range(30)]
+        base = lead + [f"g{g}x{k}" for k in range(rng.randrange(4, 12))]
+        for k in range(3):
+            w = list(base)
+            w[-1 - k] = f"q{g}{k}"
+            rows.append((1000 * g + k, " ".join(w), "en", "s", 1))
+    check_components(spark, rows, block=block)
+
+
+def test_distinct_documents(spark):
+    """One row of each component, all wordless rows, and rows of one id that differ told apart."""
+    rng = random.Random(9)
+    a, b, c = (words(rng, 60, 5000) for _ in range(3))
+    near = a.split()
+    near[0] = "other"
+    rows = [(5, a, "en", "s", 1), (3, " ".join(near), "en", "s", 2), (None, a, "en", "s", 3), (7, b, "en", "s", 4), (7, b, "en", "s", 4), (7, c, "en", "s", 5), (7, b + " ", "en", "s", 6), (8, None, None, None, None), (8, "", "en", "s", 0), (8, "", "en", "s", 0), (None, " \n", "en", "s", 1), (None, words(rng, 9, 5000), "en", "s", 1), (9, "two words", "en", "s", 1)]
+    df = table(spark, rows, extra=True)
+    got = jaccard_join.distinct_documents(df)
+    assert got.columns == df.columns
+    ids = collections.Counter((r["doc_id"], r["text"]) for r in got.collect())
+    one = [x for x in ids if x[0] == 7 and x[1] != c]
+    assert len(one) == 1 and ids[one[0]] == 1
+    del ids[one[0]]
+    assert ids == collections.Counter([(3, " ".join(near)), (7, c), (8, None), (8, ""), (8, ""), (None, " \n"), (None, rows[11][1]), (9, "two words")])
 
 
 # passages

@@ -279,12 +279,12 @@ def test_contamination_finds_copies_and_leaves_the_rest(spark):
         rows[k] = (k, " ".join(host[:50] + [copy] + host[50:]), "en", "s", 1)
         planted[k] = k % 6
     rows += odd_rows()[2:5] + [(50, "before tiny, item! after", "en", "s", 1), (None, items[0], None, None, None)] + [(60 + k, items[1], "en", "s", 1) for k in range(300)]
-    got = decontaminate.contaminated(table(spark, rows, extra=True), bench, few=20).collect()
+    got = decontaminate.contaminated(table(spark, rows, extra=True), bench).collect()
     pairs = {(r["doc_id"], r["item_id"]) for r in got}
     assert pairs == {(d, i) for d, i in planted.items()} | {(50, 6), (None, 0)} | {(60 + k, 1) for k in range(300)}
     exact = next(r for r in got if r["doc_id"] == 0)
     assert (exact["similarity"], exact["start_word"], exact["end_word"], exact["n_matched"]) == (1.0, 50, 90, 40)
-    in_blocks = decontaminate.contaminated(table(spark, rows), bench, few=20, block_grams=50).collect()
+    in_blocks = decontaminate.contaminated(table(spark, rows), bench, block_grams=50).collect()
     assert {(r["doc_id"], r["item_id"]) for r in in_blocks} == pairs
     assert decontaminate.contaminated(table(spark, []), bench).count() == 0
     assert decontaminate.contaminated(table(spark, rows), bench.limit(0)).count() == 0
