@@ -9,33 +9,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.llm import decontaminate, jaccard_join, packing, secrets, toxicity
-from helixframe.llm.common import written
+from helixframe.llm.common import dropped, scratch, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that score 0.5 or more for toxicity; the model learns from the labelled documents of this stage's input."""
+    """Drop documents that score 0.5 or more for toxicity; the model learns from the labelled documents of this stage's input.
+
+    Null, empty and wordless texts score 0 and stay.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, keep=True, name="_toxicity")
-    return scored.where("_toxicity < 0.5").drop("_toxicity")
+    scored = toxicity.score(docs, model, keep=True, name="\x00toxicity")
+    return scored.where(F.col("\x00toxicity") < 0.5).drop("\x00toxicity")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) keep the document of the smallest doc_id.
+    """Of each group of near duplicates (five words, similarity 0.8) keep one document, that of the smallest doc_id.
 
-    Documents that nothing links to stay. Rows of equal id and text are copies, of which one stays. Documents without an id
-    can't be told apart and stay.
+    Documents that nothing links to stay, and all without a word. Rows of one id and different texts are told apart by their
+    texts; rows of equal id and text are copies, of which one stays. Of a group, rows without an id come last.
     """
-    groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    kept = written(groups.where("component_id = doc_id").select("doc_id").distinct(), "kept")
-    stay = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return stay.unionAll(docs.where("doc_id IS NULL"))
+    return jaccard_join.distinct_documents(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a copy of a benchmark item, exact or edited."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = written(found.select(F.col("doc_id").alias("leak_id")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti")
+    """Drop documents that hold a copy of a benchmark item, exact or edited; every row is judged by its own text."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +61,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder before the next."""
+    """All stages over `documents`, each written to the shared folder before the next; a stage's own tables go when it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
+        if last is not None:
+            dropped(spark, last)
+        last = docs
     return docs
