@@ -116,6 +116,31 @@ def table_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple
         yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
 
 
+def chunks(batches: Iterator[pa.RecordBatch], n_keys: int, least: int = 1 << 16) -> Iterator[pa.Table]:
+    """The rows again, sorted as they are by the first n_keys columns (integers), in tables that hold whole groups."""
+    held: list[pa.Table] = []
+    size = 0
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.num_rows
+        if size < least:
+            continue
+        rows = pa.concat_tables(held).combine_chunks()
+        new = np.zeros(rows.num_rows - 1, bool)
+        for k in range(n_keys):
+            key = rows.column(k).to_numpy()
+            new |= key[1:] != key[:-1]
+        cuts = np.flatnonzero(new)
+        cut = int(cuts[-1]) + 1 if len(cuts) else 0
+        if cut:
+            yield rows.slice(0, cut)
+        held = [rows.slice(cut)]
+        size = rows.num_rows - cut if cut else 0  # one group alone grows by `least` before it is looked at again
+    rows = pa.concat_tables(held).combine_chunks() if held else None
+    if rows is not None and rows.num_rows:
+        yield rows
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finaliser of splitmix64)."""
     x = x.astype(np.uint64)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import sketch
-from .common import columns, dropped, mix64, tidied, written
+from .common import chunks, columns, dropped, mix64, tidied, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -115,7 +115,7 @@ def _regions(prefixes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for rows in _chunks(batches, 2):
+        for rows in chunks(batches, 2):
             region, salt, node, n = (c.to_numpy() for c in rows.columns)
             keep = np.ones(len(node), bool)
             keep[1:] = (region[1:] != region[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])
@@ -141,31 +141,6 @@ def _regions(prefixes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tidied(run), REGIONS).dropDuplicates(["label", "salt", "node"])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], n_keys: int, least: int = 1 << 16) -> Iterator[pa.Table]:
-    """The rows again, sorted as they are by the first n_keys columns (integers), in tables that hold whole groups."""
-    held: list[pa.Table] = []
-    size = 0
-    for batch in batches:
-        held.append(pa.Table.from_batches([batch]))
-        size += batch.num_rows
-        if size < least:
-            continue
-        rows = pa.concat_tables(held).combine_chunks()
-        new = np.zeros(rows.num_rows - 1, bool)
-        for k in range(n_keys):
-            key = rows.column(k).to_numpy()
-            new |= key[1:] != key[:-1]
-        cuts = np.flatnonzero(new)
-        cut = int(cuts[-1]) + 1 if len(cuts) else 0
-        if cut:
-            yield rows.slice(0, cut)
-        held = [rows.slice(cut)]
-        size = rows.num_rows - cut if cut else 0  # one group alone grows by `least` before it is looked at again
-    rows = pa.concat_tables(held).combine_chunks() if held else None
-    if rows is not None and rows.num_rows:
-        yield rows
-
-
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose part counts are near enough: |x ^ y| <= (100 - percent) / (100 + percent) * (|x| + |y|) for those that link."""
 
@@ -355,7 +330,7 @@ def _split(rows: DataFrame, percent: int, block: int, depth: int) -> DataFrame:
                 row, stays = members[at], home[at] & (cell == own[at])
             label = mix64(group.column(0).to_numpy()[row].view(np.uint64) + (cell.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             taken = group.take(pa.array(row))
-            made = [pa.array(label), *(taken.column(c).combine_chunks() for c in (3, 4, 5)), pa.array(stays), taken.column(7).combine_chunks()]
+            made = [pa.array(label), *(taken.column(c).combinechunks() for c in (3, 4, 5)), pa.array(stays), taken.column(7).combinechunks()]
             yield from pa.Table.from_arrays(made, names=["label", "node", "n", "root", "home", "counts"]).to_batches(2000)
 
     dealt = pivots.select(*names).unionAll(dealt.select(*names)).repartition("label", "part").sortWithinPartitions("label", "part", "other", "node")
@@ -377,8 +352,8 @@ def _window_pairs(rows: DataFrame, percent: int, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()  # neighbours meet in many regions
-        for chunk in _chunks(batches, 3, 1 << 13):
-            label, i, j, node, n, root, home, mine = (c.to_numpy(zero_copy_only=False) if c.num_chunks < 2 else c.combine_chunks().to_numpy(zero_copy_only=False) for c in chunk.columns[:8])
+        for chunk in chunks(batches, 3, 1 << 13):
+            label, i, j, node, n, root, home, mine = (c.to_numpy(zero_copy_only=False) if c.num_chunks < 2 else c.combinechunks().to_numpy(zero_copy_only=False) for c in chunk.columns[:8])
             counts = np.frombuffer(b"".join(chunk.column(8).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
             cell = Cell(counts, n, root, home, percent)
             begin = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
@@ -412,7 +387,7 @@ def _window_pairs(rows: DataFrame, percent: int, block: int) -> DataFrame:
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Stretches of rows with equal keys (the first n_keys columns, integers) from rows that are sorted by them."""
-    for rows in _chunks(batches, n_keys, 1 << 12):
+    for rows in chunks(batches, n_keys, 1 << 12):
         new = np.zeros(rows.num_rows - 1, bool)
         for k in range(n_keys):
             key = rows.column(k).to_numpy()

@@ -61,6 +61,29 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+def long_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words from hashes of short runs that cover them, in about 2 * sqrt(size) steps."""
+    inner = max(1, int(size**0.5))
+    short = shingle_hashes(words, inner)
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    starts = [*range(0, size - inner, inner), size - inner]
+    out = np.full(n, np.uint64(size))
+    for at, c in zip(starts, odd_constants(len(starts))):
+        out += short[at : at + n] * c
+    return mix64(out)
+
+
+def sliding(values: np.ndarray, w: int, least: bool = True) -> np.ndarray:
+    """The least (or greatest) of every w values in a row, by windows of doubling width."""
+    pick, width = np.minimum if least else np.maximum, 1
+    while 2 * width <= w:
+        values = pick(values[:-width], values[width:])
+        width *= 2
+    return pick(values[: len(values) - (w - width)], values[w - width :]) if w > width else values
+
+
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """For each text its distinct k-word shingles as sorted hashes; with fewer words, the whole sequence as one."""
     words, begins = word_hashes(texts)
