@@ -1,8 +1,10 @@
 """Interval tables: overlap joins, islands, flattening, gaps, ranges of sequences.
 
-Overlap joins hash on (sequence, bin) instead of comparing all pairs: each interval is in the one smallest bin that holds it,
-each query in all bins that can hold an overlap, so a pair meets exactly once. Bins also spread a long sequence over many
-tasks; the equi-join is one that adaptive execution may broadcast or split where skewed.
+Overlap joins hash on (sequence, cell) instead of comparing all pairs. Cells are as wide as the ranges are long, by one
+aggregate over both sides: a range of the left is in the cell of its start, one of the right in all cells from which a left
+range can reach it, so a pair meets exactly once and a cell holds little else than hits. Long ranges have wider cells of
+their own. Cells also spread a long sequence over many tasks; the equi-join is one that adaptive execution may broadcast or
+split where skewed. Stored tables are searched by the published bins (`with_bin`, `range_select`).
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.bins import calc_bin, overlap_predicate, overlapping_bins
+from ..functions.bins import calc_bin, overlap_predicate
 from ..functions.coords import ranges_overlap
+from ..functions.util import ascending
 
 
 def with_bin(df: DataFrame, start: str = "start", end: str = "end", name: str = "bin") -> DataFrame:
@@ -27,34 +30,99 @@ def check_strands(df: DataFrame, strand: str = "strand") -> DataFrame:
     return df.agg((F.count(strand).isin(0) | (F.count(strand) == F.count("*"))).alias("homogeneous"))
 
 
+#: A range of the right spans some 2 ** SPREAD cells at most; a longer one belongs to the next level, whose cells are as much wider.
+SPREAD = 6
+
+
+def cell_levels(lengths: DataFrame) -> list[int]:
+    """Shifts of the cells of each level, from one aggregate over a column `length`: the first holds nine ranges of ten."""
+    found = lengths.where("length > 0").agg(F.percentile_approx("length", 0.9, 1000).alias("usual"), F.max("length").alias("longest")).first()
+    shifts = [max(4, ((found["usual"] or 1) - 1).bit_length())]
+    while found["longest"] and found["longest"] > 1 << shifts[-1]:
+        shifts.append(shifts[-1] + SPREAD)
+    return shifts
+
+
 def overlap_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom",), start: str = "start", end: str = "end", how: str = "inner", suffix: str = "_r", right_start: str | None = None, right_end: str | None = None
+    left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom",), start: str = "start", end: str = "end", how: str = "inner", suffix: str = "_r", right_start: str | None = None, right_end: str | None = None, shifts: Sequence[int] | None = None
 ) -> DataFrame:
     """Rows of left with rows of right whose ranges overlap on equal keys (add the strand to the keys for stranded search).
 
-    how is inner, left, left_semi or left_anti. Columns of right get the suffix. Empty ranges of left match nothing; rows
-    with a null key or bound match nothing.
+    how is inner, left, left_semi or left_anti. Columns of right get the suffix. Empty ranges match nothing; rows with a null
+    key or bound match nothing. Both sides are read once more for the lengths of their ranges, unless shifts are given (the
+    width of cells of each level, as a power of two; the last at least as long as the longest range of left) or left is a stream,
+    whose cells are those of the published bins.
     """
     right_start, right_end = right_start or start, right_end or end
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"how: {how}")
+    if shifts is None:
+        if left.isStreaming or right.isStreaming:
+            shifts = [17, 23, 29, 32]
+        else:
+            shifts = cell_levels(left.select((F.col(end) - F.col(start)).alias("length")).unionAll(right.select((F.col(right_end) - F.col(right_start)).alias("length"))))
     named = right.select(*(F.col(c).alias(c + suffix) for c in right.columns))
-    stored = named.withColumn("__bin", calc_bin(right_start + suffix, right_end + suffix))
-    on_keys = [F.col(k) == F.col(k + suffix) for k in keys]
-    hit = ranges_overlap(start, end, right_start + suffix, right_end + suffix)
+    same = [F.col(k) == F.col(k + suffix) for k in keys]
+    hit = reduce(and_, same, ranges_overlap(start, end, right_start + suffix, right_end + suffix) & (F.col(end) > F.col(start)))
+    names = [*left.columns, *named.columns]
     if how == "inner":
-        asked = left.withColumn("__bin_l", F.explode(overlapping_bins(start, end)))
-        cond = F.col("__bin_l") == F.col("__bin")
-        for c in on_keys:
-            cond = cond & c
-        return asked.join(stored, cond & hit).drop("__bin", "__bin_l")
-    if how not in ("left", "left_semi", "left_anti"):
-        raise ValueError(f"how: {how}")
-    names = left.columns
-    pairs = overlap_join(left, right, keys, start, end, "inner", suffix, right_start, right_end)
-    found = pairs.select(*(F.col(c).alias("__" + c) for c in names)).distinct()
-    same = reduce(and_, (F.col(c).eqNullSafe(F.col("__" + c)) for c in names))
-    if how == "left":
-        return pairs.unionByName(left.join(found, same, "left_anti"), allowMissingColumns=True)
-    return left.join(found, same, how)
+        asked = left.withColumn("__level", F.explode(_levels_from(_level(F.col(end) - F.col(start), shifts), shifts)))
+        asked = asked.withColumn("__cell", _cell(F.col(start).cast("long"), shifts))
+        stored = _stored(named, right_start + suffix, right_end + suffix, shifts)
+        meet = (F.col("__level") == F.col("__level_r")) & (F.col("__cell") == F.col("__cell_r"))
+        highest = F.greatest(_level(F.col(end) - F.col(start), shifts), F.col("__own")) == F.col("__level")
+        return asked.join(stored, meet & hit & highest).select(*(F.col(f"`{c}`") for c in names))
+    if how == "left" and len(shifts) > 1:
+        pairs = overlap_join(left, right, keys, start, end, "inner", suffix, right_start, right_end, shifts)
+        return pairs.unionByName(overlap_join(left, right, keys, start, end, "left_anti", suffix, right_start, right_end, shifts), allowMissingColumns=True)
+    # a range of left is in one cell of a level, so that it meets each match once and no pair has to be made
+    rest, found = left, None
+    for k, shift in enumerate(shifts):
+        own = _level(F.col(end) - F.col(start), shifts)
+        asked = rest.withColumn("__cell", F.when(own <= k, F.shiftright(F.col(start).cast("long"), shift)))
+        stored = _stored(named, right_start + suffix, right_end + suffix, shifts, k)
+        on = (F.col("__cell") == F.col("__cell_r")) & hit & (F.greatest(own, F.col("__own")) == k)
+        if how == "left":
+            return asked.join(stored, on, "left").select(*(F.col(f"`{c}`") for c in names))
+        if how == "left_semi":
+            some = asked.join(stored, on, "left_semi").drop("__cell")
+            found = some if found is None else found.unionAll(some)
+        if how == "left_anti" or k < len(shifts) - 1:
+            rest = asked.join(stored, on, "left_anti").drop("__cell")
+    return found if how == "left_semi" else rest
+
+
+def _level(length: Column, shifts: Sequence[int], spread: int = 0) -> Column:
+    """The first level whose cells hold the length, or 2 ** spread cells of which do; null for null."""
+    out = F.when(length.isNull(), None)
+    for k, s in enumerate(shifts[:-1]):
+        out = out.when(length <= 1 << (s + spread), k)
+    return out.otherwise(len(shifts) - 1)
+
+
+def _levels_from(level: Column, shifts: Sequence[int]) -> Column:
+    return F.when(level.isNotNull(), F.sequence(level, F.lit(len(shifts) - 1)))
+
+
+def _cell(at: Column, shifts: Sequence[int], level: str = "__level") -> Column:
+    out = F.shiftright(at, shifts[0])
+    for k, s in enumerate(shifts[1:], 1):
+        out = F.when(F.col(level) == k, F.shiftright(at, s)).otherwise(out)
+    return out
+
+
+def _stored(rows: DataFrame, start: str, end: str, shifts: Sequence[int], level: int | None = None) -> DataFrame:
+    """rows in every cell (__cell_r, of a level, or of all levels from their own) where a left range that overlaps them can start."""
+    lo, hi = F.col(start).cast("long"), F.col(end).cast("long")
+    out = rows.withColumn("__own", _level(hi - lo, shifts, SPREAD))
+    if level is None:
+        out = out.withColumn("__level_r", F.explode(_levels_from(F.col("__own"), shifts)))
+        first = _cell(lo + 1, shifts, "__level_r") - 1  # a left range is no longer than a cell
+        last = _cell(hi - 1, shifts, "__level_r") + 1
+    else:
+        out = out.where(F.col("__own") <= level)
+        first, last = F.shiftright(lo + 1, shifts[level]) - 1, F.shiftright(hi - 1, shifts[level]) + 1
+    return out.withColumn("__cell_r", F.explode(F.when(hi > lo, ascending(first, last))))
 
 
 def range_select(df: DataFrame, seq: str, start: int | None, end: int | None, strand: str | Sequence[str] | None = None, where: Column | None = None, seq_col: str = "chrom", start_col: str = "start", end_col: str = "end", strand_col: str = "strand", bin_col: str | None = None) -> DataFrame:

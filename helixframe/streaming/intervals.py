@@ -1,6 +1,6 @@
 """Interval operators on Structured Streaming: the batch operators, where their plans are stateless or keyed by a window.
 
-An overlap join against a static table explodes the stream's bins and hashes, so it runs on a stream as it is. Islands need
+An overlap join against a static table hashes the cells of both, so it runs on a stream as it is. Islands need
 all rows of a sequence; over a stream they are kept per sequence as arbitrary state, merged as batches arrive.
 """
 

@@ -292,3 +292,31 @@ def test_required_rows(spark):
     t = spark.createDataFrame([("a", 1)], "k string, v int")
     with pytest.raises(Exception, match="k not found"):
         AN.required_rows(t, spark.createDataFrame([("a",), ("b",)], "k string"), "k").collect()
+
+
+@pytest.mark.parametrize("lengths", [[1, 5, 16, 17], [0, 3, 20, 500], [2, 40, 3000, 100_000], [1]])
+def test_overlap_joins_equal_all_pairs(spark, lengths):
+    """Ranges of very different lengths, in one level of cells and in several; nulls, empty and negative ranges."""
+    import random
+
+    from helixframe.operators.intervals import overlap_join
+
+    def ranges(seed, lengths):
+        rng = random.Random(seed)
+        out = []
+        for k in range(120):
+            at = rng.randrange(-50, 3000)
+            out.append((None if rng.random() < 0.03 else rng.choice("ab"), None if rng.random() < 0.03 else at, at + rng.choice(lengths), k))
+        return out
+
+    a, b = ranges(1, lengths), ranges(2, lengths + [7])
+    left, right = (spark.createDataFrame(x, "chrom string, start long, end long, id int") for x in (a, b))
+    real = lambda x: x[0] is not None and x[1] is not None and x[2] > x[1]
+    want = [(x[3], y[3]) for x in a for y in b if real(x) and real(y) and x[0] == y[0] and x[1] < y[2] and x[2] > y[1]]
+    hit = {x for x, _ in want}
+    pairs = overlap_join(left, right)
+    assert pairs.columns == ["chrom", "start", "end", "id", "chrom_r", "start_r", "end_r", "id_r"]
+    assert sorted((r.id, r.id_r) for r in pairs.collect()) == sorted(want)
+    assert sorted(r.id for r in overlap_join(left, right, how="left_semi").collect()) == sorted(hit)
+    assert sorted(r.id for r in overlap_join(left, right, how="left_anti").collect()) == sorted({x[3] for x in a} - hit)
+    assert sorted(((r.id, r.id_r) for r in overlap_join(left, right, how="left").collect()), key=str) == sorted(want + [(x[3], None) for x in a if x[3] not in hit], key=str)
