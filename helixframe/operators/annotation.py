@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,14 +30,14 @@ def walk(edges: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFrame:
     A level is one join with the edges; nodes with several parents are reached once per path. Cycles are an error beyond
     most_depth levels.
     """
-    spark = edges.sparkSession
-    edges.select(F.col("child_id").cast("string").alias("child_id"), F.col("parent_id").cast("string").alias("parent_id")).createOrReplaceTempView("__walk_edges")
-    roots.select(F.col("node").cast("string").alias("node")).createOrReplaceTempView("__walk_roots")
+    spark, links, starts = edges.sparkSession, f"__edges_{uuid.uuid4().hex}", f"__roots_{uuid.uuid4().hex}"
+    edges.select(F.col("child_id").cast("string").alias("child_id"), F.col("parent_id").cast("string").alias("parent_id")).createOrReplaceTempView(links)
+    roots.select(F.col("node").cast("string").alias("node")).createOrReplaceTempView(starts)
     return spark.sql(f"""
         WITH RECURSIVE walked (root, node, depth, path) MAX RECURSION LEVEL {most_depth} AS (
-          SELECT node, node, 0, node FROM __walk_roots
+          SELECT node, node, 0, node FROM {starts}
           UNION ALL
-          SELECT w.root, e.child_id, w.depth + 1, concat(w.path, '/', e.child_id) FROM walked w JOIN __walk_edges e ON e.parent_id = w.node
+          SELECT w.root, e.child_id, w.depth + 1, concat(w.path, '/', e.child_id) FROM walked w JOIN {links} e ON e.parent_id = w.node
         ) SELECT * FROM walked""")
 
 

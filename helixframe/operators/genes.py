@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import blocks as B
 from ..functions.coords import ranges_overlap
 from ..functions.util import ColumnOrName, bind, col
+from ..types import BLOCKS
+from .intervals import merge_islands
 
 
 def _range_or_null(start: Column, end: Column) -> Column:
@@ -211,6 +215,16 @@ def cds_annotations(df: DataFrame) -> DataFrame:
     return out.withColumn("chrom_start", F.get("blocks", F.lit(0))["start"]).withColumn("chrom_end", F.element_at("blocks", -1)["end"])
 
 
+def with_merged_blocks(groups: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """groups (a row per key) with the blocks of all rows of df of a key, overlapping or touching ones joined in a sorted pass before any are gathered."""
+    parts = df.select(*keys, F.explode("blocks").alias("__b")).select(*keys, F.col("__b.start").alias("__start"), F.col("__b.end").alias("__end"))
+    islands = merge_islands(parts, keys, "__start", "__end", adjacent=True)
+    joined = islands.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("__start").alias("start"), F.col("__end").alias("end")))).alias("blocks"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys))
+    out = groups.join(joined.withColumnsRenamed({k: f"__key_{k}" for k in keys}), same, "left")
+    return out.withColumn("blocks", F.coalesce("blocks", F.array().cast(BLOCKS))).drop(*(f"__key_{k}" for k in keys))
+
+
 def merge_annotations(df: DataFrame, keys: Sequence[str], stranded: bool = True) -> DataFrame:
     """One annotation per key: blocks of all rows, overlapping or touching ones joined, thick range over all that have one.
 
@@ -219,10 +233,11 @@ def merge_annotations(df: DataFrame, keys: Sequence[str], stranded: bool = True)
     thick = F.col("thick_start") < F.col("thick_end")
     out = df.groupBy(*keys).agg(
         F.min("chrom").alias("chrom"), F.max("chrom").alias("__chrom"), F.min("strand").alias("strand"), F.max("strand").alias("__strand"),
-        F.flatten(F.collect_list("blocks")).alias("blocks"), F.min(F.when(thick, F.col("thick_start"))).alias("thick_start"), F.max(F.when(thick, F.col("thick_end"))).alias("thick_end"),
+        F.min(F.when(thick, F.col("thick_start"))).alias("thick_start"), F.max(F.when(thick, F.col("thick_end"))).alias("thick_end"),
     )
     ok = (F.col("chrom") == F.col("__chrom")) & (F.col("strand").eqNullSafe(F.col("__strand")) if stranded else F.lit(True))
-    out = out.withColumn("blocks", F.when(ok, B.merge("blocks")).otherwise(F.raise_error("rows of one key are on several sequences or strands")))
+    out = with_merged_blocks(out, df, keys)
+    out = out.withColumn("blocks", F.when(ok, F.col("blocks")).otherwise(F.raise_error("rows of one key are on several sequences or strands")))
     out = out.withColumn("chrom_start", F.get("blocks", F.lit(0))["start"]).withColumn("chrom_end", F.element_at("blocks", -1)["end"])
     out = out.withColumn("thick_start", F.coalesce("thick_start", "chrom_end")).withColumn("thick_end", F.coalesce("thick_end", "chrom_end"))
     strand = F.col("strand") if stranded else F.when(F.col("strand").eqNullSafe(F.col("__strand")), F.col("strand")).otherwise(F.lit("+"))

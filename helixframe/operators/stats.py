@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -190,8 +192,10 @@ def splice_stats(introns: DataFrame) -> DataFrame:
 
 
 def nearest_color(df: DataFrame, color: str, table: DataFrame, name: str = "nearest") -> DataFrame:
-    """df with the name of the nearest colour of a small table (nth, name, color); the first of equally near ones."""
-    rows = [r.asDict(recursive=True) for r in table.orderBy("nth").limit(1000).collect()]
+    """df with the name of the nearest colour of a table (nth, name, color) of 1,000 at most; the first of equally near ones."""
+    rows = [r.asDict(recursive=True) for r in table.orderBy("nth").limit(1001).collect()]
+    if len(rows) > 1000:
+        raise ValueError("more than 1,000 colours")
     near = [F.struct(color_distance(F.col(color), F.struct(*(F.lit(r["color"][c]).cast("double").alias(c) for c in "rgba"))).alias("d"), F.lit(k).alias("k"), F.lit(r["name"]).alias("n")) for k, r in enumerate(rows)]
     return df.withColumn(name, F.least(*near)["n"] if len(near) > 1 else near[0]["n"])
 
@@ -200,8 +204,9 @@ def json_key_paths(df: DataFrame, column: str, most_depth: int = 16) -> DataFram
     """Distinct key paths of JSON texts with their leaf types, `[]` for arrays, types of a path sorted and comma-joined.
 
     Levels are opened one at a time with variant functions, distinct paths only being kept; most_depth bounds the loop, and a
-    document that is deeper is an error rather than cut off.
+    document that is deeper is an error rather than cut off. Texts that aren't JSON, and nulls, have no paths.
     """
+    view = f"__json_level_{uuid.uuid4().hex}"
     level = df.select(F.try_parse_json(F.col(column)).alias("v")).where("v IS NOT NULL").select(F.lit("").alias("path"), "v")
     found = None
     for _ in range(most_depth + 1):
@@ -209,8 +214,8 @@ def json_key_paths(df: DataFrame, column: str, most_depth: int = 16) -> DataFram
         typed = level.withColumn("kind", F.regexp_extract(kind, "^([A-Z]+)", 1))
         leaves = typed.where("kind NOT IN ('OBJECT', 'ARRAY')").select("path", F.lower("kind").alias("kind")).distinct()
         found = leaves if found is None else found.unionAll(leaves)
-        typed.where("kind IN ('OBJECT', 'ARRAY')").createOrReplaceTempView("__json_level")
-        level = df.sparkSession.sql("SELECT CASE WHEN l.kind = 'ARRAY' THEN concat(l.path, '[]') WHEN l.path = '' THEN e.key ELSE concat(l.path, '.', e.key) END AS path, e.value AS v FROM __json_level l, LATERAL variant_explode(l.v) AS e")
+        typed.where("kind IN ('OBJECT', 'ARRAY')").createOrReplaceTempView(view)
+        level = df.sparkSession.sql(f"SELECT CASE WHEN l.kind = 'ARRAY' THEN concat(l.path, '[]') WHEN l.path = '' THEN e.key ELSE concat(l.path, '.', e.key) END AS path, e.value AS v FROM {view} l, LATERAL variant_explode(l.v) AS e")
         if level.isEmpty():
             break
     else:

@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import blocks as B
 from ..functions.strings import to_ascii
 from ..operators import annotation, genes, intervals, sets, stats
 from ..sources import genbank, records, sinks, text
@@ -22,8 +21,8 @@ def bed_flatten(spark: SparkSession, src: str, dst: str, stranded: bool = True,
     beds = records.bed(spark, src)
     keys = ["chrom", "strand"] if stranded else ["chrom"]
     islands = intervals.with_islands(beds, keys, "chrom_start", "chrom_end")
-    merged = islands.groupBy(*keys, "island").agg(F.min("chrom_start").alias("chrom_start"), F.max("chrom_end").alias("chrom_end"), F.flatten(F.collect_list("blocks")).alias("blocks"))
-    merged = merged.withColumn("blocks", B.merge("blocks")).withColumn("strand", F.col("strand") if stranded else F.lit("+"))
+    merged = islands.groupBy(*keys, "island").agg(F.min("chrom_start").alias("chrom_start"), F.max("chrom_end").alias("chrom_end"))
+    merged = genes.with_merged_blocks(merged, islands, [*keys, "island"]).withColumn("strand", F.col("strand") if stranded else F.lit("+"))
     named = intervals.number_in_order(merged, "chrom", ["chrom_start", "chrom_end", "strand"], "n").withColumn("name", F.concat(F.lit(prefix), "n"))
     out = named.select("*", F.lit(0).alias("score"), F.col("chrom_end").alias("thick_start"), F.col("chrom_end").alias("thick_end"), F.lit("0").alias("item_rgb"))
     _lines(out, sinks.bed_line(), dst, ("chrom", "chrom_start", "chrom_end", "strand"))

@@ -30,7 +30,7 @@ def write_tsv(df: DataFrame, path: str, formats: Mapping[str, Column] | None = N
     """A table as TSV: columns through their formats if given, arrays as comma lists, null as nothing."""
     kinds = dict(df.dtypes)
     out = [((formats or {}).get(c) if c in (formats or {}) else join_list(c) if kinds[c].startswith("array") else F.col(c).cast("string")).alias(c) for c in df.columns]
-    df.select(*out).write.option("sep", separator).option("header", header).option("nullValue", "").option("emptyValue", "").csv(path)
+    df.select(*out).write.option("sep", separator).option("header", header).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def bed_line(n_columns: int = 12) -> Column:
@@ -38,7 +38,7 @@ def bed_line(n_columns: int = 12) -> Column:
     start, end = F.col("chrom_start"), F.col("chrom_end")
     blocks = F.coalesce("blocks", F.array(F.struct(start.alias("start"), end.alias("end"))))
     values = [
-        F.col("chrom"), start, end, F.coalesce("name", F.concat("chrom", F.lit(":"), start, F.lit("-"), end)), F.coalesce("score", F.lit(0)), F.coalesce("strand", F.lit("+")),
+        F.col("chrom"), start, end, F.coalesce("name", F.concat("chrom", F.lit(":"), start, F.lit("-"), end)), F.coalesce(F.col("score").cast("string"), F.lit("0")), F.coalesce("strand", F.lit("+")),
         F.coalesce("thick_start", end), F.coalesce("thick_end", end), F.coalesce("item_rgb", F.lit("0")), F.size(blocks),
         join_list(F.transform(blocks, lambda b: b["end"] - b["start"])), join_list(F.transform(blocks, lambda b: b["start"] - start)),
     ]
@@ -99,9 +99,12 @@ def fasta_record(name: Column, seq: Column, width: int | None = None) -> Column:
 
 
 def html_table(df: DataFrame, header: bool = True, caption: str | None = None, most: int = 10_000) -> str:
-    """The first `most` rows as an HTML table, built on the driver; empty cells become a hard blank."""
+    """An HTML table, built on the driver; empty cells become a hard blank. More than `most` rows are an error: page them first."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows for one HTML table")
     cell = lambda v: "&nbsp;" if v in (None, "") else _html.escape(str(v))
-    rows = [f"<tr>{''.join(f'<td>{cell(v)}</td>' for v in r)}</tr>" for r in df.limit(most).collect()]
+    rows = [f"<tr>{''.join(f'<td>{cell(v)}</td>' for v in r)}</tr>" for r in found]
     top = [f"<caption>{_html.escape(caption)}</caption>"] * bool(caption) + ["<tr>" + "".join(f"<th>{cell(c)}</th>" for c in df.columns) + "</tr>"] * header
     return "\n".join(["<table>", *top, *rows, "</table>"])
 
@@ -138,14 +141,16 @@ def sheet_name(name: str, used: set[str]) -> str:
 
 
 def write_xlsx(tables: Mapping[str, DataFrame], path: str, numbers: bool = True, most: int = 1_000_000) -> None:
-    """Tables as sheets of one workbook, written by the driver; needs openpyxl."""
+    """Tables as sheets of one workbook, written by the driver; needs openpyxl. More than `most` rows, which a sheet can't hold, are an error."""
     import openpyxl
 
     book, used = openpyxl.Workbook(write_only=True), set()
     for name, df in tables.items():
         sheet = book.create_sheet(sheet_name(name, used))
         sheet.append(list(df.columns))
-        for r in df.limit(most).toLocalIterator():
+        for k, r in enumerate(df.toLocalIterator()):
+            if k == most:
+                raise ValueError(f"{name}: more than {most} rows for one sheet")
             sheet.append([_number(v) if numbers and isinstance(v, str) else v for v in r])
     book.save(path)
 

@@ -95,8 +95,8 @@ def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, description and seq of each record; line ends within a sequence are dropped."""
-    records = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+    """name, description and seq of each record, which begins at a > at a line's start; line ends within a sequence are dropped."""
+    records = spark.read.text(path, lineSep="\n>").withColumn("value", F.regexp_replace("value", r"\A\s*>", "")).where(F.trim("value") != "")
     header = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
     return records.select(F.regexp_extract(header, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_replace(header, r"^\S*", "")).alias("description"), seq.alias("seq"))

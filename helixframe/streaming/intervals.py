@@ -22,15 +22,15 @@ def stream_overlap_join(stream: DataFrame, table: DataFrame, keys: tuple[str, ..
     return overlap_join(stream, table, list(keys), start, end)
 
 
-def merge_into(islands: list[tuple[int, int, int]], start: int, end: int) -> list[tuple[int, int, int]]:
-    """Islands (start, end, n), in order, after an interval has absorbed all that it overlaps; touching ones stay apart."""
-    out, n = [], 1
-    for a, b, m in islands:
-        if a < end and b > start:
-            start, end, n = min(a, start), max(b, end), n + m
+def merge_into(islands: list[tuple[int, int, int]], ranges: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Islands (start, end, n), in order, after they have absorbed ranges, by one sorted sweep; touching ones stay apart."""
+    out: list[tuple[int, int, int]] = []
+    for start, end, n in sorted([*islands, *((a, b, 1) for a, b in ranges)], key=lambda x: (x[0], -x[1])):
+        if out and start < out[-1][1] and end > out[-1][0]:
+            out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2] + n)
         else:
-            out.append((a, b, m))
-    return sorted([*out, (start, end, n)])
+            out.append((start, end, n))
+    return out
 
 
 def stream_islands(stream: DataFrame) -> DataFrame:
@@ -43,8 +43,7 @@ def stream_islands(stream: DataFrame) -> DataFrame:
         islands = list(zip(*state.get)) if state.exists else []
         before = set(islands)
         for pdf in frames:
-            for start, end in zip(pdf["start"].tolist(), pdf["end"].tolist()):
-                islands = merge_into(islands, start, end)
+            islands = merge_into(islands, list(zip(pdf["start"].tolist(), pdf["end"].tolist())))
         state.update(tuple(list(c) for c in zip(*islands)))
         new = [i for i in islands if i not in before]
         yield pd.DataFrame({"chrom": [key[0]] * len(new), "start": [i[0] for i in new], "end": [i[1] for i in new], "n": [i[2] for i in new]})
