@@ -6,8 +6,8 @@ the region of the first of its shingles in a fixed order, rare ones first. Restr
 that order can only bring them nearer, so a document is replicated into the regions of as many more of its shingles as its
 distance window allows (`window_size`): two documents that share none of them are further apart than the radius.
 
-Inside a region documents are pivots. The smallest is the first: what lies within the radius of it is linked to it and needs
-no comparison with each other. A region whose components still differ is joined recursively in a second metric, the L1
+Inside a region documents are pivots. The first is the one that shares most of its first shingles with others: what lies
+within the radius of it is linked to it and needs no comparison with each other. A region whose components still differ is joined recursively in a second metric, the L1
 distance of how many shingles of a set lie in each of 256 parts of the hash space. That map is 1-Lipschitz, so linked sets
 are at most `reach` apart in it, a quarter of either set's size for a similarity of 0.8. Members of a region are pivots
 again, every member belongs to the Voronoi cell of its nearest pivot, and boundary members, whose distances to two pivots
@@ -32,7 +32,7 @@ from .shingles import shingle_sets
 
 MEMBERS = "doc_id long, text_key long, node long, n long, parts binary, part int, content binary"
 PREFIXES = "region long, salt int, node long, n int"
-REGIONS = "label long, salt int, node long, n int, pivot long, pivot_n int"
+REGIONS = "label long, salt int, node long, n int"
 PARTS = "label long, part int, other int, node long, n int, root long, home boolean, counts binary"
 SETS = "node long, hashes binary"
 LEAF, PIVOTS, ROUNDS = 32, 32, 3
@@ -108,13 +108,12 @@ def _prefixes(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
 
 
 def _regions(prefixes: DataFrame) -> DataFrame:
-    """Regions of two sets or more, and salted parts of any size, each with its pivot, the smallest set.
+    """Rows of regions of two sets or more, and of salted parts of any size: label, salt, node, n, and the shingles they stand for.
 
     label is a hash of the members, so that shingles of the same sets give one region; of salted parts, of the shingle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
         for rows in chunks(batches, 2):
             region, salt, node, n = (c.to_numpy() for c in rows.columns)
             keep = np.ones(len(node), bool)
@@ -124,21 +123,25 @@ def _regions(prefixes: DataFrame) -> DataFrame:
             size = np.diff(np.append(begin, len(node)))
             label = np.where(salt[begin] > 0, mix64(region[begin]), np.bitwise_xor.reduceat(mix64(node), begin)).view(np.int64)
             wanted = (size > 1) | (salt[begin] > 0)
-            wanted[wanted] = [s > 0 or (x not in done and not done.add(x)) for x, s in zip(label[wanted].tolist(), salt[begin][wanted].tolist())]
-            if len(done) > 1 << 18:
-                done.clear()
-            if not wanted.any():
-                continue
             inside = np.repeat(wanted, size)
-            salt, node, n, label, size = salt[inside], node[inside], n[inside], label[wanted], size[wanted]
-            group = np.repeat(np.arange(len(size)), size)
-            first = np.lexsort((node, n, group))[np.cumsum(size) - size]
-            made = [label[group], salt, node, n, node[first][group], n[first][group]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["label", "salt", "node", "n", "pivot", "pivot_n"])
+            if inside.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(label, size)[inside], salt[inside], node[inside], n[inside])], names=["label", "salt", "node", "n"])
 
     keys = ["region", "salt", "node"]
     dealt = prefixes.repartition("region", "salt").sortWithinPartitions(*keys)
-    return dealt.mapInArrow(tidied(run), REGIONS).dropDuplicates(["label", "salt", "node"])
+    return dealt.mapInArrow(tidied(run), REGIONS).groupBy("label", "salt", "node").agg(F.first("n").alias("n"), F.count("*").alias("times"))
+
+
+def _with_pivots(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of regions with `lone`, and their region's pivot: the set with the least share of first shingles that are in no other set's.
+
+    A text that others were made of shares most; what was edited more holds more of its own and would reach fewer.
+    """
+    window = F.expr(f"n - (({percent} * n + 99) DIV 100) + 1")
+    lone = rows.groupBy("node").agg(F.sum("times").alias("shared"), F.first("n").alias("n")).select("node", (1 - F.col("shared") / window).alias("lone"))
+    rows = rows.drop("times").join(lone, "node")
+    least = rows.groupBy("label", "salt").agg(F.min(F.struct("lone", "n", "node")).alias("p"))
+    return rows.join(least.select("label", "salt", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), ["label", "salt"])
 
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -330,7 +333,7 @@ def _split(rows: DataFrame, percent: int, block: int, depth: int) -> DataFrame:
                 row, stays = members[at], home[at] & (cell == own[at])
             label = mix64(group.column(0).to_numpy()[row].view(np.uint64) + (cell.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             taken = group.take(pa.array(row))
-            made = [pa.array(label), *(taken.column(c).combinechunks() for c in (3, 4, 5)), pa.array(stays), taken.column(7).combinechunks()]
+            made = [pa.array(label), *(taken.column(c).combine_chunks() for c in (3, 4, 5)), pa.array(stays), taken.column(7).combine_chunks()]
             yield from pa.Table.from_arrays(made, names=["label", "node", "n", "root", "home", "counts"]).to_batches(2000)
 
     dealt = pivots.select(*names).unionAll(dealt.select(*names)).repartition("label", "part").sortWithinPartitions("label", "part", "other", "node")
@@ -353,7 +356,7 @@ def _window_pairs(rows: DataFrame, percent: int, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()  # neighbours meet in many regions
         for chunk in chunks(batches, 3, 1 << 13):
-            label, i, j, node, n, root, home, mine = (c.to_numpy(zero_copy_only=False) if c.num_chunks < 2 else c.combinechunks().to_numpy(zero_copy_only=False) for c in chunk.columns[:8])
+            label, i, j, node, n, root, home, mine = (c.to_numpy(zero_copy_only=False) if c.num_chunks < 2 else c.combine_chunks().to_numpy(zero_copy_only=False) for c in chunk.columns[:8])
             counts = np.frombuffer(b"".join(chunk.column(8).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
             cell = Cell(counts, n, root, home, percent)
             begin = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
@@ -444,10 +447,12 @@ def _joined(docs: DataFrame, k: int, percent: int, block: int) -> tuple[DataFram
         dropped(spark, pairs, sets)
         return out
 
-    regions = written(_regions(_prefixes(docs, k, percent, levels)), "regions")
+    rows = written(_regions(_prefixes(docs, k, percent, levels)), "rows")
     levels.unpersist()
-    hubs = regions.where("salt > 0 AND node = pivot").select("label", "node", "n")  # one of each salt: 512 at most
-    least = hubs.groupBy("label").agg(F.min(F.struct("n", "node")).alias("p")).select("label", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    regions = written(_with_pivots(rows, percent), "regions")
+    dropped(spark, rows)
+    hubs = regions.where("salt > 0 AND node = pivot").select("label", "node", "n", "lone")  # one of each salt: 512 at most
+    least = hubs.groupBy("label").agg(F.min(F.struct("lone", "n", "node")).alias("p")).select("label", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
     stars = regions.where(sizes("pivot", "pivot_n")).select("node", "pivot").unionAll(hubs.join(least, "label").where(sizes("pivot", "pivot_n")).select("node", "pivot"))
     links = links_of(_near(stars.toDF("a", "b").distinct(), classes, percent))
     none = spark.createDataFrame([], "node long, root long")
