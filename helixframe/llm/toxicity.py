@@ -134,7 +134,7 @@ def best_window(logits: np.ndarray, window: int) -> tuple[float, int]:
     return float(means[k]), k
 
 
-def train(texts: list[str], labels: list[int], bits: int = 17, dim: int = 12, window: int = 32, epochs: int = 20, updates: int = 800, rate: float = 0.5, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], bits: int = 17, dim: int = 12, window: int = 32, epochs: int = 12, updates: int = 800, rate: float = 0.5, seed: int = 7) -> Model:
     """Fit vectors and softmax jointly, in `epochs` passes, or more if these make fewer than `updates` steps of 64 documents.
 
     With no text or one class only, the model gives that class's smoothed share.
@@ -222,8 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = 5, la
         part = marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionAll(part)
     found = rows.join(F.broadcast(chosen), "doc_id")  # chosen has at most 2 * most rows
-    found = found.select("doc_id", "y", "text").orderBy("doc_id", "y", F.xxhash64("text")).limit(2 * most).collect()
-    return train([r["text"] for r in found], [r["y"] for r in found])
+    found = found.select("y", "text").orderBy(F.xxhash64("doc_id", "text", "y")).limit(2 * most).toArrow()  # rows of repeated ids may be more
+    return train(found["text"].to_pylist(), found["y"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:

@@ -359,6 +359,44 @@ def test_toxicity_behind_64_letters():
     assert toxicity.words_of("a" * 64 + " b") == ["a" * 64, "b"]
 
 
+def brute_score(model, text):
+    """The score of a text from its definition, with plain integers."""
+    mask, places = (1 << 64) - 1, [int(p) for p in toxicity._PLACES]
+
+    def bucket(h):
+        h &= mask
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = ((h ^ (h >> shift)) * factor) & mask
+        return (h ^ (h >> 31)) >> (64 - model.bits)
+
+    words = []
+    for w in re.findall(r"[^\W_]+", text.lower()):
+        words += [w] if len(w) <= 64 else [w[k : k + 16] for k in range(0, len(w) - 8, 8)]
+    words = [w for k, w in enumerate(words) if not k or w != words[k - 1]]
+    if not words:
+        return 0.0
+    step = model.weights[:, 1] - model.weights[:, 0]
+    logits = []
+    for w in words:
+        raw = f"<{w}>".encode()
+        hashes = [sum(b * places[i] for i, b in enumerate(raw))]
+        hashes += [n + sum(raw[i + j] * places[300 - j] for j in range(n)) for n in range(3, 7) for i in range(len(raw) - n + 1)]
+        logits.append(float(np.mean([model.vectors[bucket(h)].astype(np.float64) @ step for h in hashes])))
+    n = min(model.window, len(logits))
+    best = max(sum(logits[k : k + n]) / n for k in range(len(logits) - n + 1))
+    return 1 / (1 + math.exp(-(best + model.bias[1] - model.bias[0])))
+
+
+def test_scores_equal_brute_force(spark):
+    rows, labels, _, _ = toxic_rows(300)
+    model = toxicity.train([r[1] for r in rows], [y for _, _, y in labels], epochs=2, updates=1)
+    df = table(spark, rows[:40] + [(900, "x" * 150 + " idiot É Ünï_x 12 12 ß", "de", "s", 1), (901, "日本語" * 40, "ja", "s", 1), (902, "", "en", "s", 0), (903, None, "en", "s", None), (904, "_ - .", "en", "s", 1)])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    for r in df.collect():
+        assert abs(got[r["doc_id"]] - brute_score(model, r["text"] or "")) < 1e-5, r["text"]
+    assert got[902] == got[903] == got[904] == 0
+
+
 def test_toxicity_of_odd_rows(spark):
     model = toxicity.train(["good text", "bad stuff"] * 20, [0, 1] * 20, epochs=2)
     docs = table(spark, extra=True)
