@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
@@ -72,9 +73,35 @@ def log_cell(amount: Column, bits: int) -> Column:
     return F.least(F.lit((1 << bits) - 1), cell).cast("long")
 
 
-def name_cell(name: Column, bits: int) -> Column:
-    """Quantise a category of any number of values by the first bits of its MD5; null counts as the empty name."""
-    return F.shiftright(F.conv(F.substring(F.md5(F.coalesce(name, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"), 32 - bits)
+def _counted(ordered: DataFrame, weight: str | None = None) -> DataFrame:
+    """Rows of a sorted table with _task and _nth: their place in their partition, or what `weight` of the rows before sums to."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            size = np.ones(b.num_rows, np.int64) if weight is None else b.column(b.schema.get_field_index(weight)).to_numpy()
+            upto = n + np.cumsum(size)
+            extra = [pa.array([task] * b.num_rows, pa.int32()), pa.array(upto - size)]
+            n = int(upto[-1]) if len(upto) else n
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "_task", "_nth"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in ordered.dtypes) + ", _task int, _nth long"
+    return ordered.mapInArrow(tidied(number), schema)
+
+
+def with_name_cell(rows: DataFrame, name: str, cell: str, bits: int) -> DataFrame:
+    """rows with the cell of a category of any number of values: 2**bits ranges of names in their order, of equal row counts.
+
+    A name's cell is the share of rows with smaller names, so near names share a cell, and a file's least and greatest name
+    are near. Null is the smallest name. Names are counted before they are sorted; their table is broadcast only if small.
+    """
+    counts = rows.groupBy(F.col(f"`{name}`").alias("_name")).agg(F.count("*").alias("_n"))
+    ordered = counts.repartitionByRange(F.col("_name").asc_nulls_first()).sortWithinPartitions(F.col("_name").asc_nulls_first())
+    counted = written(_counted(ordered, "_n"), "names")
+    total = counted.agg(F.sum("_n")).first()[0] or 1
+    starts = running_start(counted.groupBy("_task").agg(F.sum("_n").alias("n")), "_task", "n", "_start")
+    cells = written(counted.join(starts, "_task").select("_name", F.expr(f"((_start + _nth) * {1 << bits}L) DIV {total}L").alias(cell)), "cells")
+    return rows.join(cells, F.col(f"`{name}`").eqNullSafe(F.col("_name"))).drop("_name")
 
 
 def hilbert_order(rows: DataFrame, cells: Sequence[Column], bits: int, ties: Sequence[str], shards: int) -> DataFrame:
@@ -91,15 +118,7 @@ def hilbert_order(rows: DataFrame, cells: Sequence[Column], bits: int, ties: Seq
     keys = [F.col("hilbert").asc(), *(F.col(f"`{t}`").asc_nulls_first() for t in ties)]
     ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            extra = [pa.array([task] * b.num_rows, pa.int32()), pa.array(range(n, n + b.num_rows), pa.int64())]
-            n += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "_task", "_nth"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in ordered.dtypes) + ", _task int, _nth long"
-    numbered = written(ordered.mapInArrow(tidied(number), schema), "hilbert")
+    numbered = written(_counted(ordered), "hilbert")
     starts = running_start(numbered.groupBy("_task").agg(F.count("*").alias("n")), "_task", "n", "_start")
     total = numbered.count()
     rank = F.col("_start") + F.col("_nth")
@@ -114,11 +133,14 @@ def document_shards(docs: DataFrame, shards: int = 16, bits: int = 5) -> DataFra
     """doc_id, size, text_crc32, lang, source, hilbert, shard, slot of every document, by size, language and source.
 
     size is the text's UTF-8 bytes plus 1; a null text counts as empty. Ties go by text_crc32, then doc_id, so copies lie
-    side by side. Null languages and sources are categories of their own kind.
+    side by side. Null languages and sources are categories of their own kind, before all others.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
-    return hilbert_order(rows, [log_cell(F.col("size"), bits), name_cell(F.col("lang"), bits), name_cell(F.col("source"), bits)], bits, ["text_crc32", "doc_id"], shards)
+    rows = written(rows, "rows")
+    rows = with_name_cell(with_name_cell(rows, "lang", "_lang_cell", bits), "source", "_source_cell", bits)
+    out = hilbert_order(rows, [log_cell(F.col("size"), bits), F.col("_lang_cell"), F.col("_source_cell")], bits, ["text_crc32", "doc_id"], shards)
+    return out.drop("_lang_cell", "_source_cell")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
@@ -128,8 +150,8 @@ def write_shards(rows: DataFrame, path: str) -> None:
 
 def oracle(shards: int = 16, bits: int = 5) -> str:
     """document_shards in DuckDB's SQL: a common table expression per step of the curve, and crc32 byte by byte."""
-    name_cell = "CAST('0x' || substr(md5(coalesce({}, '')), 1, 8) AS BIGINT) >> " + str(32 - bits)
-    steps = [f"s0 AS (SELECT *, CAST(least({(1 << bits) - 1}, floor(2 * log2(CAST(size AS DOUBLE) + 1))) AS BIGINT) AS x0, {name_cell.format('lang')} AS x1, {name_cell.format('source')} AS x2 FROM d)"]
+    cell = "CAST(((rank() OVER (ORDER BY {} NULLS FIRST) - 1) * " + str(1 << bits) + ") // count(*) OVER () AS BIGINT)"
+    steps = [f"s0 AS (SELECT *, CAST(least({(1 << bits) - 1}, floor(2 * log2(CAST(size AS DOUBLE) + 1))) AS BIGINT) AS x0, {cell.format('lang')} AS x1, {cell.format('source')} AS x2 FROM d)"]
 
     def step(x0: str, x1: str, x2: str) -> None:
         n = len(steps)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _NO_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -37,6 +40,15 @@ KNOWN: list[tuple[str, str]] = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+
+
+@cache
+def known_texts() -> list[tuple[str, str]]:
+    """KNOWN, and the whole texts of licences as published, which are files of this package named by SPDX identifier."""
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return KNOWN + [(f.stem, f.read_text(encoding="utf-8")) for f in files]
+
+
 #: Words that count as the same, as the SPDX matching guidelines list them.
 SPELLINGS: dict[str, str] = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization",
@@ -47,7 +59,8 @@ SPELLINGS: dict[str, str] = {
     "organisation": "organization", "organise": "organize", "owner": "holder", "owners": "holders", "practise": "practice", "programme": "program",
     "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
-_COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+#: Lines that name a holder: with a sign, a year or a place for one.
+_COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[<\[{(]+(?:year|yyyy))[^\n]*|(?:copyright|\(c\))[^\n]*[0-9]{4}[^\n]*|©[^\n]*)$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 
 
 def canonical(text: Column) -> Column:
@@ -71,7 +84,7 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """license and digest of known texts, given as pairs or as a table (license, text)."""
-    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(KNOWN if known is None else known, "license string, text string")
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(known_texts() if known is None else known, "license string, text string")
     return rows.select("license", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -110,7 +123,7 @@ def _sql_canonical(text: str) -> str:
 
 
 def oracle() -> str:
-    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in known_texts())
     return f"""
 WITH k AS (SELECT sha256({_sql_canonical('t')}) AS digest, min(n) AS license FROM (VALUES {values}) v(n, t) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text, sha256({_sql_canonical('text')}) AS digest FROM documents),

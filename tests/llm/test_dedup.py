@@ -371,45 +371,3 @@ def test_written_shards_prune(spark, tmp_path):
     hilbert.write_shards(hilbert.document_shards(table(spark, rows), 4), str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 200 and back.select("shard").distinct().count() == 4
-
-
-# pipeline
-
-
-def test_pipeline_stages(spark, tmp_path):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    rng = random.Random(13)
-    base = str(tmp_path / "sf")
-    clean = [(k, words(rng, rng.randrange(30, 90), 3000), "en", "s", 5) for k in range(60)]
-    item = words(rng, 30, 9000)
-    near = clean[4][1].split()
-    near[-1] = "changed"
-    toxic = [(100 + k, words(rng, 40, 3000) + " idiot moron scum", "en", "s", 5) for k in range(30)]
-    rows = clean + toxic + [
-        (200, " ".join(near), "en", "s", 5), (201, clean[7][1], "en", "s", 5), (202, words(rng, 40, 3000) + " " + item, "en", "s", 5), (203, words(rng, 40, 3000) + " token = abcdef0123456789abcdef0123 z", "en", "s", 5),
-        (None, None, None, None, None), (204, "", "en", "s", 0), (60, None, "en", "s", None), (5, clean[5][1], "en", "s", 5),
-    ]
-    from pyspark.sql import functions as F
-
-    table(spark, rows).withColumn("leak_id", F.lit(1)).write.parquet(base + "/documents.parquet")
-    spark.createDataFrame([(r[0], 1, int(r[0] >= 100)) for r in clean + toxic], "doc_id long, quality int, toxic int").write.parquet(base + "/labels.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(base + "/benchmark.parquet")
-    docs, seen = spark.read.parquet(base + "/documents.parquet"), []
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, base)
-        if k < 4:
-            assert out.columns == docs.columns, name
-            out.write.parquet(f"{base}/{k}")
-            docs = spark.read.parquet(f"{base}/{k}")
-            seen.append(collections.Counter(r["doc_id"] for r in docs.collect()))
-        else:
-            packed = out.collect()
-    kept = set(range(60))
-    assert all(i in kept | {200, 201, 202, 203, 204, 60, None} for i in seen[0]) and kept <= set(seen[0])
-    assert set(seen[1]) == kept | {202, 203, 204, 60, None} and max(seen[1].values()) == 1
-    assert set(seen[2]) == kept | {203, 204, 60, None}
-    assert seen[3] == seen[2]
-    text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert "[SECRET]" in text[203] and "abcdef" not in text[203] and all(text[r[0]] == r[1] for r in clean)
-    assert {p["doc_id"] for p in packed} == set(seen[3])
-    assert {p["doc_id"] for p in corpus_pipeline.run(spark, base).collect()} == set(seen[3])

@@ -30,6 +30,17 @@ def test_licenses_in_other_spellings(spark):
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    """Published texts in other line breaks, case and years; holders without a year; a changed text is none."""
+    whole = dict(licenses.known_texts()[len(licenses.KNOWN) :])
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= set(whole)
+    gpl = whole["GPL-3.0"].replace("(C) 2007", "(c) 2031").replace("\n\n", "\n\n\n").replace("  ", " ")
+    mit = "Copyright (c) <year> <holder>\n\n" + licenses.KNOWN[2][1]
+    rows = [(1, whole["Apache-2.0"].upper(), "en", "s", 1), (2, gpl, "en", "s", 1), (3, mit, "en", "s", 1), (4, "Copyright (c) Jane Doe\n" + licenses.KNOWN[2][1], "en", "s", 1), (5, whole["MPL-2.0"] + " changed", "en", "s", 1), (6, "© Jane\n" + whole["CC0-1.0"], "en", "s", 1)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    assert got == {1: "Apache-2.0", 2: "GPL-3.0", 3: "MIT", 4: "MIT", 5: None, 6: "CC0-1.0"}
+
+
 def test_licenses_with_many_known_texts(spark):
     rows = [(1, "alpha beta", "en", "s", 1), (2, "x\nAlpha, Beta.", "en", "s", 1), (2, "x\nAlpha, Beta.", "en", "s", 1), (None, None, None, None, None)]
     got = licenses.scan_licenses(table(spark, rows), [("A", "alpha beta"), ("B", "gamma")], most_notices=1).collect()
