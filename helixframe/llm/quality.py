@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import written
+
 _BLANKS = r"concat(' ', char(9), char(10), char(11), char(12), char(13))"
 #: The words of a text; `trimmed` has no white space at its ends.
 _WORDS = r"IF(trimmed = '', array(), split(trimmed, r'[ \t\n\x0B\f\r]+'))"
@@ -28,24 +30,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("text_key", F.xxhash64("text")).withColumn("row_key", F.xxhash64("doc_id", "host", "text_key", F.col("doc_id").isNull(), F.col("host").isNull()))
 
 
+#: The lines of a text that hold a word, as (hash of the normal form, words).
+_LINES = f"""transform(filter(split(text, '\\n', -1), line -> btrim(line, {_BLANKS}) != ''),
+  line -> struct(xxhash64({_NORMAL_LINE}) AS line, CAST(size(split(btrim(line, {_BLANKS}), r'[ \\t\\x0B\\f\\r]+')) AS long) AS n))"""
+
+
 def text_statistics(rows: DataFrame) -> DataFrame:
-    """row_key, doc_id, host and the counts of every whole text."""
-    bound = rows.selectExpr("row_key", "doc_id", "host", "text", f"btrim(text, {_BLANKS}) AS trimmed").selectExpr("*", f"{_WORDS} AS words")
+    """row_key, text_key, doc_id, host, the counts of every whole text, and its lines: all that a text is read for."""
+    bound = rows.selectExpr("row_key", "text_key", "doc_id", "host", "text", f"btrim(text, {_BLANKS}) AS trimmed").selectExpr("*", f"{_WORDS} AS words")
     return bound.selectExpr(
-        "row_key", "doc_id", "host",
+        "row_key", "text_key", "doc_id", "host",
         "CAST(size(words) AS long) AS n_words",
         "aggregate(words, 0L, (n, w) -> n + length(w)) AS word_chars",
         "CAST(size(split(text, '[#*$%&|<>]', -1)) - 1 AS long) AS n_symbols",
         f"transform(array(filter(split(text, '\\n', -1), l -> btrim(l, {_BLANKS}) != '')), x -> CAST(size(x) - size(array_distinct(x)) AS long))[0] AS n_dup_lines",
         f"CAST({_REPEATED} AS long) AS n_repeat_words",
+        f"{_LINES} AS lines",
     )
 
 
-def document_lines(rows: DataFrame) -> DataFrame:
-    """row_key, text_key, host, line (hash of the normal form) and the words in such lines, for every line with a word."""
-    lines = rows.selectExpr("row_key", "text_key", "host", f"explode(split(text, '\\n', -1)) AS line").where(f"btrim(line, {_BLANKS}) != ''")
-    words = f"CAST(size(split(btrim(line, {_BLANKS}), r'[ \\t\\x0B\\f\\r]+')) AS long)"
-    return lines.selectExpr("row_key", "text_key", "host", f"xxhash64({_NORMAL_LINE}) AS line", f"{words} AS n")
+def document_lines(texts: DataFrame) -> DataFrame:
+    """row_key, text_key, host, line (hash of the normal form) and n, its words, for every line with a word, from text_statistics."""
+    return texts.select("row_key", "text_key", "host", F.inline("lines"))
 
 
 def frequent_lines(lines: DataFrame, texts: DataFrame, most_documents: int, most_percent: int) -> DataFrame:
@@ -68,15 +74,15 @@ def quality(docs: DataFrame, most_documents: int = 20, most_percent: int = 5, le
     windows). Copies of a text count once per host, so that copying alone removes no line. Null and empty texts have no
     words and fail. Null hosts are one host. Rows of equal doc_id are judged each by its own text; equal rows get equal results.
     """
-    rows = _keyed(docs)
-    lines = document_lines(rows)
-    often = frequent_lines(lines, rows.select("host", "text_key"), most_documents, most_percent)
+    texts = written(text_statistics(_keyed(docs)), "texts")  # the one pass over the documents
+    lines = document_lines(texts)
+    often = frequent_lines(lines, texts.select("host", "text_key"), most_documents, most_percent)
     hit = lines.alias("l").join(often.alias("o"), (F.col("l.line") == F.col("o.line")) & F.col("l.host").eqNullSafe(F.col("o.host")))
     # equal rows share a row_key: each line's words count as often as in one of them
     removed = hit.groupBy("l.row_key").agg(F.sum("n").alias("n_all"), F.count("*").alias("n_lines"))
-    copies = rows.groupBy("row_key").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    copies = texts.groupBy("row_key").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
     removed = removed.join(copies, "row_key", "left").select("row_key", F.expr("n_all DIV coalesce(n_rows, 1L)").alias("n_removed_words"))
-    out = text_statistics(rows).join(removed, "row_key", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    out = texts.drop("lines").join(removed, "row_key", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     out = out.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
     kept = F.expr(f"NOT base_failed AND 100 * (n_words - n_removed_words) >= {least_left_percent} * n_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", kept.alias("kept"))
@@ -85,7 +91,7 @@ def quality(docs: DataFrame, most_documents: int = 20, most_percent: int = 5, le
 def without_frequent_lines(docs: DataFrame, most_documents: int = 20, most_percent: int = 5) -> DataFrame:
     """row_key, doc_id and text of every document, its lines above the limits taken out, the others in their order."""
     rows = _keyed(docs)
-    often = frequent_lines(document_lines(rows), rows.select("host", "text_key"), most_documents, most_percent)
+    often = frequent_lines(document_lines(rows.selectExpr("row_key", "text_key", "host", f"{_LINES} AS lines")), rows.select("host", "text_key"), most_documents, most_percent)
     lines = rows.select("row_key", "host", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("hash", F.expr(f"xxhash64({_NORMAL_LINE})"))
     hit = lines.alias("l").join(often.alias("o"), (F.col("l.hash") == F.col("o.line")) & F.col("l.host").eqNullSafe(F.col("o.host")))
     gone = hit.groupBy("row_key").agg(F.collect_set("at").alias("gone"))
