@@ -110,13 +110,18 @@ def whole_alignments(df: DataFrame, q_name: str, q_size: str, t_name: str, t_siz
     )
 
 
-def report_with_metadata(report: DataFrame, metadata: DataFrame, keys: Sequence[str], first_word: Sequence[str] = ()) -> DataFrame:
-    """Sequence rows with metadata values as columns, whole or their first word; a key that is missing is an error."""
-    values = {r["key"]: r["value"] for r in metadata.where(F.col("key").isin(*keys, *first_word)).collect()}
+def report_with_metadata(report: DataFrame, metadata: DataFrame, keys: Sequence[str], first_word: Sequence[str] = (), rest: bool = False) -> DataFrame:
+    """Sequence rows with metadata values as columns: of keys whole, of others their first word, and with rest all that are left, in the report's order.
+
+    A key that is missing is an error. The metadata are some lines of one report, and are read on the driver.
+    """
+    values = {r["key"]: r["value"] for r in metadata.orderBy("nth").collect()}
     missing = [k for k in (*keys, *first_word) if k not in values]
     if missing:
         raise ValueError(f"metadata not found: {missing}")
-    return report.select("*", *(F.lit(values[k]).alias(k) for k in keys), *(F.lit(values[k].split()[0] if values[k] else "").alias(k) for k in first_word))
+    more = [k for k in values if k not in (*keys, *first_word)] if rest else []
+    named = {**{k: values[k] for k in keys}, **{k: (values[k].split() or [""])[0] for k in first_word}, **{k: values[k] for k in more}}
+    return report.select("*", *(F.lit(v).alias(k) for k, v in named.items()))
 
 
 def agp_to_psl(agp: DataFrame, component_sizes: DataFrame | None = None, id_map: DataFrame | None = None, skip_unmapped: bool = False) -> DataFrame:
@@ -144,27 +149,6 @@ def agp_to_psl(agp: DataFrame, component_sizes: DataFrame | None = None, id_map:
     )
 
 
-# vocabularies
-
-#: Gene and transcript biotypes by function; those in no list are non-coding.
-CODING = ("IG_C_gene", "IG_D_gene", "IG_J_gene", "IG_V_gene", "IG_LV_gene", "TR_C_gene", "TR_D_gene", "TR_J_gene", "TR_V_gene", "nonsense_mediated_decay", "non_stop_decay", "polymorphic_pseudogene", "protein_coding", "protein_coding_LoF")
-PSEUDOGENE = ("IG_C_pseudogene", "IG_D_pseudogene", "IG_J_pseudogene", "IG_V_pseudogene", "IG_pseudogene", "TR_J_pseudogene", "TR_V_pseudogene", "processed_pseudogene", "pseudogene", "rRNA_pseudogene", "transcribed_processed_pseudogene", "transcribed_unitary_pseudogene", "transcribed_unprocessed_pseudogene", "translated_processed_pseudogene", "translated_unprocessed_pseudogene", "unitary_pseudogene", "unprocessed_pseudogene")
-
-
-def biotype_function(biotype: ColumnOrName) -> Column:
-    """coding, pseudo or nonCoding."""
-    return F.when(col(biotype).isin(*CODING), "coding").when(col(biotype).isin(*PSEUDOGENE), "pseudo").otherwise("nonCoding")
-
-
-def transcript_function(gene_biotype: ColumnOrName, transcript_biotype: ColumnOrName) -> Column:
-    """That of the transcript, but pseudo in a pseudogene."""
-    return F.when(biotype_function(gene_biotype) == "pseudo", "pseudo").otherwise(biotype_function(transcript_biotype))
-
-
-#: Transcript tags that mark an incomplete model.
-NOT_FULL_TAGS = ("cds_end_NF", "cds_start_NF", "mRNA_end_NF", "mRNA_start_NF")
-
-
 def with_attributes(transcripts: DataFrame, attributes: DataFrame, *side: DataFrame, key: str = "transcriptId") -> DataFrame:
     """Transcripts with their attributes, and with arrays of the values of side tables (key, value...)."""
     out = transcripts.join(attributes, key, "left")
@@ -174,10 +158,6 @@ def with_attributes(transcripts: DataFrame, attributes: DataFrame, *side: DataFr
     return out
 
 
-def is_full(tags: ColumnOrName) -> Column:
-    return ~F.arrays_overlap(F.coalesce(col(tags), F.array().cast("array<string>")), F.array(*(F.lit(t) for t in NOT_FULL_TAGS)))
-
-
 def required_rows(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows of df for the wanted keys; a key without a row is an error when the result is read."""
     out = wanted.select(key).distinct().join(df.withColumn("__found", F.lit(True)), key, "left")

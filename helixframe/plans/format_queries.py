@@ -440,7 +440,7 @@ def assembly_report_table(t: Tables) -> DataFrame:
     meta = records.assembly_metadata(t.spark, path)
     one = lambda key: meta.where(F.col("key") == key).select(F.col("value"))
     out = records.assembly_report(t.spark, path).select("sequence_name", "genbank_accn", "sequence_length", "ucsc_name")
-    return out.crossJoin(F.broadcast(one("Assembly name").toDF("assembly"))).crossJoin(F.broadcast(one("Organism name").toDF("organism")))
+    return out.crossJoin(F.broadcast(one("assembly_name").toDF("assembly"))).crossJoin(F.broadcast(one("organism_name").toDF("organism")))
 
 
 @query("SELECT l_orderkey % 50 AS value, count(*) AS count FROM lineitem GROUP BY 1")

@@ -100,8 +100,18 @@ def assembly_convert(spark: SparkSession, src: str, output: str, dst: str, from_
     return annotation.skipped(report, output, from_id, to_id, include).first()["n_skipped"]
 
 
-def assembly_to_tsv(spark: SparkSession, src: str, dst: str, keys: Sequence[str] = (), first_word: Sequence[str] = ()) -> None:
-    sinks.write_tsv(annotation.report_with_metadata(records.assembly_report(spark, src), records.assembly_metadata(spark, src), keys, first_word), dst)
+def assembly_to_tsv(spark: SparkSession, src: str, dst: str, keys: Sequence[str] = (), first_word: Sequence[str] = (), rest: bool = False) -> None:
+    sinks.write_tsv(annotation.report_with_metadata(records.assembly_report(spark, src), records.assembly_metadata(spark, src), keys, first_word, rest), dst)
+
+
+def tsv_to_xlsx(spark: SparkSession, dst: str, *sources: str) -> None:
+    """TSV files as sheets of a workbook, named by their files; needs openpyxl."""
+    sinks.write_xlsx({src.rstrip("/").rpartition("/")[2].rpartition(".")[0] or src: text.read_tsv(spark, src) for src in sources}, dst)
+
+
+def xlsx_to_tsv(spark: SparkSession, src: str, dst: str, sheet: str | int = 0, header_row: int = 1) -> None:
+    """A sheet of a workbook as TSV; needs openpyxl."""
+    sinks.write_tsv(text.xlsx_rows(spark, src, sheet, header_row), dst)
 
 
 def csv_to_tsv(spark: SparkSession, src: str, dst: str) -> None:
@@ -162,7 +172,7 @@ def sra_jobs(spark: SparkSession, run_info: str, done: DataFrame, command: str,
     _lines(todo, F.replace(F.lit(command), F.lit("{run}"), F.col("run")), dst, ("run",))
 
 
-PROGRAMS: dict[str, Callable] = {f.__name__: f for f in (bed_flatten, bed_to_cds, bed_to_introns, gene_pred_select, cluster_select, cluster_stats, gene_check_stats, splice_check, agp_to_psl, assembly_convert, assembly_to_tsv, csv_to_tsv, embl_to_fasta, fasta_select, genbank_to_gene_pred, json_structure, psl_load, tsv_select, utf8_to_ascii)}
+PROGRAMS: dict[str, Callable] = {f.__name__: f for f in (bed_flatten, bed_to_cds, bed_to_introns, gene_pred_select, cluster_select, cluster_stats, gene_check_stats, splice_check, agp_to_psl, assembly_convert, assembly_to_tsv, csv_to_tsv, embl_to_fasta, fasta_select, genbank_to_gene_pred, json_structure, psl_load, tsv_select, tsv_to_xlsx, utf8_to_ascii, xlsx_to_tsv)}
 
 
 def main(args: list[str]) -> None:

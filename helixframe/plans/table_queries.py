@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import codecs as K, mathx as M, strings as S
-from ..operators import annotation as AN, sets, stats
+from ..operators import annotation as AN, sets, stats, vocabulary as V
 from .registry import Tables, query
 from .views import EXONS, INTERVALS, beds, intervals
 
@@ -315,11 +315,11 @@ def agp_to_psl(t: Tables) -> DataFrame:
     return out.select("q_name", "q_size", "t_name", "t_size", "t_start", "t_end", "strand", F.get("blocks", F.lit(0))["q_start"].cast("int").alias("q_block"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' OR l_linestatus = 'F' AND l_returnflag = 'A' THEN 'pseudo' WHEN l_linestatus = 'O' THEN 'coding' ELSE 'nonCoding' END AS function FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' OR l_linestatus = 'F' AND l_returnflag = 'A' THEN 'pseudo' WHEN l_linestatus = 'O' THEN 'coding' ELSE 'other' END AS function FROM lineitem")
 def transcript_function(t: Tables) -> DataFrame:
     gene = F.when(F.col("l_returnflag") == "A", "unitary_pseudogene").otherwise("lncRNA")
     transcript = F.when(F.col("l_linestatus") == "O", "protein_coding").otherwise("retained_intron")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", AN.transcript_function(gene, transcript).alias("function"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", V.transcript_function(gene, transcript).alias("function"))
 
 
 @query("WITH s AS (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS tags FROM lineitem GROUP BY 1) SELECT o_orderkey, o_orderstatus, tags FROM orders LEFT JOIN s ON o_orderkey = l_orderkey")

@@ -134,6 +134,7 @@ def agp(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: The columns of an assembly report.
 ASSEMBLY_COLUMNS = ("sequence_name", "sequence_role", "assigned_molecule", "assigned_molecule_type", "genbank_accn", "relationship", "refseq_accn", "assembly_unit", "sequence_length", "ucsc_name")
 
 
@@ -144,9 +145,11 @@ def assembly_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assembly_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """key and value of the report's `# key: value` lines."""
-    pairs = lines(spark, path, blank=False).where(F.col("value").rlike(r"^#\s+[^:]+:")).select(F.regexp_extract("value", r"^#\s+([^:]+):\s*(.*)$", 1).alias("key"), F.trim(F.regexp_extract("value", r"^#\s+([^:]+):\s*(.*)$", 2)).alias("value"))
-    return pairs.groupBy("key").agg(F.min("value").alias("value"))
+    """key, value and nth (the order) of the report's `# key: value` lines; keys in lower case with _ for blanks, the last value of a key."""
+    rows = lines(spark, path, blank=False, numbered=True)
+    part = lambda k: F.trim(F.regexp_extract("value", r"^#\s+([^:]+):\s*(.*)$", k))
+    pairs = rows.where(F.col("value").rlike(r"^#\s+[^:]+:")).select(F.replace(F.lower(part(1)), F.lit(" "), F.lit("_")).alias("key"), part(2).alias("text"), "line_no")
+    return pairs.groupBy("key").agg(F.max_by("text", "line_no").alias("value"), F.min("line_no").alias("nth"))
 
 
 def taxonomy_dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -151,11 +151,11 @@ def test_assembly_report(spark, tmp_path):
     p = put(tmp_path, "a.txt", body)
     rows = records.assembly_report(spark, p).collect()
     assert rows[0]["refseq_accn"] is None and rows[1]["sequence_length"] == 248956422
-    assert {r["key"]: r["value"] for r in records.assembly_metadata(spark, p).collect()} == {"Assembly name": "GRCh38 p7", "Date": "2016-03-21"}
+    assert {r["key"]: r["value"] for r in records.assembly_metadata(spark, p).collect()} == {"assembly_name": "GRCh38 p7", "date": "2016-03-21"}
     assert programs.assembly_convert(spark, p, "lift", str(tmp_path / "lift"), "genbank_accn", "refseq_accn") == 1
     assert got(tmp_path / "lift") == ["0\tCM1.2\t248956422\tNC_1.11\t248956422"]
-    programs.assembly_to_tsv(spark, p, str(tmp_path / "tsv"), first_word=["Assembly name"])
-    assert all(line.endswith("GRCh38") or line.endswith("Assembly name") for line in got(tmp_path / "tsv"))
+    programs.assembly_to_tsv(spark, p, str(tmp_path / "tsv"), first_word=["assembly_name"])
+    assert all(line.endswith("GRCh38") or line.endswith("assembly_name") for line in got(tmp_path / "tsv"))
     with pytest.raises(ValueError, match="metadata not found"):
         programs.assembly_to_tsv(spark, p, str(tmp_path / "t2"), keys=["nope"])
 
