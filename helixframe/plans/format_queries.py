@@ -7,14 +7,14 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import codecs as K, strings as S
-from ..operators import genes as G
-from ..sources import genbank, records, sinks, tables, text
+from ..functions import cds, codecs as K, mathx as M, strings as S
+from ..operators import genes as G, stats, vocabulary as V
+from ..sources import binary, genbank, records, sinks, tables, text
 from ..sources.scratch import scratch_path
 from ..streaming import intervals as streams
 from . import programs
 from .registry import Tables, query
-from .views import ALIGNMENTS, EXONS, INTERVALS, Q_SIZE, T_SIZE, alignments, beds, genes, intervals
+from .views import ALIGNMENTS, EXONS, INTERVALS, SIZE, alignments, beds, genes, intervals
 
 
 def _file(t: Tables, line: DataFrame, name: str, first: Iterable[str] = ()) -> str:
@@ -575,3 +575,111 @@ def stream_overlap_join(t: Tables) -> DataFrame:
     iv = intervals(t)
     table = iv.where("l_returnflag = 'A'").select("chrom", "start", "end", "name")
     return _streamed(t, iv.where("l_returnflag = 'R' AND l_linenumber = 1").select("chrom", "start", "end", "name"), lambda s: streams.stream_overlap_join(s, table).select("name", "name_r"), "append")
+
+
+# binary files
+
+
+def _two_bit(t: Tables) -> DataFrame:
+    rows = t.part.select(F.concat(F.lit("s"), "p_partkey").alias("name"), F.expr(f"concat({_BASES}, 'nnacgt')").alias("seq"))
+    return binary.packed(rows, binary.two_bit_bytes)
+
+
+@query(f"SELECT 's' || p_partkey AS name, CAST(length({_BASES}) + 6 AS BIGINT) AS size, {_BASES} || 'nnacgt' AS seq FROM part")
+def two_bit_round_trip(t: Tables) -> DataFrame:
+    """Sequences with N and lower-case blocks as a 2bit file, read again in chunks of 50 bases."""
+    files = _two_bit(t)
+    chunks = binary.two_bit_chunks(files, 50).groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "seq"))), lambda c: c["seq"]), "").alias("seq"))
+    return binary.two_bit_sizes(files).join(chunks, "name")
+
+
+@query(f"SELECT 's' || p_partkey AS name, substr({_BASES} || 'nnacgt', 4, 7) AS seq FROM part WHERE p_partkey BETWEEN 1 AND 9")
+def two_bit_ranges(t: Tables) -> DataFrame:
+    """Ranges of some sequences; only their bytes are unpacked."""
+    return binary.two_bit_ranges(_two_bit(t), [*((f"s{k}", 3, 10) for k in range(1, 10)), ("none", 0, 5)]).select("name", "seq")
+
+
+def _big_bed(t: Tables) -> DataFrame:
+    rows = intervals(t).select("chrom", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.concat_ws("\t", "name", F.lit("7"), "strand").alias("rest"))
+    return binary.packed(rows, lambda entries: binary.big_bed_bytes(entries, {e[0]: SIZE for e in entries}, 6))
+
+
+@query(f"WITH {INTERVALS} SELECT chrom, st AS chrom_start, en AS chrom_end, name, 7 AS score, strand FROM iv")
+def big_bed_round_trip(t: Tables) -> DataFrame:
+    """All entries of a bigBed file."""
+    return binary.big_bed(_big_bed(t)).select("chrom", "chrom_start", "chrom_end", "name", "score", "strand")
+
+
+@query(f"WITH {INTERVALS} SELECT 'range' AS asked, name FROM iv WHERE chrom = 'chr3' AND st < 900000 AND en > 250000 UNION ALL SELECT 'sequence', name FROM iv WHERE chrom = 'chr5' UNION ALL SELECT * FROM (SELECT DISTINCT 'catalogue', chrom || ':{SIZE}' FROM iv)")
+def big_bed_ranges(t: Tables) -> DataFrame:
+    """Entries that overlap a range, those of a sequence, and the file's catalogue."""
+    files = _big_bed(t)
+    parts = {"range": binary.big_bed(files, "chr3", 250_000, 900_000), "sequence": binary.big_bed(files, "chr5"), "none": binary.big_bed(files, "chr99", 0, 5)}
+    out = binary.big_bed_sizes(files).select(F.lit("catalogue").alias("asked"), F.concat_ws(":", "name", "size").alias("name"))
+    for kind, df in parts.items():
+        out = out.unionAll(df.select(F.lit(kind), "name"))
+    return out
+
+
+# selection, vocabularies, tracks
+
+
+@query(f"WITH {EXONS}, {_PIECES} SELECT 'rna' AS gene_type, 'live' AS active, count(*) AS n FROM tx WHERE l_orderkey % 5 = 0 UNION ALL SELECT 'protein', 'live', count(*) FROM tx WHERE l_orderkey % 5 <> 0")
+def genbank_selection(t: Tables) -> DataFrame:
+    """Gene types, and that nothing here is pseudo or RefSeq."""
+    found = genbank.genbank_genes(t.spark, _genbank(t))
+    every = genbank.selected(found, ("protein", "rna", "immunoglobulin", "other"), ("live", "pseudo"))
+    none = genbank.selected(found, ("protein",), refseq_only=True).unionAll(genbank.selected(found, ("protein", "rna"), ("pseudo",)))
+    return every.unionAll(none).groupBy("gene_type", "active").agg(F.count("*").alias("n"))
+
+
+_BIO = ("protein_coding", "lncRNA", "snoRNA", "TEC", "processed_pseudogene", "IG_V_gene", "3prime_overlapping_ncRNA")
+
+
+@query("SELECT p_partkey, ['coding', 'nonCoding', 'nonCoding', 'other', 'pseudo', 'coding', 'nonCoding'][p_partkey % 7 + 1] AS function, ['protein_coding', 'lncRNA', 'smallRNA', 'lncRNA', 'pseudoGene', 'immunoSegment', 'lncRNA'][p_partkey % 7 + 1] AS category, p_partkey % 7 = 2 AS small, p_partkey % 3 <> 0 AS full_cds, p_partkey % 3 = 1 AS is_full FROM part")
+def biotype_vocabulary(t: Tables) -> DataFrame:
+    """Functions, categories and sets of biotypes, and tags of models that aren't full."""
+    bio = F.element_at(F.array(*(F.lit(b) for b in _BIO)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    tags = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("basic"), F.lit("cds_end_NF"))).when(F.col("p_partkey") % 3 == 1, F.array(F.lit("basic"))).otherwise(F.array(F.lit("mRNA_start_NF")))
+    rows = t.part.select("p_partkey", bio.alias("b"), tags.alias("tags")).where(F.forall("tags", V.is_known_tag))
+    return rows.select("p_partkey", V.biotype_function("b").alias("function"), V.gene_category("b").alias("category"), V.biotype_is("b", "small_non_coding").alias("small"), V.has_full_cds("tags").alias("full_cds"), V.is_full("tags").alias("is_full"))
+
+
+_SOME = {"Red": 0xFF0000, "CornflowerBlue": 0x6495ED, "grey": 0x808080, "olive": 0x808000}
+
+
+@query("SELECT p_partkey, CAST([16711680, 6591981, 8421504, 8421376][p_partkey % 4 + 1] AS INTEGER) AS packed, ['red', 'cornflowerblue', 'gray', 'olive'][p_partkey % 4 + 1] AS nearest FROM part")
+def named_colors(t: Tables) -> DataFrame:
+    """Colours by name in any case, and the name nearest to a colour, of equal ones the first."""
+    name = F.element_at(F.array(*(F.lit(n) for n in _SOME)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = t.part.select("p_partkey", V.color_by_name(name).alias("packed"))
+    table = V.color_table(t.spark).select("nth", "name", M.unpack_rgb8(F.col("packed")).alias("color"))
+    return stats.nearest_color(rows.withColumn("c", M.unpack_rgb8(F.col("packed"))), "c", table).drop("c")
+
+
+@query("SELECT 'track s' || r_regionkey || chr(10) || 'shortLabel ' || r_name || chr(10) || 'longLabel ' || r_name || chr(10) || 'superTrack on hide' || chr(10) || chr(10) || '    track d' || r_regionkey || chr(10) || '    shortLabel d' || chr(10) || '    longLabel long' || chr(10) || '    visibility full' || chr(10) || '    type bigBed' || chr(10) || '    bigDataUrl u.bb' || chr(10) || '    parent s' || r_regionkey || chr(10) || chr(10) AS text FROM region")
+def track_hierarchy(t: Tables) -> DataFrame:
+    """A super track with a data track for each region, defaults and parents filled in."""
+    made = [sinks.track_db([sinks.track("super", f"s{r['r_regionkey']}", r["r_name"], subtracks=[sinks.track("data", f"d{r['r_regionkey']}", "d", "long", visibility="full", type="bigBed", bigDataUrl="u.bb")])]) for r in t.region.collect()]
+    return t.spark.createDataFrame([(x,) for x in made], "text string")
+
+
+@query("WITH p AS (SELECT *, (row_number() OVER (ORDER BY n_nationkey) - 1) // 10 AS page FROM nation) SELECT CAST(page AS BIGINT) AS page, 'dir' || page || '.html' AS file, '<h1>nations</h1>' || chr(10) || ['prev 1 <a href=\"dir1.html\">2</a> <a href=\"dir2.html\">3</a> <a href=\"dir1.html\">next</a>', '<a href=\"dir0.html\">prev</a> <a href=\"dir0.html\">1</a> 2 <a href=\"dir2.html\">3</a> <a href=\"dir2.html\">next</a>', '<a href=\"dir1.html\">prev</a> <a href=\"dir0.html\">1</a> <a href=\"dir1.html\">2</a> 3 next'][page + 1] || chr(10) || '<table>' || chr(10) || '<tr><th>n_nationkey</th><th>n_name</th></tr>' || chr(10) || string_agg('<tr><td>' || n_nationkey || '<td>' || n_name || '</tr>', chr(10) ORDER BY n_nationkey) || chr(10) || '</table>' AS html FROM p GROUP BY page")
+def directory_pages(t: Tables) -> DataFrame:
+    """A static directory of ten rows a page, with links between its pages."""
+    rows = t.nation.select(F.lit(1).alias("g"), "n_nationkey", "n_name")
+    return sinks.directory_pages(rows, [F.col("n_nationkey")], 10, "g", "nations")
+
+
+@query("SELECT * FROM (VALUES (0, 'c_custkey', 'range'), (1, 'c_name', 'text'), (2, 'balance', 'range')) v(nth, title, filter)")
+def column_specs(t: Tables) -> DataFrame:
+    """Which columns of an interactive table are filtered as numbers."""
+    return sinks.column_specs(t.customer.select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", F.concat(F.lit("<b>"), F.format_number("c_acctbal", 2), F.lit("</b>")).alias("balance")))
+
+
+@query("WITH c AS (SELECT l_partkey AS a, l_partkey + l_quantity::BIGINT AS b, l_suppkey AS s, l_suppkey + 400 AS e FROM lineitem) SELECT a, b, s, e, CAST(100000 - b AS BIGINT) AS reversed, CASE WHEN greatest(a, s) < least(b, e) THEN greatest(a, s) END AS part, least(a, s) AS extended, greatest(b, e) AS extended_end FROM c")
+def cds_ranges(t: Tables) -> DataFrame:
+    """A CDS on the other strand, on a part of its sequence, and extended."""
+    rows = t.lineitem.selectExpr("l_partkey AS a", "l_partkey + CAST(l_quantity AS bigint) AS b", "l_suppkey AS s", "l_suppkey + 400 AS e")
+    more = cds.extended_range("a", "b", "s", "e", F.lit(0), F.lit(100_000))
+    return rows.select("a", "b", "s", "e", cds.reversed_range("a", "b", F.lit(100_000)).start.cast("bigint").alias("reversed"), cds.part_range("a", "b", "s", "e").start.alias("part"), more.start.cast("bigint").alias("extended"), more.end.cast("bigint").alias("extended_end"))

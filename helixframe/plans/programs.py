@@ -132,8 +132,8 @@ def fasta_select(spark: SparkSession, src: str, dst: str, ids: str | None = None
     _lines(out, sinks.fasta_record(F.col("id"), F.col("seq")), dst, ("nth",))
 
 
-def genbank_to_gene_pred(spark: SparkSession, src: str, dst: str, sources: Sequence[str] | None = None) -> None:
-    out = genbank.genbank_genes(spark, src)
+def genbank_to_gene_pred(spark: SparkSession, src: str, dst: str, sources: Sequence[str] | None = None, types: Sequence[str] = ("protein", "rna", "immunoglobulin", "other"), active: Sequence[str] = ("live", "pseudo"), refseq_only: bool = False) -> None:
+    out = genbank.selected(genbank.genbank_genes(spark, src), types, active, refseq_only)
     out = out.where(F.col("source").isin(*sources)) if sources else out
     exons = F.transform("exons", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.lit(None).cast("int").alias("frame")))
     out = out.withColumn("exons", exons).withColumn("exons", genes.assign_frames()).withColumns({"score": F.lit(0), "name2": F.col("gene"), "cds_start_stat": F.lit("unk"), "cds_end_stat": F.lit("unk")})

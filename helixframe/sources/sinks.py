@@ -165,12 +165,65 @@ def _number(v: str):
             return v
 
 
-def track_text(track: Mapping, level: int = 0) -> str:
-    """Nested track settings as stanzas: keys in order, children (under `subtracks`) indented, with their parent named."""
+#: Settings that tracks of a kind have unless they are given.
+TRACK_DEFAULTS: dict[str, dict] = {
+    "plain": {},
+    "data": {"visibility": "hide"},
+    "psl": {"visibility": "hide", "searchIndex": "name", "baseColorUseSequence": "lfExtra", "indelDoubleInsert": "on", "indelQueryInsert": "on", "showDiffBasesAllScales": ".", "showDiffBasesMaxZoom": 10000, "type": "bigPsl"},
+    "super": {"superTrack": "on hide"},
+    "composite": {"compositeTrack": "on", "visibility": "hide"},
+}
+
+
+def track(kind: str, name: str, short_label: str, long_label: str | None = None, subtracks: Sequence[Mapping] = (), **settings) -> dict:
+    """A track of a kind of TRACK_DEFAULTS with its settings, those of None left out; subtracks name it as their parent, unless they name one."""
+    named = {"track": name, "shortLabel": short_label, "longLabel": long_label or short_label}
+    own = {k: v for k, v in {**TRACK_DEFAULTS[kind], **settings}.items() if v is not None}
+    children = [child if "parent" in child else {**{k: v for k, v in child.items() if k != "subtracks"}, "parent": name, "subtracks": child.get("subtracks", [])} for child in subtracks]
+    return {**named, **own, "subtracks": children}
+
+
+def track_stanzas(settings: Mapping, level: int = 0) -> list[str]:
+    """The stanza of a track and those of its subtracks, indented by level."""
     pad = "    " * level
-    own = [f"{pad}{k} {v}" for k, v in track.items() if k != "subtracks" and v is not None]
-    kids = [track_text({**{"parent": track["track"]}, **child} if "parent" not in child else child, level + 1) for child in track.get("subtracks", ())]
-    return "\n".join([*own, *(f"\n{k}" for k in kids)])
+    own = "\n".join(f"{pad}{k} {v}" for k, v in settings.items() if k != "subtracks" and v is not None)
+    return [own, *(s for child in settings.get("subtracks", ()) for s in track_stanzas(child, level + 1))]
+
+
+def track_text(settings: Mapping, level: int = 0) -> str:
+    """Nested track settings as stanzas with a blank line between; children without a parent get theirs."""
+    children = [child if "parent" in child else {"parent": settings["track"], **child} for child in settings.get("subtracks", ())]
+    return "\n\n".join(track_stanzas({**settings, "subtracks": children}, level))
+
+
+def track_db(tracks: Sequence[Mapping]) -> str:
+    """A track file: every stanza and a blank line."""
+    return "".join(s + "\n\n" for t in tracks for s in track_stanzas(t))
+
+
+def directory_pages(rows: DataFrame, order: Sequence[Column], size: int, group: str, title: str, name: str = "dir{}.html", below: bool = False) -> DataFrame:
+    """page, file and html of a static directory: rows (all columns but group, as cells of HTML) on pages of `size`, with links between them.
+
+    Cells are taken as they are; a page is one row, made by the task that has it.
+    """
+    cells = [c for c in rows.columns if c != group]
+    placed = pages(rows, order, size, group)
+    line = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), F.coalesce(F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("&nbsp;"))) for c in cells), F.lit("</tr>"))
+    made = placed.select("page", "place", line.alias("line")).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("body"))  # `size` rows a page
+    n = made.count()
+    link = lambda to, label, there: F.when(there, F.concat(F.lit('<a href="'), F.replace(F.lit(name), F.lit("{}"), to.cast("string")), F.lit('">'), label, F.lit("</a>"))).otherwise(label)
+    at = F.col("page")
+    numbers = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), lambda k: link(k, (k + 1).cast("string"), k != at)), " ")
+    links = F.concat_ws(" ", link(at - 1, F.lit("prev"), at > 0), numbers, link(at + 1, F.lit("next"), at < n - 1))
+    head = F.concat(F.lit("<table>\n<tr>"), *(F.lit(f"<th>{_html.escape(c)}</th>") for c in cells), F.lit("</tr>"))
+    parts = [F.lit(f"<h1>{_html.escape(title)}</h1>"), links, head, F.col("body"), F.lit("</table>"), *([links] if below else [])]
+    return made.select("page", F.replace(F.lit(name), F.lit("{}"), at.cast("string")).alias("file"), F.concat_ws("\n", *parts).alias("html"))
+
+
+def column_specs(df: DataFrame) -> DataFrame:
+    """nth, title and filter of an interactive table's columns: range if every cell that isn't blank is a number, else text."""
+    kinds = df.agg(*(F.bool_and(F.coalesce(F.trim(strip_tags(F.col(f"`{c}`"))), F.lit("")).isin("", "\u00a0") | to_number(strip_tags(F.col(f"`{c}`"))).isNotNull()).alias(f"c{k}") for k, c in enumerate(df.columns)))
+    return kinds.select(F.inline(F.array(*(F.struct(F.lit(k).alias("nth"), F.lit(c).alias("title"), F.when(F.col(f"c{k}"), "range").otherwise("text").alias("filter")) for k, c in enumerate(df.columns)))))
 
 
 def save_binned(df: DataFrame, table: str, seq: str, start: str, end: str, mode: str = "overwrite") -> None:

@@ -340,3 +340,43 @@ def test_value_files_and_cells(spark, tmp_path):
     c = spark.createDataFrame([("<b>1,000</b>",), ("",)], "v string").select(sinks.cell_fields(F.col("v")).alias("c")).collect()
     assert (c[0]["c"]["text"], c[0]["c"]["number"], c[1]["c"]["display"], c[1]["c"]["number"]) == ("1,000", 1000.0, "&nbsp;", None)
     assert sinks.page_links(0, 2) == 'prev 1 <a href="dir1.html">2</a> <a href="dir1.html">next</a>'
+
+
+def test_two_bit_ranges_equal_slices(spark):
+    import random
+
+    from helixframe.sources import binary
+
+    rng = random.Random(3)
+    seqs = [(f"s{k}", "".join(rng.choice("ACGTNacgtn") * rng.choice((1, 1, 7)) for _ in range(rng.randrange(0, 40)))) for k in range(20)] + [("empty", "")]
+    data = binary.two_bit_bytes(seqs)
+    index = binary.two_bit_index(data)
+    for name, seq in seqs:
+        assert binary.two_bit_size(data, index[name]) == len(seq) and binary.two_bit_bases(data, index[name]) == seq
+        for _ in range(20):
+            a, b = rng.randrange(-3, 60), rng.randrange(-3, 60)
+            assert binary.two_bit_bases(data, index[name], a, b) == seq[max(0, a) : max(0, b)], (name, a, b)
+
+
+def test_big_bed_index_finds_every_overlap(spark):
+    import random
+
+    from helixframe.sources import binary
+
+    rng = random.Random(4)
+    entries = sorted((rng.choice(("chr1", "chr10", "chrX")), s, s + rng.randrange(1, 300), f"n{k}\t{k}") for k in range(20_000) for s in [rng.randrange(100_000)])
+    data = binary.big_bed_bytes(entries, {"chr1": 200_000, "chr10": 200_000, "chrX": 200_000, "chrY": 5}, per_block=16)
+    assert list(binary.big_bed_entries(data)) == entries and list(binary.big_bed_entries(data, "chrY")) == list(binary.big_bed_entries(data, "none")) == []
+    for _ in range(50):
+        c, a = rng.choice(("chr1", "chrX")), rng.randrange(100_000)
+        b = a + rng.randrange(1, 5000)
+        assert list(binary.big_bed_entries(data, c, a, b)) == [e for e in entries if e[0] == c and e[1] < b and e[2] > a]
+    with pytest.raises(ValueError):
+        list(binary.big_bed_entries(b"something else entirely" * 10))
+    assert binary._names(binary.big_bed_bytes([], {"a": 3}), "<") == [("a", 0, 3)]
+
+
+def test_frameshifts_and_gene_types():
+    assert genbank.with_frameshifts([(0, 100), (200, 300)], [(20, 50), (52, 100), (200, 230), (231, 260)]) == [(0, 50), (52, 100), (200, 230), (231, 300)]
+    assert genbank.with_frameshifts([(0, 100)], [(10, 40), (39, 90)]) == [(0, 100)]
+    assert genbank.is_refseq("NM_000546.6") and genbank.is_refseq("XR_12") and not genbank.is_refseq("ENST1") and not genbank.is_refseq(None)
