@@ -138,16 +138,37 @@ def range_select(df: DataFrame, seq: str, start: int | None, end: int | None, st
     return out if where is None else out.where(where)
 
 
+#: Sorted passes along a sequence go region by region, of 2 ** REGION bases, so that no task has a whole sequence.
+REGION = 20
+
+
+def _with_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with the other columns of a table of one row for each value of keys, of which any may be null."""
+    named = groups.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys))
+    return df.join(named, same).drop(*(f"__key_{k}" for k in keys))
+
+
 def with_islands(df: DataFrame, keys: Sequence[str] = ("chrom",), start: str = "start", end: str = "end", adjacent: bool = False, name: str = "island") -> DataFrame:
     """df with the number of each row's island within its keys: rows that overlap, directly or through others, are together.
 
-    With adjacent, touching ranges join as well. One pass sorts each key; islands start where no earlier range reaches.
+    With adjacent, touching ranges join as well. An island starts where no earlier range reaches. Each region of a sequence
+    is sorted by itself; how far earlier regions reach, and how many islands they open, are sums over a row per region.
     """
-    order = Window.partitionBy(*keys).orderBy(start, F.col(end).desc())
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    group = [*keys, "__region"]
+    rows = df.withColumn("__region", F.shiftright(F.col(start).cast("long"), REGION))
+    order = Window.partitionBy(*group).orderBy(start, F.col(end).desc())
+    earlier = Window.partitionBy(*keys).orderBy("__region").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*group).agg(F.max(end).alias("__end")).withColumn("__carry", F.max("__end").over(earlier)).drop("__end")
+    reached = _with_groups(rows.withColumn("__local", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))), carried, group)
+    reached = reached.withColumn("__reach", F.greatest("__local", "__carry"))
     apart = (F.col(start) > F.col("__reach")) if adjacent else (F.col(start) >= F.col("__reach"))
-    out = df.withColumn("__reach", reach).withColumn("__new", (F.col("__reach").isNull() | apart).cast("int"))
-    return out.withColumn(name, F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__reach", "__new")
+    flagged = reached.withColumn("__new", (F.col("__reach").isNull() | apart).cast("long")).drop("__local", "__carry", "__reach")
+    opened = flagged.groupBy(*group).agg(F.sum("__new").alias("__opened"))
+    opened = opened.withColumn("__before", F.coalesce(F.sum("__opened").over(earlier), F.lit(0))).drop("__opened")
+    flags_first = Window.partitionBy(*group).orderBy(start, F.col(end).desc(), F.col("__new").desc())  # of equal ranges one is flagged
+    out = _with_groups(flagged.withColumn("__nth", F.sum("__new").over(flags_first.rowsBetween(Window.unboundedPreceding, 0))), opened, group)
+    return out.withColumn(name, F.col("__before") + F.col("__nth")).drop("__region", "__new", "__nth", "__before")
 
 
 def merge_islands(df: DataFrame, keys: Sequence[str] = ("chrom",), start: str = "start", end: str = "end", adjacent: bool = False, **aggregates: Column) -> DataFrame:

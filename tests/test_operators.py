@@ -66,6 +66,16 @@ def test_islands(spark, adjacent):
     assert sorted(tuple(r) for r in got) == naive_islands(rows, adjacent)
 
 
+@pytest.mark.parametrize("region", [3, 6])
+def test_islands_across_regions(spark, monkeypatch, region):
+    """Many regions of a few bases, ranges over several of them, and equal ranges."""
+    monkeypatch.setattr(I, "REGION", region)
+    rows = ranges(9, 200, 1500, 25) + ranges(10, 20, 1500, 200) + ranges(9, 60, 1500, 25)
+    for adjacent in (False, True):
+        got = I.merge_islands(spark.createDataFrame(rows, RANGES), ["chrom"], adjacent=adjacent, n=F.count("*")).collect()
+        assert sorted(tuple(r) for r in got) == naive_islands(rows, adjacent)
+
+
 def test_flatten_numbers_in_genome_order(spark):
     got = I.flatten(spark.createDataFrame(ranges(4, 60, 3000, 90), RANGES), prefix="x").collect()
     ordered = sorted(got, key=lambda r: (r["chrom"], r["start"], r["end"], r["strand"]))
