@@ -306,7 +306,7 @@ def to_bed(df: DataFrame) -> DataFrame:
 
 
 def from_cigar(q_name: ColumnOrName, strand: ColumnOrName, t_name: ColumnOrName, t_size: ColumnOrName, t_position: ColumnOrName, cigar: Column) -> list[Column]:
-    """The columns of an alignment from a CIGAR (functions.strings.parse_cigar): matches are aligned runs, clips count for q_size."""
+    """The columns of an alignment from a CIGAR (functions.strings.parse_cigar), to be selected: matches are aligned runs, clips count for q_size."""
     aligned, consumes_q, consumes_t = ("M", "=", "X"), ("M", "I", "S", "H", "=", "X"), ("M", "D", "N", "=", "X")
     zero = F.struct(F.lit(0).cast("bigint").alias("q"), col(t_position).cast("bigint").alias("t"), F.array().cast(PSL_BLOCKS).alias("blocks"))
 
@@ -315,16 +315,22 @@ def from_cigar(q_name: ColumnOrName, strand: ColumnOrName, t_name: ColumnOrName,
         blocks = F.when(run["op"].isin(*aligned), F.concat(acc["blocks"], F.array(psl_block(acc["q"], acc["t"], n)))).otherwise(acc["blocks"])
         return F.struct((acc["q"] + F.when(run["op"].isin(*consumes_q), n).otherwise(0)).alias("q"), (acc["t"] + F.when(run["op"].isin(*consumes_t), n).otherwise(0)).alias("t"), blocks.alias("blocks"))
 
-    done = F.aggregate(cigar.cast(CIGAR), zero, step)
-    runs = lambda *ops: F.filter(cigar, lambda r: r["op"].isin(*ops))
-    bases = lambda *ops: total(runs(*ops), lambda r: r["count"].cast("bigint"))
-    blocks, size = done["blocks"], done["q"]
-    lo, hi = F.get(blocks, F.lit(0))["q_start"], F.element_at(blocks, -1)["q_start"] + F.element_at(blocks, -1)["size"]
+    runs = lambda c, *ops: F.filter(c, lambda r: r["op"].isin(*ops))
+    bases = lambda c, *ops: total(runs(c, *ops), lambda r: r["count"].cast("bigint"))
     minus, nothing = col(strand) == "-", F.lit(0).cast("bigint")
-    made = {
-        "match": bases(*aligned), "mis_match": nothing, "rep_match": nothing, "n_count": nothing, "q_num_insert": F.size(runs("I")).cast("bigint"), "q_base_insert": bases("I"),
-        "t_num_insert": F.size(runs("D", "N")).cast("bigint"), "t_base_insert": bases("D", "N"), "strand": col(strand), "q_name": col(q_name), "q_size": size,
-        "q_start": F.when(minus, size - hi).otherwise(lo), "q_end": F.when(minus, size - lo).otherwise(hi), "t_name": col(t_name), "t_size": col(t_size).cast("bigint"),
-        "t_start": F.get(blocks, F.lit(0))["t_start"], "t_end": F.element_at(blocks, -1)["t_start"] + F.element_at(blocks, -1)["size"], "blocks": blocks,
-    }
-    return [c.alias(n) for n, c in made.items()]
+
+    def made(c: Column, done: Column) -> Column:
+        blocks, size = done["blocks"], done["q"]
+        first, last = F.get(blocks, F.lit(0)), F.element_at(blocks, -1)
+        lo, hi = first["q_start"], last["q_start"] + last["size"]
+        values = {
+            "match": bases(c, *aligned), "mis_match": nothing, "rep_match": nothing, "n_count": nothing, "q_num_insert": F.size(runs(c, "I")).cast("bigint"), "q_base_insert": bases(c, "I"),
+            "t_num_insert": F.size(runs(c, "D", "N")).cast("bigint"), "t_base_insert": bases(c, "D", "N"), "strand": col(strand), "q_name": col(q_name), "q_size": size,
+            "q_start": F.when(minus, size - hi).otherwise(lo), "q_end": F.when(minus, size - lo).otherwise(hi), "t_name": col(t_name), "t_size": col(t_size).cast("bigint"),
+            "t_start": first["t_start"], "t_end": last["t_start"] + last["size"], "blocks": blocks,
+        }
+        return F.struct(*(v.alias(n) for n, v in values.items()))
+
+    # one struct, which is made once a row, and inlined to its columns
+    whole = bind(cigar.cast(CIGAR), lambda c: bind(F.aggregate(c, zero, step), lambda done: made(c, done)))
+    return [F.inline(F.array(whole))]

@@ -171,12 +171,14 @@ def classify_junction(junction_: ColumnOrName, size: ColumnOrName, least: int =
 def splice_introns(beds: DataFrame, chunks: DataFrame, chunk_size: int) -> DataFrame:
     """Distinct introns (chrom, start, end, strand) of BED rows with their junction and category.
 
-    chunks (name, nth, seq) has sequences cut at chunk_size; each of the four bases is looked up in its own chunk, so that a
-    junction across a cut is no matter.
+    chunks (name, nth, seq) has sequences cut at chunk_size; the two bases at either end are looked up in their chunk, or each
+    in its own where a cut lies between them.
     """
     found = beds.select("chrom", "strand", F.explode(B.gaps("blocks")).alias("g")).select("chrom", F.col("g.start").alias("start"), F.col("g.end").alias("end"), "strand").distinct()
-    wanted = found.withColumn("at", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), p.alias("p")) for k, p in enumerate((F.col("start"), F.col("start") + 1, F.col("end") - 2, F.col("end") - 1))))))
-    base = F.substring(F.col("seq"), (F.col("at.p") % chunk_size + 1).cast("int"), F.lit(1))
+    one = lambda k, p, n: F.struct(F.lit(k).alias("k"), p.alias("p"), F.lit(n).alias("n"))
+    two = lambda k, p: F.when(p % chunk_size == chunk_size - 1, F.array(one(k, p, 1), one(k + 1, p + 1, 1))).otherwise(F.array(one(k, p, 2)))
+    wanted = found.withColumn("at", F.explode(F.concat(two(0, F.col("start")), two(2, F.col("end") - 2))))
+    base = F.substring(F.col("seq"), (F.col("at.p") % chunk_size + 1).cast("int"), F.col("at.n"))
     asked = wanted.withColumn("nth", F.floor(F.col("at.p") / chunk_size).cast("bigint"))
     hit = asked.join(chunks.withColumnRenamed("name", "chrom"), ["chrom", "nth"])
     seq = hit.groupBy("chrom", "start", "end", "strand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("at.k").alias("k"), base.alias("b")))), lambda x: x["b"]), "").alias("s"))
