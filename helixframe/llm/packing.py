@@ -2,8 +2,8 @@
 
 Lengths are cut to full windows and remainders. Combinations of at most `depth` remainders that fill a window exactly are
 the columns of a sparse system whose right side is the corpus histogram of remainders; its non-negative least-squares
-solution says how often to use each combination. Every task scales the rounded counts to its own documents, fills windows
-by them, and packs what is left over greedily, largest first, cutting a document where a window is full.
+solution says how often to use each combination. Every task is due its share of each count, carries fractions on from round to
+round, fills windows by what is due, and packs what is left over greedily, largest first, cutting a document where a window is full.
 """
 
 from __future__ import annotations
@@ -124,8 +124,10 @@ def greedy(pieces: list[tuple[int, int, int]], window: int) -> list[list[tuple[i
 class Packer:
     """Packs one task's documents, some thousands at a time; what a round leaves over stays for the next."""
 
-    def __init__(self, window: int, combos: np.ndarray, counts: np.ndarray, total: float, round_docs: int = 8192, round_ids: int = 1 << 22):
+    def __init__(self, window: int, combos: np.ndarray, counts: np.ndarray, total: float, round_docs: int = 8192, round_ids: int = 1 << 22, task: int = 0):
         self.window, self.combos, self.share, self.round_docs, self.round_ids = window, combos, counts / max(1.0, total), round_docs, round_ids
+        self.due = np.random.default_rng(task).random(len(combos))  # a phase of its own, so that tasks together use a rare combination as often as is due
+        self.n_rest, self.n_combined = 0, 0
         self.docs: dict[int, list] = {}  # row: [doc_id, ids, n_ids, open pieces]
         self.left: list[tuple[int, int, int]] = []
         self.n_new, self.n_ids, self.n_rows, self.sequence = 0, 0, 0, 0
@@ -141,6 +143,7 @@ class Packer:
         rest = n % self.window
         if rest:
             self.left.append((row, n - rest, rest))
+            self.n_rest += 1
         else:
             self._close(row)
         self.n_new += 1
@@ -168,9 +171,14 @@ class Packer:
         have = np.zeros(self.window + 1, dtype=np.int64)
         for length, pieces in by_length.items():
             have[length] = len(pieces)
-        for k, n in enumerate(repeat_counts(self.combos, self.share * len(self.left), have).tolist()):
-            for _ in range(n):
+        self.due += self.share * self.n_rest
+        counts = repeat_counts(self.combos, np.floor(self.due), have)
+        self.due -= counts
+        self.n_rest = 0
+        for k in np.flatnonzero(counts).tolist():
+            for _ in range(int(counts[k])):
                 parts = [by_length[p].pop() for p in self.combos[k].tolist() if p]
+                self.n_combined += len(parts)
                 self._place(parts)
                 for p in parts:
                     self._close(p[0])
@@ -220,14 +228,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, end_id:
     histogram[0] = 0
     combos = combinations(window, depth, np.flatnonzero(histogram))
     counts = nnls(combos, histogram.copy())
-    used = np.flatnonzero(counts * 8192 > 0.3 * max(1.0, histogram.sum()))
-    used = used[np.argsort(-counts[used], kind="stable")]
-    if not len(used):  # so many combinations that a round uses each less than once: take the largest
-        used = np.argsort(-counts, kind="stable")[:4096]
-    combos, counts, total = combos[used], counts[used], float(histogram.sum())
+    used = np.argsort(-counts, kind="stable")
+    used = used[counts[used] > 0]
+    plan = spark.sparkContext.broadcast((combos[used].astype(np.int32), counts[used], float(histogram.sum())))  # some window ** 2 / 12 combinations
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, packer = TaskContext.get().partitionId(), Packer(window, combos, counts, total)
+        task = TaskContext.get().partitionId()
+        packer = Packer(window, *plan.value, task=task)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             doc_id, start, length, crc, n, sequence, offset = zip(*rows)
