@@ -17,7 +17,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import bounded_batches, columns, mix64, tidied
 from .shingles import odd_constants
@@ -210,10 +210,11 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = 5, label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = 5, label: str = "toxic", most_bytes: int = 1 << 27) -> Model:
     """Train on at most `most` labelled documents of each class that aren't held out: those whose id has the lowest hash.
 
-    That bound on the sample is the only one; the texts are whole. Rows without an id, text or label are left out.
+    Of these, in the order of a hash, as many are taken as have most_bytes of text together, for the driver holds them. These
+    bounds on the sample are the only ones; the texts are whole. Rows without an id, text or label are left out.
     """
     rows = columns(docs, doc_id="doc_id", text="text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text != ''")
     marks = columns(labels, doc_id="doc_id", y=label).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("doc_id"), folds))
@@ -222,8 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = 5, la
         part = marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionAll(part)
     found = rows.join(F.broadcast(chosen), "doc_id")  # chosen has at most 2 * most rows
-    found = found.select("y", "text").orderBy(F.xxhash64("doc_id", "text", "y")).limit(2 * most).toArrow()  # rows of repeated ids may be more
-    return train(found["text"].to_pylist(), found["y"].to_pylist())
+    found = found.select("y", "text", F.xxhash64("doc_id", "text", "y").alias("h")).orderBy("h").limit(2 * most)  # rows of repeated ids may be more
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    sample = found.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("y", "text").toArrow()
+    return train(sample["text"].to_pylist(), sample["y"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:

@@ -425,6 +425,17 @@ def test_toxicity_without_two_classes(spark, labels):
     assert 0 < model.scorer()("anything") < 1
 
 
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows, labels, _, _ = toxic_rows(200)
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.update(texts=texts, y=y))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    toxicity.fit(table(spark, rows), marks, most=30)
+    assert len(seen["texts"]) == 60 and sum(seen["y"]) == 30
+    toxicity.fit(table(spark, rows * 3), marks, most=30, most_bytes=5000)
+    assert 0 < sum(len(t.encode()) for t in seen["texts"]) <= 5000 and set(seen["texts"]) <= {r[1] for r in rows}
+
+
 def test_best_window():
     x = np.array([0.0, 0, 5, 5, 0, 0])
     assert toxicity.best_window(x, 2) == (5.0, 2) and toxicity.best_window(x, 10) == (x.mean(), 0)
