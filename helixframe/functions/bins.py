@@ -48,19 +48,33 @@ def overlapping_bins(start: ColumnOrName, end: ColumnOrName) -> Column:
     return F.when(end <= start, none).when(end <= BASIC_END, basic).otherwise(beyond)
 
 
-def overlap_predicate(bin_: ColumnOrName, seq: ColumnOrName, start: ColumnOrName, end: ColumnOrName, want_seq: str, want_start: int, want_end: int) -> Column:
-    """Rows of a binned table that overlap a constant range; the bins prune row groups and partitions by their statistics."""
+def overlap_spans(start: int, end: int) -> list[tuple[int, int]]:
+    """Runs of bins, from and to, that can hold a range which overlaps [start, end)."""
+    schemes = [(0, BASIC_OFFSETS, start, min(end, BASIC_END))] if start < BASIC_END else []
     spans = []
-    schemes = [(0, BASIC_OFFSETS, want_start, min(want_end, BASIC_END))] if want_start < BASIC_END else []
-    if want_end > BASIC_END:
-        schemes.append((EXTENDED_START, EXTENDED_OFFSETS, want_start, want_end))
+    if end > BASIC_END:
+        schemes.append((EXTENDED_START, EXTENDED_OFFSETS, start, end))
     else:
         spans.append((EXTENDED_START, EXTENDED_START))
     for base, offsets, lo, hi in schemes:
         for level, offset in enumerate(offsets):
             shift = FIRST_SHIFT + NEXT_SHIFT * level
             spans.append(((lo >> shift) + base + offset, ((hi - 1) >> shift) + base + offset))
+    return spans
+
+
+def overlap_predicate(bin_: ColumnOrName, seq: ColumnOrName, start: ColumnOrName, end: ColumnOrName, want_seq: str, want_start: int, want_end: int) -> Column:
+    """Rows of a binned table that overlap a constant range; the bins prune row groups and partitions by their statistics."""
     in_bins = F.lit(False)
-    for lo, hi in spans:
+    for lo, hi in overlap_spans(want_start, want_end):
         in_bins = in_bins | ((col(bin_) == lo) if lo == hi else col(bin_).between(lo, hi))
     return (col(seq) == want_seq) & (col(start) < want_end) & (col(end) > want_start) & in_bins
+
+
+def overlap_condition(seq: str, start: str, end: str, want_seq: str, want_start: int, want_end: int, bin_: str | None = "bin") -> str:
+    """The same as the text of a WHERE clause, for databases that keep binned tables; without bins if bin_ is None."""
+    name = want_seq.replace("'", "''")
+    parts = [f"{seq} = '{name}'", f"{start} < {int(want_end)}", f"{end} > {int(want_start)}"]
+    if bin_ is not None:
+        parts.append("(" + " OR ".join(f"{bin_} = {lo}" if lo == hi else f"{bin_} BETWEEN {lo} AND {hi}" for lo, hi in overlap_spans(want_start, want_end)) + ")")
+    return " AND ".join(parts)

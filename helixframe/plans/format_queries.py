@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import cds, codecs as K, mathx as M, strings as S
+from ..functions import bins, cds, codecs as K, mathx as M, strings as S
 from ..operators import genes as G, stats, vocabulary as V
 from ..sources import binary, genbank, records, sinks, tables, text
 from ..sources.scratch import scratch_path
@@ -683,3 +683,31 @@ def cds_ranges(t: Tables) -> DataFrame:
     rows = t.lineitem.selectExpr("l_partkey AS a", "l_partkey + CAST(l_quantity AS bigint) AS b", "l_suppkey AS s", "l_suppkey + 400 AS e")
     more = cds.extended_range("a", "b", "s", "e", F.lit(0), F.lit(100_000))
     return rows.select("a", "b", "s", "e", cds.reversed_range("a", "b", F.lit(100_000)).start.cast("bigint").alias("reversed"), cds.part_range("a", "b", "s", "e").start.alias("part"), more.start.cast("bigint").alias("extended"), more.end.cast("bigint").alias("extended_end"))
+
+
+# tables of annotation databases
+
+
+@query(f"WITH {INTERVALS} SELECT name FROM iv WHERE chrom = 'chr3' AND st < 900000 AND en > 250000")
+def range_condition(t: Tables) -> DataFrame:
+    """The text of a condition by bins, as a database gets it."""
+    view = f"iv_{uuid.uuid4().hex}"
+    intervals(t).withColumn("bin", bins.calc_bin("start", "end")).createOrReplaceTempView(view)
+    return t.spark.sql(f"SELECT name FROM {view} WHERE {bins.overlap_condition('chrom', 'start', 'end', 'chr3', 250_000, 900_000)}")
+
+
+@query(_BLK + "SELECT name, chrom, tx_start, cds_end, starts, ends FROM b")
+def gene_pred_table(t: Tables) -> DataFrame:
+    """Gene models from a database's columns."""
+    lists = lambda f: K.join_list(F.transform("exons", lambda e: e[f]))
+    rows = genes(t).select(F.lit(585).alias("bin"), "name", "chrom", "strand", F.col("tx_start").alias("txStart"), F.col("tx_end").alias("txEnd"), F.col("cds_start").alias("cdsStart"), F.col("cds_end").alias("cdsEnd"), F.size("exons").alias("exonCount"), lists("start").cast("binary").alias("exonStarts"), lists("end").cast("binary").alias("exonEnds"))
+    return records.gene_pred_from_table(rows).select("name", "chrom", "tx_start", "cds_end", _listed("exons", "start").alias("starts"), _listed("exons", "end").alias("ends"))
+
+
+@query(_PSL + f"SELECT {_PSL_COLUMNS} FROM ps JOIN pl USING (l_orderkey)")
+def psl_table(t: Tables) -> DataFrame:
+    """Alignments from a database's columns."""
+    names = dict(zip(("match", "mis_match", "rep_match", "n_count", "q_num_insert", "q_base_insert", "t_num_insert", "t_base_insert", "strand", "q_name", "q_size", "q_start", "q_end", "t_name", "t_size", "t_start", "t_end"), records.PSL_TABLE))
+    lists = [K.join_list(F.transform("blocks", lambda b: b[f])).alias(n) for f, n in (("size", "blockSizes"), ("q_start", "qStarts"), ("t_start", "tStarts"))]
+    rows = alignments(t).withColumn("n_count", F.lit(0)).select(*(F.col(a).alias(b) for a, b in names.items()), F.size("blocks").alias("blockCount"), *lists)
+    return _psl_out(records.psl_from_table(rows))

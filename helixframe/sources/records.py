@@ -61,6 +61,27 @@ def gene_pred(spark: SparkSession, path: str) -> DataFrame:
     return gene_pred_from_rows(tab_rows(spark, path, comments=True, blank=True))
 
 
+#: Columns of genePred and PSL tables in annotation databases.
+GENEPRED_TABLE = ("name", "chrom", "strand", "txStart", "txEnd", "cdsStart", "cdsEnd", "exonCount", "exonStarts", "exonEnds", "score", "name2", "cdsStartStat", "cdsEndStat", "exonFrames")
+PSL_TABLE = ("matches", "misMatches", "repMatches", "nCount", "qNumInsert", "qBaseInsert", "tNumInsert", "tBaseInsert", "strand", "qName", "qSize", "qStart", "qEnd", "tName", "tSize", "tStart", "tEnd", "blockCount", "blockSizes", "qStarts", "tStarts")
+
+
+def _table_rows(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The named columns that a database table has, up to the first that it lacks, as an array of texts; a bin column and others are left out."""
+    have = {c.lower(): c for c in rows.columns}
+    found = [have[n.lower()] for n in names if n.lower() in have]
+    return rows.select(F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in found)).alias("row"))
+
+
+def gene_pred_from_table(rows: DataFrame) -> DataFrame:
+    """genePred columns from a database's table, of ten columns or all (`text.jdbc` reads it, with a range condition of functions.bins)."""
+    return gene_pred_from_rows(_table_rows(rows, GENEPRED_TABLE))
+
+
+def psl_from_table(rows: DataFrame) -> DataFrame:
+    return psl_from_rows(_table_rows(rows, PSL_TABLE))
+
+
 def gene_pred_from_big(beds: DataFrame) -> DataFrame:
     """genePred columns from bigGenePred rows (BED12 with extra columns: name2, CDS start and end status, frames, ...)."""
     extra = lambda k: F.get("extra_cols", F.lit(k))

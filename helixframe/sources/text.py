@@ -6,6 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.bins import overlap_condition
+
 _UNSUPPORTED = (".bgz", ".Z")
 
 
@@ -167,6 +169,13 @@ def xlsx_rows(spark: SparkSession, path: str, sheet: str | int = 0, header_row:
     return spark.createDataFrame([(r + [""] * width)[:width] for r in rows[1:]], ", ".join(f"`{c}` string" for c in rows[0][:width]))
 
 
+def jdbc_range(spark: SparkSession, url: str, table: str, seq: str, start: int | None = None, end: int | None = None, columns: Sequence[str] = ("chrom", "chromStart", "chromEnd"), bin_: str | None = "bin", user: str | None = None, password: str | None = None) -> DataFrame:
+    """Rows of a database's table on a sequence, or that overlap a range of it; the database selects them by its bins."""
+    name = seq.replace("'", "''")
+    where = f"{columns[0]} = '{name}'" if start is None else overlap_condition(*columns, seq, start, end, bin_)
+    return jdbc(spark, url, f"SELECT * FROM {table} WHERE {where}", user, password)
+
+
 def jdbc(spark: SparkSession, url: str, table_or_query: str, user: str | None = None, password: str | None = None) -> DataFrame:
     """A database table or query; filters on it are pushed down."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table_or_query if " " not in table_or_query.strip() else f"({table_or_query}) t")
