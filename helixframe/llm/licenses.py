@@ -83,9 +83,16 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
-    """license and digest of known texts, given as pairs or as a table (license, text)."""
+    """license, digest and first word of known texts, given as pairs or as a table (license, text)."""
     rows = known if isinstance(known, DataFrame) else spark.createDataFrame(known_texts() if known is None else known, "license string, text string")
-    return rows.select("license", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    plain = rows.select("license", canonical(F.col("text")).alias("plain"))
+    return plain.groupBy(F.sha2("plain", 256).alias("digest")).agg(F.min("license").alias("license"), F.min(F.substring_index("plain", " ", 1)).alias("first_word"))
+
+
+def begins_with(line: Column, words: list[str]) -> Column:
+    """Whether the canonical form of a line can begin with one of the words: a cheap test that spares most lines their digest."""
+    spelled = sorted({*words, *(a for a, b in SPELLINGS.items() if b in words)})
+    return F.regexp_extract(F.lower(line), r"[\p{L}\p{N}]+", 0).isin(spelled)
 
 
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | DataFrame | None = None, most_notices: int = 10_000) -> DataFrame:
@@ -103,16 +110,16 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | DataFrame | No
     few = digests.limit(most_notices + 1).collect()
     if len(few) <= most_notices:
         table = F.create_map(*(F.lit(x) for r in few for x in (r["digest"], r["license"]))) if few else F.create_map().cast("map<string,string>")
-        lines = F.split(F.coalesce("text", F.lit("")), "\n")
+        lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l: begins_with(l, [r["first_word"] for r in few]))
         found = F.filter(F.transform(lines, lambda l: F.try_element_at(table, digest(l))), lambda x: x.isNotNull())
         rows = rows.withColumn("notices", F.array_join(F.array_sort(F.array_distinct(found)), ","))
     else:
         lines = rows.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.split("text", "\n")).alias("line"))
-        hit = lines.withColumn("digest", digest(F.col("line"))).join(digests, "digest").groupBy("doc_id", "key").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("found"))
+        hit = lines.withColumn("digest", digest(F.col("line"))).join(digests.select("digest", "license"), "digest").groupBy("doc_id", "key").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("found"))
         rows = rows.withColumn("key", F.xxhash64("text")).alias("r").join(hit.alias("h"), F.col("r.key").eqNullSafe(F.col("h.key")) & F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")), "left")
         rows = rows.select("r.doc_id", "r.text", F.coalesce("found", F.lit("")).alias("notices"))
     whole = rows.select("doc_id", digest(F.col("text")).alias("digest"), "notices")
-    return whole.join(digests, "digest", "left").select("doc_id", "digest", "license", "notices")
+    return whole.join(digests.select("digest", "license"), "digest", "left").select("doc_id", "digest", "license", "notices")
 
 
 def _sql_canonical(text: str) -> str:
