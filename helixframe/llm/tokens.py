@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from array import array
 from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,7 @@ class Encoder:
         return out
 
     def _stays_letters(self, word: str) -> bool:
-        return self.byte_level or word.isascii() or self.tokenizer.normalizer.normalize_str(word).isalpha()
+        return self.byte_level or word.isascii() or normalize("NFC", word).lower().isalpha()
 
     def _stop(self, signs: str) -> bytes:
         if len(self.stops) > 1 << 12:
