@@ -42,6 +42,7 @@ def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = Fa
     if _SCRATCH and not keep:
         _SCRATCH[-1].append(folder)
     df.write.option("compression", compression).parquet(f"{folder}/{name}")
+    release()
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import bounded_batches, columns, mix64, tidied
+from .common import bounded_batches, columns, mix64, release, tidied
 from .shingles import odd_constants
 
 _WORD = re.compile(r"[^\W_]+")
@@ -134,7 +134,7 @@ def best_window(logits: np.ndarray, window: int) -> tuple[float, int]:
     return float(means[k]), k
 
 
-def train(texts: list[str], labels: list[int], bits: int = 17, dim: int = 12, window: int = 32, epochs: int = 12, updates: int = 800, rate: float = 0.5, seed: int = 7) -> Model:
+def train(texts: Iterable[str], labels: list[int], bits: int = 17, dim: int = 12, window: int = 32, epochs: int = 12, updates: int = 800, rate: float = 0.5, seed: int = 7) -> Model:
     """Fit vectors and softmax jointly, in `epochs` passes, or more if these make fewer than `updates` steps of 64 documents.
 
     With no text or one class only, the model gives that class's smoothed share.
@@ -226,7 +226,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = 5, la
     found = found.select("y", "text", F.xxhash64("doc_id", "text", "y").alias("h")).orderBy("h").limit(2 * most)  # rows of repeated ids may be more
     upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
     sample = found.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("y", "text").toArrow()
-    return train(sample["text"].to_pylist(), sample["y"].to_pylist())
+    texts, marks = sample["text"].to_pylist(), sample["y"].to_pylist()
+    del sample
+    model = train(_taken(texts), marks)
+    release()  # what training held would stay with the driver
+    return model
+
+
+def _taken(items: list) -> Iterator:
+    """The items in their order, each let go once it is taken."""
+    items.reverse()
+    while items:
+        yield items.pop()
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:

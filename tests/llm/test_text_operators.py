@@ -428,7 +428,7 @@ def test_toxicity_without_two_classes(spark, labels):
 def test_sample_is_bounded_in_bytes(spark, monkeypatch):
     rows, labels, _, _ = toxic_rows(200)
     seen = {}
-    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.update(texts=texts, y=y))
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.update(texts=list(texts), y=y))
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     toxicity.fit(table(spark, rows), marks, most=30)
     assert len(seen["texts"]) == 60 and sum(seen["y"]) == 30
