@@ -290,6 +290,18 @@ def test_feature_tree(spark):
     assert [r["parent_id"] for r in AN.missing_parents(f.where("id != 'g1'")).collect()] == ["g1"]
 
 
+def test_feature_tree_has_no_limit_of_rows(spark):
+    rows = [("c", f"g{k}", "gene", k, k + 5, []) for k in range(30)] + [("c", f"t{k}", "mRNA", k, k + 5, [f"g{k}"]) for k in range(30)]
+    f = spark.createDataFrame(rows, "seqname string, id string, type string, start long, end long, parents array<string>")
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, 20)
+    try:
+        assert [r["node"] for r in AN.feature_tree(f).orderBy("path_key").collect()] == [f"{x}{k}" for k in range(30) for x in "gt"]
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_agp_to_psl_needs_names(spark):
     agp = spark.createDataFrame([("o", 0, 10, "block", "x", 0, 10, "+")], "object string, object_start long, object_end long, kind string, component string, component_start long, component_end long, strand string")
     ids = spark.createDataFrame([("y", "acc")], "local_id string, accession string")
