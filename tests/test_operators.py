@@ -302,6 +302,22 @@ def test_feature_tree_has_no_limit_of_rows(spark):
         spark.conf.set(limit, before)
 
 
+def test_walk_has_no_limit_of_rows(spark):
+    """A recursive query of Spark's stops at a number of rows; a walk gives all, and fails on a cycle only."""
+    edges = spark.createDataFrame([(str(k), str(k // 4)) for k in range(4, 300)] + [("b", "a"), ("a", "b")], "child_id string, parent_id string")
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, 20)
+    try:
+        rows = AN.walk(edges, spark.createDataFrame([("1",), ("2",), ("3",)], "node string")).collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert sorted(int(r["node"]) for r in rows) == list(range(1, 300))
+    assert all(r["path"].split("/")[0] == r["root"] and len(r["path"].split("/")) == r["depth"] + 1 for r in rows)
+    with pytest.raises(Exception):
+        AN.walk(edges, spark.createDataFrame([("a",)], "node string"), 5).collect()
+
+
 def test_agp_to_psl_needs_names(spark):
     agp = spark.createDataFrame([("o", 0, 10, "block", "x", 0, 10, "+")], "object string, object_start long, object_end long, kind string, component string, component_start long, component_end long, strand string")
     ids = spark.createDataFrame([("y", "acc")], "local_id string, accession string")
