@@ -66,12 +66,12 @@ def overlap_join(
     hit = reduce(and_, same, ranges_overlap(start, end, right_start + suffix, right_end + suffix) & (F.col(end) > F.col(start)))
     names = [*left.columns, *named.columns]
     if how == "inner":
-        asked = left.withColumn("__level", F.explode(_levels_from(_level(F.col(end) - F.col(start), shifts), shifts)))
-        asked = asked.withColumn("__cell", _cell(F.col(start).cast("long"), shifts))
+        # a pair meets in the cells of the wider of both levels; rows name their own level and each that the other side may have
+        asked = left.withColumn("__mine", _level(F.col(end) - F.col(start), shifts)).withColumn("__other", _all_levels("__mine", shifts))
+        asked = asked.withColumn("__level", F.greatest("__mine", "__other")).withColumn("__cell", _cell(F.col(start).cast("long"), shifts))
         stored = _stored(named, right_start + suffix, right_end + suffix, shifts)
-        meet = (F.col("__level") == F.col("__level_r")) & (F.col("__cell") == F.col("__cell_r"))
-        highest = F.greatest(_level(F.col(end) - F.col(start), shifts), F.col("__own")) == F.col("__level")
-        return asked.join(stored, meet & hit & highest).select(*(F.col(f"`{c}`") for c in names))
+        meet = (F.col("__mine") == F.col("__asked_r")) & (F.col("__other") == F.col("__own")) & (F.col("__cell") == F.col("__cell_r"))
+        return asked.join(stored, meet & hit).select(*(F.col(f"`{c}`") for c in names))
     if how == "left" and len(shifts) > 1:
         pairs = overlap_join(left, right, keys, start, end, "inner", suffix, right_start, right_end, shifts)
         return pairs.unionByName(overlap_join(left, right, keys, start, end, "left_anti", suffix, right_start, right_end, shifts), allowMissingColumns=True)
@@ -100,8 +100,8 @@ def _level(length: Column, shifts: Sequence[int], spread: int = 0) -> Column:
     return out.otherwise(len(shifts) - 1)
 
 
-def _levels_from(level: Column, shifts: Sequence[int]) -> Column:
-    return F.when(level.isNotNull(), F.sequence(level, F.lit(len(shifts) - 1)))
+def _all_levels(own: str, shifts: Sequence[int]) -> Column:
+    return F.explode(F.when(F.col(own).isNotNull(), F.sequence(F.lit(0), F.lit(len(shifts) - 1))))
 
 
 def _cell(at: Column, shifts: Sequence[int], level: str = "__level") -> Column:
@@ -112,11 +112,11 @@ def _cell(at: Column, shifts: Sequence[int], level: str = "__level") -> Column:
 
 
 def _stored(rows: DataFrame, start: str, end: str, shifts: Sequence[int], level: int | None = None) -> DataFrame:
-    """rows in every cell (__cell_r, of a level, or of all levels from their own) where a left range that overlaps them can start."""
+    """rows in every cell (__cell_r, of a level, or of each level __asked_r of a left range) where a left range that overlaps them can start."""
     lo, hi = F.col(start).cast("long"), F.col(end).cast("long")
     out = rows.withColumn("__own", _level(hi - lo, shifts, SPREAD))
     if level is None:
-        out = out.withColumn("__level_r", F.explode(_levels_from(F.col("__own"), shifts)))
+        out = out.withColumn("__asked_r", _all_levels("__own", shifts)).withColumn("__level_r", F.greatest("__own", "__asked_r"))
         first = _cell(lo + 1, shifts, "__level_r") - 1  # a left range is no longer than a cell
         last = _cell(hi - 1, shifts, "__level_r") + 1
     else:

@@ -22,6 +22,18 @@ def ranges(seed, n, top, longest):
 RANGES = "chrom string, start long, end long, strand string, id int"
 
 
+def test_overlap_join_hashes_levels(spark):
+    """Pairs of short ranges aren't tried in the wide cells of other levels: both levels are keys of the join, and only bounds are compared."""
+    rows = [("c", k * 1000, k * 1000 + 5, "+", k) for k in range(300)] + [("c", 0, 300_000, "+", 300)]
+    d = spark.createDataFrame(rows, RANGES)
+    joined = I.overlap_join(d, d, shifts=[4, 12, 32])
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    line = next(x for x in plan.splitlines() if "Join [" in x)
+    keys, _, condition = line.partition("Inner")
+    assert "__mine" in keys and "__other" in keys and "__" not in condition
+    assert joined.count() == 300 + 2 * 300 + 1
+
+
 @pytest.mark.parametrize("top,longest", [(5_000, 400), (1_000_000, 300_000), (2_000_000_000, 400_000_000)])
 def test_overlap_join_equals_all_pairs(spark, top, longest):
     a, b = ranges(1, 120, top, longest), ranges(2, 120, top, longest)
