@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 
@@ -37,3 +38,24 @@ def test_queries_match_their_oracles(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+def equals_oracle(spark, folder, name):
+    """Whether a query on a folder of line items gives the rows of its SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    df, found = __spark_entry__.queries()[name](spark, folder), con.sql(__spark_entry__.oracle_sql()[name])
+    columns = found.columns
+    return sorted(map(str, df.select(*columns).rdd.map(tuple).collect())) == sorted(map(str, found.fetchall()))
+
+
+def shifted(spark, tmp_path, by):
+    """The folder of a copy of the smallest line items, with part keys greater by so much."""
+    spark.read.parquet(f"{DATA}/lineitem.parquet").withColumn("l_partkey", F.col("l_partkey") + by).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_coords_text_beyond_the_size(spark, tmp_path):
+    assert equals_oracle(spark, shifted(spark, tmp_path, 150_000), "coords_text")
