@@ -14,20 +14,23 @@ EXTENDED_START = 4681
 EXTENDED_OFFSETS = (4681, 585, 73, 9, 1, 0)
 
 
-def _smallest(start: Column, end: Column, base: int, offsets: tuple[int, ...]) -> Column:
+def _smallest(start: Column, end: Column, base: int, offsets: tuple[int, ...], none: Column) -> Column:
     out = None
     for level, offset in enumerate(offsets):
         shift = FIRST_SHIFT + NEXT_SHIFT * level
         first, last = F.shiftright(start, shift), F.shiftright(end - 1, shift)
         bin_ = first + (base + offset)
         out = F.when(first == last, bin_) if out is None else out.when(first == last, bin_)
-    return out.otherwise(F.raise_error("range can't be binned").cast("bigint"))
+    return out.otherwise(none)
 
 
-def calc_bin(start: ColumnOrName, end: ColumnOrName) -> Column:
-    """The smallest bin that holds the range."""
+def calc_bin(start: ColumnOrName, end: ColumnOrName, extended: bool = True) -> Column:
+    """The smallest bin that holds the range; without the extended scheme, the basic one goes on beyond its end, and a range that no bin of it holds has none (null)."""
     start, end = col(start).cast("bigint"), col(end).cast("bigint")
-    return F.when(end <= BASIC_END, _smallest(start, end, 0, BASIC_OFFSETS)).otherwise(_smallest(start, end, EXTENDED_START, EXTENDED_OFFSETS))
+    if not extended:
+        return _smallest(start, end, 0, BASIC_OFFSETS, F.lit(None).cast("bigint"))
+    wrong = F.raise_error("range can't be binned").cast("bigint")
+    return F.when(end <= BASIC_END, _smallest(start, end, 0, BASIC_OFFSETS, wrong)).otherwise(_smallest(start, end, EXTENDED_START, EXTENDED_OFFSETS, wrong))
 
 
 def _levels(start: Column, end: Column, base: int, offsets: tuple[int, ...]) -> Column:
