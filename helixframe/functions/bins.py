@@ -41,12 +41,14 @@ def _levels(start: Column, end: Column, base: int, offsets: tuple[int, ...]) ->
     return F.concat(*parts)
 
 
-def overlapping_bins(start: ColumnOrName, end: ColumnOrName) -> Column:
-    """Every bin that can hold a range which overlaps this one; none for an empty range."""
+def overlapping_bins(start: ColumnOrName, end: ColumnOrName, extended: bool = True) -> Column:
+    """Every bin that can hold a range which overlaps this one; none for an empty range. Without the extended scheme, the basic one goes on beyond its end."""
     start, end = col(start).cast("bigint"), col(end).cast("bigint")
     none = F.array().cast("array<bigint>")
     basic = F.concat(_levels(start, end, 0, BASIC_OFFSETS), F.array(F.lit(EXTENDED_START).cast("bigint")))
     both = _levels(start, F.lit(BASIC_END).cast("bigint"), 0, BASIC_OFFSETS)
+    if not extended:
+        return F.when(end <= start, none).otherwise(basic)
     beyond = F.concat(F.when(start < BASIC_END, both).otherwise(none), _levels(start, end, EXTENDED_START, EXTENDED_OFFSETS))
     return F.when(end <= start, none).when(end <= BASIC_END, basic).otherwise(beyond)
 

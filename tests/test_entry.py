@@ -74,3 +74,8 @@ def test_cds_ranges_beyond_the_size(spark, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_calc_bin_beyond_512_mb(spark, tmp_path):
     assert equals_oracle(spark, shifted(spark, tmp_path, 536_800), "calc_bin")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_overlapping_bins_beyond_512_mb(spark, tmp_path):
+    assert equals_oracle(spark, shifted(spark, tmp_path, 536_800), "overlapping_bins")
