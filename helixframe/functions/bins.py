@@ -53,8 +53,11 @@ def overlapping_bins(start: ColumnOrName, end: ColumnOrName, extended: bool = Tr
     return F.when(end <= start, none).when(end <= BASIC_END, basic).otherwise(beyond)
 
 
-def overlap_spans(start: int, end: int) -> list[tuple[int, int]]:
-    """Runs of bins, from and to, that can hold a range which overlaps [start, end)."""
+def overlap_spans(start: int, end: int, extended: bool = True) -> list[tuple[int, int]]:
+    """Runs of bins, from and to, that can hold a range which overlaps [start, end); without the extended scheme, beside the rows without a bin."""
+    if not extended:
+        shifts = [FIRST_SHIFT + NEXT_SHIFT * level for level in range(len(BASIC_OFFSETS))]
+        return [((start >> s) + offset, ((end - 1) >> s) + offset) for s, offset in zip(shifts, BASIC_OFFSETS)]
     schemes = [(0, BASIC_OFFSETS, start, min(end, BASIC_END))] if start < BASIC_END else []
     spans = []
     if end > BASIC_END:
@@ -68,10 +71,10 @@ def overlap_spans(start: int, end: int) -> list[tuple[int, int]]:
     return spans
 
 
-def overlap_predicate(bin_: ColumnOrName, seq: ColumnOrName, start: ColumnOrName, end: ColumnOrName, want_seq: str, want_start: int, want_end: int) -> Column:
+def overlap_predicate(bin_: ColumnOrName, seq: ColumnOrName, start: ColumnOrName, end: ColumnOrName, want_seq: str, want_start: int, want_end: int, extended: bool = True) -> Column:
     """Rows of a binned table that overlap a constant range; the bins prune row groups and partitions by their statistics."""
-    in_bins = F.lit(False)
-    for lo, hi in overlap_spans(want_start, want_end):
+    in_bins = F.lit(False) if extended else col(bin_).isNull()
+    for lo, hi in overlap_spans(want_start, want_end, extended):
         in_bins = in_bins | ((col(bin_) == lo) if lo == hi else col(bin_).between(lo, hi))
     return (col(seq) == want_seq) & (col(start) < want_end) & (col(end) > want_start) & in_bins
 

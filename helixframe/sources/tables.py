@@ -16,11 +16,12 @@ class RangeTable:
     """A table of ranges (sequence, start, end), with a name column, a bin and an explicit row id.
 
     Rows are written in order of (sequence, bin, start), so that the statistics of files and row groups do what an index on
-    (sequence, bin) does; ids count rows in that order. Lookups return lazy DataFrames.
+    (sequence, bin) does; ids count rows in that order. Lookups return lazy DataFrames. With extended, bins beyond 512 Mb are
+    those of the extended scheme.
     """
 
-    def __init__(self, spark: SparkSession, table: str, seq: str = "chrom", start: str = "start", end: str = "end", name: str = "name", strand: str | None = "strand"):
-        self.spark, self.table, self.seq, self.start, self.end, self.name, self.strand = spark, table, seq, start, end, name, strand
+    def __init__(self, spark: SparkSession, table: str, seq: str = "chrom", start: str = "start", end: str = "end", name: str = "name", strand: str | None = "strand", extended: bool = True):
+        self.spark, self.table, self.seq, self.start, self.end, self.name, self.strand, self.extended = spark, table, seq, start, end, name, strand, extended
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
@@ -28,8 +29,8 @@ class RangeTable:
     def load(self, rows: DataFrame, mode: str = "overwrite") -> None:
         """Write rows, replacing the table, or appending to it (row ids go on after the last)."""
         first = self.oid_range()[1] if mode == "append" and self.exists() else 0
-        binned = rows.withColumn("bin", calc_bin(self.start, self.end))
-        order = ["bin", self.start, self.end, self.name]
+        binned = rows.withColumn("bin", calc_bin(self.start, self.end, self.extended))
+        order = [F.col("bin").asc_nulls_last(), self.start, self.end, self.name]
         out = number_in_order(binned, self.seq, order, "oid", first=first)
         out.repartitionByRange(self.seq, "bin", self.start).sortWithinPartitions(self.seq, "bin", self.start).write.mode(mode).saveAsTable(self.table)
 
@@ -51,7 +52,7 @@ class RangeTable:
 
     def overlapping(self, seq: str, start: int | None = None, end: int | None = None, strand: str | Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
         """Rows that overlap a range, or are on a sequence; of some strands and with a further condition if given."""
-        out = self.rows().where((F.col(self.seq) == seq) if start is None else overlap_predicate("bin", self.seq, self.start, self.end, seq, start, end))
+        out = self.rows().where((F.col(self.seq) == seq) if start is None else overlap_predicate("bin", self.seq, self.start, self.end, seq, start, end, self.extended))
         if strand is not None:
             out = out.where(F.col(self.strand).isin([strand] if isinstance(strand, str) else list(strand)))
         return out if where is None else out.where(where)

@@ -79,3 +79,21 @@ def test_calc_bin_beyond_512_mb(spark, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_overlapping_bins_beyond_512_mb(spark, tmp_path):
     assert equals_oracle(spark, shifted(spark, tmp_path, 536_800), "overlapping_bins")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_range_table_rows_beyond_512_mb(spark, tmp_path):
+    assert equals_oracle(spark, shifted(spark, tmp_path, 536_800), "range_table_rows")
+
+
+def test_range_table_without_extended_bins(spark):
+    """Lookups find ranges on both sides of 512 Mb, and one that no bin of the basic scheme holds."""
+    from helixframe.sources.tables import RangeTable
+
+    edge = 1 << 29
+    rows = [("c", k, k + 10, "+", f"r{k}") for k in (5, edge - 10, edge - 5, edge, edge + 9, 2 * edge + 7)]
+    table = RangeTable(spark, "ranges_basic", extended=False)
+    table.load(spark.createDataFrame(rows, "chrom string, start long, end long, strand string, name string"))
+    for a, b in ((0, 6), (edge - 3, edge + 2), (edge + 8, edge + 10), (0, 3 * edge)):
+        assert {r["name"] for r in table.overlapping("c", a, b).collect()} == {r[4] for r in rows if r[1] < b and r[2] > a}
+    table.drop()
