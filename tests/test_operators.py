@@ -294,6 +294,14 @@ def test_splice_classes(spark):
     assert all(r["x"] == r["want"] for r in d.select(stats.classify_junction(stats.junction("a", "b", "s"), "n").alias("x"), "want").collect())
 
 
+def test_cds_is_sought_once_a_pair(spark):
+    """The blocks of a pair are gone through once, and the CDS lies where it did."""
+    d = spark.createDataFrame([(5, 30, [(0, 100, 10), (10, 120, 10), (25, 140, 10)]), (10, 12, [(0, 100, 10), (12, 130, 5)])], "lo long, hi long, blocks array<struct<q_start:long,t_start:long,size:long>>")
+    c = d.select(A.project_cds("lo", "hi").alias("c"))
+    assert c._jdf.queryExecution().analyzed().toString().count("filter(") == 1
+    assert [None if r["c"] is None else tuple(r["c"]) for r in c.collect()] == [(105, 145), None]
+
+
 def test_feature_tree(spark):
     rows = [("g1", "gene", 10, 90, []), ("t1", "mRNA", 10, 90, ["g1"]), ("t2", "mRNA", 10, 95, ["g1"]), ("e1", "exon", 10, 30, ["t1", "t2"]), ("g0", "gene", 5, 8, [])]
     f = spark.createDataFrame([("c", *r) for r in rows], "seqname string, id string, type string, start long, end long, parents array<string>")
