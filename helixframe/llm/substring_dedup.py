@@ -28,10 +28,12 @@ from .shingles import bare, long_hashes, odd_constants, shingle_hashes, sliding,
 MEMBERS = "doc_id long, node long, n_words int, part int, content binary"
 SEEDS = "kmer long, salt int, node long, pos int, context binary"
 STARS = "kind int, key long, node long, partner long, pos int, partner_pos int, n int"
-MATCH, HUB, RUN, HEAD, REST = range(5)
+MATCH, HUB, RUN, HEAD, REST, PLACE = range(6)
 CHAINS = "node long, partner long, lo int, hi int, partner_lo int, partner_hi int, anchors binary"
 ALIGNED = "node long, lo long, hi long, partner long, partner_lo long, partner_hi long, n_matched long"
 MARGIN = 32
+#: A seed of so many nodes at most has all their pairs. For others, two seeds so many places and words apart at most are one key.
+SMALL, AHEAD, FAR = 16, 8, 64
 
 
 def _nodes(words: np.ndarray, begins: np.ndarray, least: int) -> list[int | None]:
@@ -91,6 +93,11 @@ def _reach(k: int, w: int, least: int) -> int:
     return max(1, min(15, least - (w + k - 1)))
 
 
+def _span(k: int, w: int, least: int) -> int:
+    """How many words the seeds of a passage of `least` words span at least, with some to spare for edits at its ends."""
+    return least - 2 * (w + k) - MARGIN // 4
+
+
 def _members(docs: DataFrame, k: int, w: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.Counts(), set()
@@ -195,10 +202,11 @@ def _chains(matches: DataFrame, k: int, w: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        reach = least - 2 * (w + k) - MARGIN // 4
+        reach = _span(k, w, least)
         for node, partner, x, y in _grouped(batches):
             if len(x) < 2 or x.max() - x.min() < reach or y.max() - y.min() < reach:
                 continue
+            x, y = np.divmod(np.unique(x.astype(np.int64) << 32 | y), 1 << 32)
             for part in chain(x, y, k, gap=0.05, least_score=k + 1):
                 a, b = x[part], y[part]
                 if a[-1] - a[0] >= reach and b[-1] - b[0] >= reach:
@@ -214,35 +222,64 @@ def _chains(matches: DataFrame, k: int, w: int, least: int) -> DataFrame:
     return matches.select(*keys, "pos", "partner_pos").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(run), CHAINS)
 
 
+def _partners(index: np.ndarray, begin: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The partner's row for each of the rows index, in groups from begin, sorted by node and place; which rows are in the first node.
+
+    A node's places go to the partner's in their order, again from its first where it has fewer: texts that repeat a
+    line are held against each other along one diagonal.
+    """
+    size = np.diff(np.append(begin, len(index)))
+    group = np.repeat(np.arange(len(begin)), size)
+    change = np.ones(len(index), bool)
+    change[1:] = (node[index[1:]] != node[index[:-1]]) | (group[1:] != group[:-1])
+    start = np.flatnonzero(change)
+    nth = np.arange(len(index)) - np.repeat(start, np.diff(np.append(start, len(index))))
+    n_first = np.append(start, len(index))[np.searchsorted(start, begin) + 1] - begin
+    last = start[np.searchsorted(start, begin + size - 1, side="right") - 1]
+    own = node[index] == node[index[begin]][group]
+    at = np.where(own, last[group] + nth % (begin + size - last)[group], begin[group] + nth % n_first[group])
+    return index[at], own
+
+
+def _sizes(index: np.ndarray, begin: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """How many nodes each group has, of the rows index in groups from begin, sorted by node."""
+    change = np.ones(len(index), np.int64)
+    change[1:] = node[index[1:]] != node[index[:-1]]
+    change[begin] = 1
+    return np.add.reduceat(change, begin)
+
+
+def _all_pairs(index: np.ndarray, begin: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of every two nodes of a group, for rows and groups as of _partners: places in their order, again from the first where a node has fewer."""
+    if not len(index):
+        return
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(index))))
+    change = np.ones(len(index), bool)
+    change[1:] = (node[index[1:]] != node[index[:-1]]) | (group[1:] != group[:-1])
+    start = np.flatnonzero(change)
+    size, group = np.diff(np.append(start, len(index))), group[start]
+    for d in range(1, len(start)):
+        b = np.flatnonzero(group[d:] == group[:-d]) + d
+        if not len(b):
+            return
+        a = b - d
+        n = np.maximum(size[a], size[b])
+        of = np.repeat(np.arange(len(b)), n)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        yield index[start[b][of] + nth % size[b][of]], index[start[a][of] + nth % size[a][of]]
+
+
 def _stars(seeds: DataFrame, k: int, w: int, least: int) -> DataFrame:
     """What seeds say, by kind: MATCH, places of a short seed in two nodes; RUN, stretches of n words, `least` or more, that two
-    nodes seem to share; and of salted seeds HUB and HEAD, places (by key) that may have a partner in other salts, and REST, further
-    places of a HEAD's node that is alone in its salt.
+    nodes seem to share; of salted seeds HUB and HEAD, places (by key) that may have a partner in other salts, and REST, further
+    places of a HEAD's node that is alone in its salt; and PLACE, all places of short seeds, n = 1 if not all pairs of nodes are matched.
 
-    Every place of a seed, and of every run of `least` words around a long one, is held against the smallest node that has
-    it, and that node's places against the largest. Of a salt's smallest node one place is a head, or all, if it is alone there. A run is known by its long k-mer and a byte of each word
+    A short seed of SMALL nodes at most has all their pairs. Of others, every place of a seed, and of every run of `least`
+    words around a long one, is held against the smallest node that has it, and that node's places against the largest. Of a salt's smallest node one place is a head, or all, if it is alone there. A run is known by its long k-mer and a byte of each word
     beside it, so a few runs too many may pass; the alignment decides.
     """
     reach = _reach(k, w, least)
 
-    def partners(index: np.ndarray, begin: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The partner's row for each of the rows index, in groups from begin, sorted by node and place; which rows are in the first node.
-
-        A node's places go to the partner's in their order, again from its first where it has fewer: texts that repeat a
-        line are held against each other along one diagonal.
-        """
-        size = np.diff(np.append(begin, len(index)))
-        group = np.repeat(np.arange(len(begin)), size)
-        change = np.ones(len(index), bool)
-        change[1:] = (node[index[1:]] != node[index[:-1]]) | (group[1:] != group[:-1])
-        start = np.flatnonzero(change)
-        nth = np.arange(len(index)) - np.repeat(start, np.diff(np.append(start, len(index))))
-        n_first = np.append(start, len(index))[np.searchsorted(start, begin) + 1] - begin
-        last = start[np.searchsorted(start, begin + size - 1, side="right") - 1]
-        own = node[index] == node[index[begin]][group]
-        at = np.where(own, last[group] + nth % (begin + size - last)[group], begin[group] + nth % n_first[group])
-        return index[at], own
-
     def table(kind: int, key, node, partner, pos, partner_pos, n) -> pa.RecordBatch:
         made = [np.full(len(node), kind, np.int32), key, node, partner, pos.astype(np.int32), partner_pos.astype(np.int32), n.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["kind", "key", "node", "partner", "pos", "partner_pos", "n"])
@@ -263,7 +300,16 @@ def _stars(seeds: DataFrame, k: int, w: int, least: int) -> DataFrame:
             short, zero = np.flatnonzero(~is_long), np.zeros(len(node), np.int64)
             if len(short):
                 begin = np.flatnonzero(np.concatenate(([True], (kmer[short][1:] != kmer[short][:-1]) | (salt[short][1:] != salt[short][:-1]))))
-                other, own = partners(short, begin, node)
+                few = (salt[short[begin]] == 0) & (_sizes(short, begin, node) <= SMALL)
+                in_few = np.repeat(few, np.diff(np.append(begin, len(short))))
+                yield table(PLACE, kmer[short], node[short], node[short], pos[short], pos[short], ~in_few)
+                some = short[in_few]
+                for x, y in _all_pairs(some, np.flatnonzero(np.isin(np.flatnonzero(in_few), begin)), node):
+                    yield table(MATCH, zero[x], node[x], node[y], pos[x], pos[y], zero[x])
+                short = short[~in_few]
+                begin = np.flatnonzero(np.concatenate(([True], (kmer[short][1:] != kmer[short][:-1]) | (salt[short][1:] != salt[short][:-1])))) if len(short) else short
+            if len(short):
+                other, own = _partners(short, begin, node)
                 ok = node[other] != node[short]
                 lone = own & ~ok
                 ok[begin] = False  # the first place of all is the others' partner, and needs none
@@ -291,7 +337,7 @@ def _stars(seeds: DataFrame, k: int, w: int, least: int) -> DataFrame:
                 if not len(index):
                     continue
                 begin = np.flatnonzero(np.concatenate(([True], local[1:] != local[:-1])))
-                other, own = partners(index, begin, node)
+                other, own = _partners(index, begin, node)
                 paired = node[other] != node[index]
                 found.append((index[paired], other[paired], np.full(int(paired.sum()), shift - (reach - 1))))
                 salted, lone = salt[index] > 0, own & ~paired
@@ -327,6 +373,48 @@ def _across(places: DataFrame) -> DataFrame:
     return pairs.select("key", "node", F.col("p.node").alias("partner"), "pos", F.col("p.pos").alias("partner_pos"), "n")
 
 
+def _doubles(places: DataFrame, reach: int) -> DataFrame:
+    """Matches by two seeds at once, for seeds of many nodes: the two in their order are a key that far fewer nodes have.
+
+    Keys are two different seeds of a node, `reach` to FAR words and at most AHEAD places apart, one of them of more than SMALL
+    nodes. A key of SMALL nodes at most has all their pairs, another one's places are held against the smallest node that has it.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, d = odd_constants(2)
+        for rows in chunks(batches, 1):
+            node, pos, key, many = (x.to_numpy() for x in rows.columns)
+            seed = mix64(key.view(np.uint64))
+            for j in range(1, min(AHEAD + 1, len(node))):
+                apart = pos[j:] - pos[:-j]
+                i = np.flatnonzero((node[j:] == node[:-j]) & (apart >= reach) & (apart <= FAR) & (many[j:] + many[:-j] > 0) & (key[j:] != key[:-j]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix64(seed[i] * c + seed[i + j] * d).view(np.int64), node[i], pos[i], apart[i])], names=["key", "node", "pos", "apart"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matches(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            x, y, far = np.tile(x, 2), np.tile(y, 2), np.repeat([0, 1], len(x)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], node[y], pos[x] + far * apart[x], pos[y] + far * apart[y])], names=["node", "partner", "pos", "partner_pos"])
+
+        for rows in chunks(batches, 1):
+            key, node, pos, apart = (x.to_numpy() for x in rows.columns)
+            index = np.arange(len(key))
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            n = _sizes(index, begin, node)
+            for ok in (n > 1) & (n <= SMALL), n > SMALL:
+                mine = np.repeat(ok, np.diff(np.append(begin, len(index))))
+                some = index[mine]
+                if not len(some):
+                    continue
+                first = np.flatnonzero(np.concatenate(([True], key[some][1:] != key[some][:-1])))
+                for x, y in _all_pairs(some, first, node) if n[ok].max() <= SMALL else [(some, _partners(some, first, node)[0])]:
+                    yield matches(x, y)
+
+    rows = places.selectExpr("node", "pos", "key", "n").repartition("node").sortWithinPartitions("node", "pos")
+    rows = rows.mapInArrow(tidied(keyed), "key long, node long, pos int, apart int")
+    return rows.repartition("key").sortWithinPartitions("key", "node", "pos").mapInArrow(tidied(run), "node long, partner long, pos int, partner_pos int")
+
+
 def _runs(stretches: DataFrame, k: int) -> DataFrame:
     """Chains of stretches that two nodes seem to share word for word."""
 
@@ -463,6 +551,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, w: int = 10, least_words: int
     levels.unpersist()
     of = lambda kind: stars.where(F.col("kind") == kind)
     matches = of(MATCH).select("node", "partner", "pos", "partner_pos").unionAll(_across(of(HUB)).drop("key", "n"))
+    matches = matches.unionAll(_doubles(of(PLACE), max(1, _span(k, w, least_words))))
 
     def words_of(chains: DataFrame) -> DataFrame:
         nodes = chains.select(F.explode(F.array("node", "partner")).alias("node")).distinct()
@@ -479,16 +568,17 @@ def repeated_passages(docs: DataFrame, k: int = 5, w: int = 10, least_words: int
     other = found.groupBy(F.col("partner").alias("node"), F.col("partner_lo").alias("lo"), F.col("partner_hi").alias("hi")).agg(F.min(F.struct("node", "lo", "hi", "n_matched")).alias("o"))
     other = other.select("node", "lo", "hi", F.col("o.node").alias("partner"), F.col("o.lo").alias("partner_lo"), F.col("o.hi").alias("partner_hi"), F.col("o.n_matched").alias("n_matched"))
     passages = found.unionByName(other.select(*found.columns))
-    listed = written(passages.select(F.col("node").alias("l_node"), F.col("lo").alias("l_lo"), F.col("hi").alias("l_hi")).distinct(), "listed")
-    # runs that no passage of the chains holds
-    free = lambda df, end: df.join(listed, F.expr(f"node = l_node AND l_lo <= {'lo' if end == 'hi' else 'pos'} AND l_hi >= {end}"), "left_anti")
+    held = found.selectExpr("node AS l_node", "partner AS l_partner", "lo AS l_lo", "hi AS l_hi").unionAll(found.selectExpr("partner", "node", "partner_lo", "partner_hi"))
+    listed = written(held.distinct(), "listed")
+    # runs that no passage of the chains of the same two texts holds
+    free = lambda df, end: df.join(listed, F.expr(f"node = l_node AND partner = l_partner AND l_lo <= {'lo' if end == 'hi' else 'pos'} AND l_hi >= {end}"), "left_anti")
     heads = _across(of(HEAD))
     rest = of(REST).select("key", "node", "pos").join(heads.select("key", "node", "partner", "partner_pos", "n"), ["key", "node"])
     names_of = ("node", "partner", "pos", "partner_pos", "n")
     stretches = free(of(RUN).select(*names_of).unionAll(heads.select(*names_of)).unionAll(rest.select(*names_of)), "pos + n")
     runs = written(_runs(stretches, k), "runs")
     words = words_of(runs)
-    equal = written(_aligned(runs, words, k, least_words, percent, equal=True).dropDuplicates(["node", "lo", "hi"]), "equal")
+    equal = written(_aligned(runs, words, k, least_words, percent, equal=True).dropDuplicates(["node", "partner", "lo", "hi"]), "equal")
     passages = passages.unionByName(free(equal, "hi"))
     dropped(spark, stars, runs, words)
     passages = passages.join(names.select(F.col("node").alias("partner"), F.col("name").alias("other_doc_id")), "partner")

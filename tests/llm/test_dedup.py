@@ -258,6 +258,42 @@ def test_every_equal_run_is_found(spark):
     assert not missed
 
 
+@pytest.mark.parametrize("hot,parts", [(False, 1), (True, 1), (False, 20)])
+def test_edited_passages_whose_parts_stand_in_other_texts(spark, monkeypatch, hot, parts):
+    """Two texts share an edited passage, without an equal run of 50 words; its parts, under 50 each, stand in others."""
+    rng = random.Random(45)
+    prose = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    docs, want = [], set()
+    for _ in range(30 if parts == 1 else 6):
+        passage = prose(90)
+        edited = [*passage[:29], "e1", *passage[30:59], "e2", *passage[60:]]
+        for part in (passage, edited, *[passage[:30], passage[30:60], passage[60:]] * parts):
+            if len(part) == 90:
+                want.add(len(docs))
+            docs.append(prose(60) + part + prose(60))
+    rows = [(k, " ".join(x), "en", "s", 1) for k, x in enumerate(docs)]
+    if hot:
+        monkeypatch.setattr(sketch, "levels", lambda parts: np.full(1 << sketch.COUNT_BITS, 9, np.uint8))
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    assert {r["doc_id"] for r in got if r["start_word"] <= 60 and r["end_word"] >= 150} == want == {r["doc_id"] for r in got}
+
+
+def test_links_between_families_of_a_passage(spark):
+    """Two texts with an equal run of 60 words are linked, also if each of them has a longer passage in common with a third."""
+    rng = random.Random(55)
+    prose = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(12):
+        run = prose(60)
+        sides = [(prose(50), prose(50)) for _ in range(2)]
+        edited = [*run[:20], "e1", *run[21:40], "e2", *run[41:]]
+        for a, b in sides:
+            rows += [(len(rows) + k, " ".join(prose(40) + a + x + b + prose(40)), "en", "s", 1) for k, x in enumerate((run, edited))]
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    linked = {frozenset((r["doc_id"], r["other_doc_id"])) for r in got}
+    assert all(frozenset((4 * g + a, 4 * g + b)) in linked for g in range(12) for a in range(4) for b in range(a))
+
+
 def test_passages_of_a_hot_seed(spark, monkeypatch):
     rng = random.Random(8)
     hot = [f"h{k}" for k in range(60)]
