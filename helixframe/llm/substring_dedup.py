@@ -14,11 +14,12 @@ in several nodes, each run of `least` words around them, joined to one partner t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import sketch
@@ -32,8 +33,8 @@ MATCH, HUB, RUN, HEAD, REST, PLACE = range(6)
 CHAINS = "node long, partner long, lo int, hi int, partner_lo int, partner_hi int, anchors binary"
 ALIGNED = "node long, lo long, hi long, partner long, partner_lo long, partner_hi long, n_matched long"
 MARGIN = 32
-#: A seed of so many nodes at most has all their pairs. For others, two seeds so many places and words apart at most are one key.
-SMALL, AHEAD, FAR = 16, 8, 64
+#: A seed of so many nodes at most has all their pairs. For others, two seeds so many words apart at most are one key.
+SMALL, FAR = 16, 64
 
 
 def _nodes(words: np.ndarray, begins: np.ndarray, least: int) -> list[int | None]:
@@ -376,8 +377,9 @@ def _across(places: DataFrame) -> DataFrame:
 def _doubles(places: DataFrame, reach: int) -> DataFrame:
     """Matches by two seeds at once, for seeds of many nodes: the two in their order are a key that far fewer nodes have.
 
-    Keys are two different seeds of a node, `reach` to FAR words and at most AHEAD places apart, one of them of more than SMALL
-    nodes. A key of SMALL nodes at most has all their pairs, another one's places are held against the smallest node that has it.
+    Keys are two different seeds of a node, `reach` to FAR words apart, one of them of more than SMALL nodes. A key of SMALL
+    nodes at most has all their pairs, another one's places are held against the smallest node that has it. These are also
+    given as rows with their key and n, the words between its seeds, for _compared; n is 0 in matches.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,16 +387,22 @@ def _doubles(places: DataFrame, reach: int) -> DataFrame:
         for rows in chunks(batches, 1):
             node, pos, key, many = (x.to_numpy() for x in rows.columns)
             seed = mix64(key.view(np.uint64))
-            for j in range(1, min(AHEAD + 1, len(node))):
+            for j in range(1, len(node)):
                 apart = pos[j:] - pos[:-j]
-                i = np.flatnonzero((node[j:] == node[:-j]) & (apart >= reach) & (apart <= FAR) & (many[j:] + many[:-j] > 0) & (key[j:] != key[:-j]))
+                near = (node[j:] == node[:-j]) & (apart <= FAR)
+                if not near.any():
+                    break
+                i = np.flatnonzero(near & (apart >= reach) & (many[j:] + many[:-j] > 0) & (key[j:] != key[:-j]))
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix64(seed[i] * c + seed[i + j] * d).view(np.int64), node[i], pos[i], apart[i])], names=["key", "node", "pos", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(x: np.ndarray, y: np.ndarray, far: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            made = key[x], node[x], node[y], pos[x] + far * apart[x], pos[y] + far * apart[y], n
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["key", "node", "partner", "pos", "partner_pos", "n"])
+
         def matches(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            x, y, far = np.tile(x, 2), np.tile(y, 2), np.repeat([0, 1], len(x)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], node[y], pos[x] + far * apart[x], pos[y] + far * apart[y])], names=["node", "partner", "pos", "partner_pos"])
+            return table(np.tile(x, 2), np.tile(y, 2), np.repeat([0, 1], len(x)).astype(np.int32), np.zeros(2 * len(x), np.int32))
 
         for rows in chunks(batches, 1):
             key, node, pos, apart = (x.to_numpy() for x in rows.columns)
@@ -407,12 +415,72 @@ def _doubles(places: DataFrame, reach: int) -> DataFrame:
                 if not len(some):
                     continue
                 first = np.flatnonzero(np.concatenate(([True], key[some][1:] != key[some][:-1])))
-                for x, y in _all_pairs(some, first, node) if n[ok].max() <= SMALL else [(some, _partners(some, first, node)[0])]:
-                    yield matches(x, y)
+                if n[ok].max() <= SMALL:
+                    for x, y in _all_pairs(some, first, node):
+                        yield matches(x, y)
+                else:
+                    other, own = _partners(some, first, node)
+                    yield matches(some, other)
+                    x, y = some[~own], other[~own]
+                    yield table(x, y, np.zeros(len(x), np.int32), apart[x])
 
     rows = places.selectExpr("node", "pos", "key", "n").repartition("node").sortWithinPartitions("node", "pos")
     rows = rows.mapInArrow(tidied(keyed), "key long, node long, pos int, apart int")
-    return rows.repartition("key").sortWithinPartitions("key", "node", "pos").mapInArrow(tidied(run), "node long, partner long, pos int, partner_pos int")
+    return rows.repartition("key").sortWithinPartitions("key", "node", "pos").mapInArrow(tidied(run), "key long, node long, partner long, pos int, partner_pos int, n int")
+
+
+def _both(found: DataFrame) -> DataFrame:
+    """Passages from both sides, in columns of their own."""
+    names = ("l_node", "l_partner", "l_lo", "l_hi", "l_partner_lo", "l_partner_hi")
+    sides = (("node", "partner", "lo", "hi", "partner_lo", "partner_hi"), ("partner", "node", "partner_lo", "partner_hi", "lo", "hi"))
+    one, two = (found.select(*(F.col(c).alias(n) for c, n in zip(side, names))) for side in sides)
+    return one.unionAll(two)
+
+
+def _held(places: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Places (pos, n words on) that a passage of the same two texts holds, or (left_anti) those that none holds."""
+    there = "l_lo <= pos AND l_hi >= pos + n AND l_partner_lo <= partner_pos + n AND l_partner_hi >= partner_pos"
+    return places.join(_both(found), F.expr(f"node = l_node AND partner = l_partner AND {there}"), how)
+
+
+def _shared(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """All seeds that two nodes share: the places of each in their order, again from the first where a node has fewer."""
+    one = pairs.join(places, "node").withColumnRenamed("at", "x")
+    both = one.join(places.withColumnsRenamed({"node": "partner", "at": "y"}), ["partner", "key"])
+    nth = F.explode(F.expr("transform(sequence(0, greatest(size(x), size(y)) - 1), i -> struct(x[i % size(x)] AS pos, y[i % size(y)] AS partner_pos))"))
+    return both.select("node", "partner", nth.alias("m")).select("node", "partner", "m.pos", "m.partner_pos")
+
+
+def _compared(keyed: DataFrame, found: DataFrame, places: DataFrame, words_of: Callable[[DataFrame], DataFrame], passages_of: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame | None:
+    """Passages of texts that share a key of many nodes, but have none there with the smallest node: None if there are no such texts.
+
+    What is left of a key's nodes is held against the first SMALL of them, by all seeds that two nodes share; what has no passage
+    with any of these, against 16 times as many, until nothing is left. So any two nodes of a key are held against each
+    other, or have passages at the key with a node in between.
+    """
+    spark = keyed.sparkSession
+    left = written(_held(keyed, found, "left_anti"), "left")
+    pairs = left.select("node", "partner")
+    if pairs.isEmpty():
+        dropped(spark, left)
+        return None
+    nodes = pairs.select(F.explode(F.array("node", "partner")).alias("node")).distinct()
+    at = written(places.join(nodes, "node", "left_semi").groupBy("node", "key").agg(F.array_sort(F.collect_set("pos")).alias("at")), "places")
+    words, made, most = words_of(pairs), [], SMALL
+    rows = left.select("key", "node", "pos", "n").withColumn("nth", F.dense_rank().over(Window.partitionBy("key").orderBy("node")))
+    while True:
+        ranked = written(rows, "ranked")
+        heads = ranked.where(F.col("nth") <= most).selectExpr("key", "node AS partner", "pos AS partner_pos")
+        led = written(ranked.join(heads, "key").where("partner < node").select("key", "node", "partner", "pos", "partner_pos", "n", "nth"), "led")
+        pairs = led.select("node", "partner").unionAll(pairs) if not made else led.select("node", "partner")
+        made.append(written(passages_of(_shared(pairs.distinct(), at), words), "passages"))
+        rest = ranked.where(F.col("nth") > most).join(_held(led.where(F.col("nth") > most), made[-1], "left_semi"), ["key", "node", "pos"], "left_anti")
+        if rest.isEmpty():
+            break
+        rows = rest.drop("nth").withColumn("nth", F.dense_rank().over(Window.partitionBy("key").orderBy("node")))
+        most *= 16
+    dropped(spark, left, at, words)
+    return functools.reduce(DataFrame.unionByName, made)
 
 
 def _runs(stretches: DataFrame, k: int) -> DataFrame:
@@ -551,7 +619,8 @@ def repeated_passages(docs: DataFrame, k: int = 5, w: int = 10, least_words: int
     levels.unpersist()
     of = lambda kind: stars.where(F.col("kind") == kind)
     matches = of(MATCH).select("node", "partner", "pos", "partner_pos").unionAll(_across(of(HUB)).drop("key", "n"))
-    matches = matches.unionAll(_doubles(of(PLACE), max(1, _span(k, w, least_words))))
+    doubles = written(_doubles(of(PLACE), max(1, _span(k, w, least_words))), "doubles")
+    matches = matches.unionAll(doubles.where("n = 0").select("node", "partner", "pos", "partner_pos"))
 
     def words_of(chains: DataFrame) -> DataFrame:
         nodes = chains.select(F.explode(F.array("node", "partner")).alias("node")).distinct()
@@ -565,11 +634,16 @@ def repeated_passages(docs: DataFrame, k: int = 5, w: int = 10, least_words: int
     words = words_of(chains)
     found = written(_aligned(chains, words, k, least_words, percent), "passages")
     dropped(spark, chains, words)
+    aligned = lambda shared, words: _aligned(_chains(shared, k, w, least_words), words, k, least_words, percent)
+    more = _compared(doubles.where("n > 0"), found, of(PLACE).select("key", "node", "pos"), words_of, aligned)
+    if more is not None:
+        again = _both(found).where("l_node > l_partner")
+        found = written(found.unionByName(more.distinct().join(again, F.expr("node = l_node AND partner = l_partner AND l_lo <= lo AND l_hi >= hi"), "left_anti")), "passages")
+    dropped(spark, doubles)
     other = found.groupBy(F.col("partner").alias("node"), F.col("partner_lo").alias("lo"), F.col("partner_hi").alias("hi")).agg(F.min(F.struct("node", "lo", "hi", "n_matched")).alias("o"))
     other = other.select("node", "lo", "hi", F.col("o.node").alias("partner"), F.col("o.lo").alias("partner_lo"), F.col("o.hi").alias("partner_hi"), F.col("o.n_matched").alias("n_matched"))
     passages = found.unionByName(other.select(*found.columns))
-    held = found.selectExpr("node AS l_node", "partner AS l_partner", "lo AS l_lo", "hi AS l_hi").unionAll(found.selectExpr("partner", "node", "partner_lo", "partner_hi"))
-    listed = written(held.distinct(), "listed")
+    listed = written(_both(found).select("l_node", "l_partner", "l_lo", "l_hi").distinct(), "listed")
     # runs that no passage of the chains of the same two texts holds
     free = lambda df, end: df.join(listed, F.expr(f"node = l_node AND partner = l_partner AND l_lo <= {'lo' if end == 'hi' else 'pos'} AND l_hi >= {end}"), "left_anti")
     heads = _across(of(HEAD))

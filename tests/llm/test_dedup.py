@@ -278,6 +278,36 @@ def test_edited_passages_whose_parts_stand_in_other_texts(spark, monkeypatch, ho
     assert {r["doc_id"] for r in got if r["start_word"] <= 60 and r["end_word"] >= 150} == want == {r["doc_id"] for r in got}
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_edited_passages_of_which_every_two_seeds_stand_in_other_texts(spark, monkeypatch, hot):
+    """Any two seeds of the passage stand in several texts of smaller nodes, none of which shares the passage."""
+    rng = random.Random(65)
+    prose = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    node = lambda w: substring_dedup._nodes(*word_hashes(pa.array([" ".join(w)]), substring_dedup.bare), 50)[0]
+    passage = prose(90)
+    edited = [*passage[:29], "e1", *passage[30:59], "e2", *passage[60:]]
+
+    def text(part, ok):
+        while not ok(node(w := prose(20) + part + prose(20))):
+            pass
+        return w
+
+    docs = [text(part, lambda n: n > 1 << 62) for part in (passage, edited)]
+    starts = range(0, 73, 4)
+    for i in starts:
+        for j in starts:
+            for base in (passage, edited) * 2 if i < j else ():
+                keep = {*range(i, i + 18), *range(j, j + 18)}
+                docs.append(text([x if at in keep else prose(1)[0] for at, x in enumerate(base)], lambda n: n < 0))
+    rows = [(k, " ".join(x), "en", "s", 1) for k, x in enumerate(docs)]
+    monkeypatch.setattr(substring_dedup, "SMALL", 1)
+    if hot:
+        monkeypatch.setattr(sketch, "levels", lambda parts: np.full(1 << sketch.COUNT_BITS, 9, np.uint8))
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} == {(0, 1), (1, 0)}
+    assert all(r["start_word"] <= 20 and r["end_word"] >= 110 for r in got)
+
+
 def test_links_between_families_of_a_passage(spark):
     """Two texts with an equal run of 60 words are linked, also if each of them has a longer passage in common with a third."""
     rng = random.Random(55)
