@@ -46,6 +46,18 @@ def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = Fa
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files behind: otherwise they stay until the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _delete(spark: SparkSession, folders: Iterable[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in folders:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest
 
-from . import sketch
-from .common import chunks, columns, dropped, mix64, tidied, written
+from . import common, sketch
+from .common import chunks, columns, dropped, mix64, shuffles_dropped, tidied
 from .shingles import bare, long_hashes, odd_constants, shingle_hashes, sliding, word_hashes
 
 MEMBERS = "doc_id long, node long, n_words int, part int, content binary"
@@ -37,6 +37,12 @@ MARGIN = 32
 SMALL, FAR = 16, 64
 
 
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """As common.written; the shuffles that made the rows go as soon as they are written."""
+    with shuffles_dropped(df.sparkSession):
+        return common.written(df, name, compression)
+
+
 def _nodes(words: np.ndarray, begins: np.ndarray, least: int) -> list[int | None]:
     """The key of each text's word sequence; None for texts of fewer than `least` words."""
     return [xxh3_64_intdigest(words[a:b].tobytes()) - (1 << 63) if b - a >= least else None for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
@@ -454,9 +460,10 @@ def _shared(pairs: DataFrame, places: DataFrame) -> DataFrame:
 def _compared(keyed: DataFrame, found: DataFrame, places: DataFrame, words_of: Callable[[DataFrame], DataFrame], passages_of: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame | None:
     """Passages of texts that share a key of many nodes, but have none there with the smallest node: None if there are no such texts.
 
-    What is left of a key's nodes is held against the first SMALL of them, by all seeds that two nodes share; what has no passage
-    with any of these, against 16 times as many, until nothing is left. So any two nodes of a key are held against each
-    other, or have passages at the key with a node in between.
+    What is left of a key's nodes is held against the first of them and the key's smallest node, by all seeds that two nodes
+    share; places that no passage with these holds, against the next 7, the next 56 and so on, until nothing is left. Nodes whose
+    places are held still serve as partners. So a place that is left has a passage, or its node is held against every other one
+    left at the key. Two nodes are compared once, whatever the number of their keys.
     """
     spark = keyed.sparkSession
     left = written(_held(keyed, found, "left_anti"), "left")
@@ -466,20 +473,25 @@ def _compared(keyed: DataFrame, found: DataFrame, places: DataFrame, words_of: C
         return None
     nodes = pairs.select(F.explode(F.array("node", "partner")).alias("node")).distinct()
     at = written(places.join(nodes, "node", "left_semi").groupBy("node", "key").agg(F.array_sort(F.collect_set("pos")).alias("at")), "places")
-    words, made, most = words_of(pairs), [], SMALL
-    rows = left.select("key", "node", "pos", "n").withColumn("nth", F.dense_rank().over(Window.partitionBy("key").orderBy("node")))
+    words, made, asked, done, most = words_of(pairs), [], [], 0, 1
+    nth = F.dense_rank().over(Window.partitionBy("key").orderBy("node"))
+    rows = left.select("key", "node", "pos", "n", nth.alias("nth"), F.lit(True).alias("open"))
+    ranked = written(rows.withColumn("most", F.max("nth").over(Window.partitionBy("key"))), "ranked")
     while True:
-        ranked = written(rows, "ranked")
-        heads = ranked.where(F.col("nth") <= most).selectExpr("key", "node AS partner", "pos AS partner_pos")
-        led = written(ranked.join(heads, "key").where("partner < node").select("key", "node", "partner", "pos", "partner_pos", "n", "nth"), "led")
-        pairs = led.select("node", "partner").unionAll(pairs) if not made else led.select("node", "partner")
-        made.append(written(passages_of(_shared(pairs.distinct(), at), words), "passages"))
-        rest = ranked.where(F.col("nth") > most).join(_held(led.where(F.col("nth") > most), made[-1], "left_semi"), ["key", "node", "pos"], "left_anti")
-        if rest.isEmpty():
+        heads = ranked.where(F.col("nth").between(done + 1, most)).selectExpr("key", "node AS partner", "pos AS partner_pos", "n AS partner_n", "open AS partner_open")
+        led = ranked.where("open").join(heads, "key").where("partner < node OR partner > node AND NOT partner_open").select("key", "node", "partner", "pos", "partner_pos", "n", "partner_n")
+        led = written(led if done else led.unionByName(left.withColumn("partner_n", F.col("n"))), "led")
+        pairs = led.select(F.greatest("node", "partner").alias("node"), F.least("node", "partner").alias("partner")).distinct()
+        asked.append(written(pairs.join(functools.reduce(DataFrame.unionAll, asked), ["node", "partner"], "left_anti") if asked else pairs, "pairs"))
+        made.append(written(passages_of(_shared(asked[-1], at), words), "passages"))
+        sides = led.drop("partner_n").unionByName(led.selectExpr("key", "partner AS node", "node AS partner", "partner_pos AS pos", "pos AS partner_pos", "partner_n AS n"))
+        held = _held(sides, functools.reduce(DataFrame.unionByName, made), "left_semi").select("key", "node", "pos", F.lit(True).alias("held")).distinct()
+        before, ranked = ranked, written(ranked.join(held, ["key", "node", "pos"], "left").withColumn("open", F.expr("open AND held IS NULL")).drop("held"), "ranked")
+        dropped(spark, before, led)
+        done, most = most, 8 * most
+        if ranked.where(F.col("open") & (F.col("most") > done)).isEmpty():
             break
-        rows = rest.drop("nth").withColumn("nth", F.dense_rank().over(Window.partitionBy("key").orderBy("node")))
-        most *= 16
-    dropped(spark, left, at, words)
+    dropped(spark, left, at, words, ranked, *asked)
     return functools.reduce(DataFrame.unionByName, made)
 
 

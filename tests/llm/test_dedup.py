@@ -308,6 +308,45 @@ def test_edited_passages_of_which_every_two_seeds_stand_in_other_texts(spark, mo
     assert all(r["start_word"] <= 20 and r["end_word"] >= 110 for r in got)
 
 
+def _text_of(rng, part, ok):
+    """The part between 20 words of prose, drawn until the text's node is as wanted."""
+    prose = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    node = lambda w: substring_dedup._nodes(*word_hashes(pa.array([" ".join(w)]), substring_dedup.bare), 50)[0]
+    while not ok(node(w := prose(20) + part + prose(20))):
+        pass
+    return w
+
+
+def test_a_text_is_held_against_texts_that_have_a_passage_already(spark):
+    """All have a line of 30 words. a shares a passage around it with h, and another one with b, whose node comes after 16 others."""
+    rng = random.Random(75)
+    prose = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    a = prose(90)
+    h = [x if i >= 30 or i % 5 else f"e{i}" for i, x in enumerate(a[:60])] + prose(30)
+    b = prose(30) + [x if i < 60 or i % 5 else f"f{i}" for i, x in enumerate(a)][30:]
+    quarter = 1 << 62
+    docs = [_text_of(rng, a, lambda n: n > quarter), _text_of(rng, b, lambda n: n > quarter), _text_of(rng, h, lambda n: -quarter < n < 0)]
+    docs += [_text_of(rng, prose(30) + a[30:60] + prose(30), ok) for ok in [lambda n: n < -quarter] + [lambda n: 0 < n < quarter] * 20]
+    rows = [(k, " ".join(x), "en", "s", 1) for k, x in enumerate(docs)]
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} == {(0, 1), (1, 0), (0, 2), (2, 0)}
+
+
+def test_what_the_smallest_node_lacks_is_compared_with_few(spark):
+    """40 texts share an edited passage, the smallest node only a line of it: each is found, and the rows don't grow with its heads."""
+    rng = random.Random(85)
+    prose = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    passage = prose(75)
+    docs = [_text_of(rng, prose(20) + passage[20:50] + prose(25), lambda n: n < 0)]
+    for k in range(40):
+        edited = [f"e{k}.{i}" if i in (2, 9, 16, 53, 60, 67) else x for i, x in enumerate(passage)]
+        docs.append(_text_of(rng, edited, lambda n: n > 0))
+    rows = [(k, " ".join(x), "en", "s", 1) for k, x in enumerate(docs)]
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    assert {r["doc_id"] for r in got if r["start_word"] <= 30 and r["end_word"] >= 85} == {*range(1, 41)} == {r["doc_id"] for r in got}
+    assert len(got) < 4 * len(rows)
+
+
 def test_links_between_families_of_a_passage(spark):
     """Two texts with an equal run of 60 words are linked, also if each of them has a longer passage in common with a third."""
     rng = random.Random(55)
