@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import bins, blocks as B, codecs as K, coords as C, mathx as M, strings as S
 from helixframe.operators import alignments as A, annotation as AN, genes as G, intervals as I, sets, stats
+from helixframe.types import PSL_BLOCKS
 
 
 def ranges(seed, n, top, longest):
@@ -302,6 +303,46 @@ def test_cds_is_sought_once_a_pair(spark):
     assert [None if r["c"] is None else tuple(r["c"]) for r in c.collect()] == [(105, 145), None]
 
 
+def test_map_cds_equals_all_pairs(spark):
+    """Pairs of few and of many blocks, empty and overlapping ones, against naive Python; plain pairs have no lambda, and their code is small enough to be compiled."""
+    rng = random.Random(5)
+
+    def alignment(k, n, wild):
+        blocks, q, t = [], rng.randrange(50), rng.randrange(200)
+        for _ in range(n):
+            size = rng.choice([0, 3, 10, 40])
+            blocks.append((q, t, size, None, None))
+            q, t = q + size + rng.randrange(20), max(0, t + size + rng.randrange(-30 if wild else 0, 30))
+        return (f"q{k}", "c1", rng.choice(["+", "-", "+-", "--"]), blocks, *sorted(rng.sample(range(300), 2)))
+
+    rows = [alignment(k, rng.choice([1, 2, 5, 11, 12, 13, 20]), k % 5 == 0) for k in range(160)]
+    d = spark.createDataFrame(rows, f"q_name string, t_name string, strand string, blocks {PSL_BLOCKS}, cds_start long, cds_end long")
+
+    def carried(blocks, lo, hi, x, y):
+        hit = [b for b in blocks if max(lo, b[x]) < min(hi, b[x] + b[2])]
+        return (max(lo, hit[0][x]) + hit[0][y] - hit[0][x], min(hi, hit[-1][x] + hit[-1][2]) + hit[-1][y] - hit[-1][x]) if hit else None
+
+    want = []
+    for a, _, s, blocks, lo, hi in rows[:80]:
+        c = carried(blocks, lo, hi, 0, 1)
+        for b, _, r, others, _, _ in rows[80:]:
+            first, end = others[0][1], others[-1][1] + others[-1][2]
+            if c and c[0] < c[1] and first < end and s[1:] == r[1:] and first < c[1] and end > c[0]:
+                want.append((a, b, *c, *(carried(others, *c, 1, 0) or (None, None))))
+    numbered = F.substring("q_name", 2, 9).cast("int")
+    got = A.map_cds(d.where(numbered < 80), d.where(numbered >= 80))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) > 500
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = A.map_cds(d.where(numbered < 80), d.where(numbered >= 80))._jdf.queryExecution()
+        above, joined, _ = plan.executedPlan().toString().partition("Join [")
+        assert joined and "AS cds_end" in above and "lambda" not in above
+        code = plan.debug().codegenToSeq()
+        assert max(code.apply(k)._3().maxMethodCodeSize() for k in range(code.size())) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_feature_tree(spark):
     rows = [("g1", "gene", 10, 90, []), ("t1", "mRNA", 10, 90, ["g1"]), ("t2", "mRNA", 10, 95, ["g1"]), ("e1", "exon", 10, 30, ["t1", "t2"]), ("g0", "gene", 5, 8, [])]
     f = spark.createDataFrame([("c", *r) for r in rows], "seqname string, id string, type string, start long, end long, parents array<string>")
