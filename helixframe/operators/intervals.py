@@ -186,13 +186,13 @@ def flatten(df: DataFrame, stranded: bool = True, prefix: str = "", chrom: str =
 
 
 def number_in_order(df: DataFrame, group: str, order: Sequence[str], name: str, first: int = 1) -> DataFrame:
-    """df with row numbers in the order of (group, *order): numbers within each group, plus the rows of smaller groups.
+    """df with row numbers in the order of (group, *order), nulls of named columns last: numbers within each group, plus the rows of smaller groups.
 
     No task sorts more than one group; the counts, a row per group, are all that is summed in one place.
     """
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(*(F.asc_nulls_last(c) if isinstance(c, str) else c for c in order)))
     counts = df.groupBy(group).agg(F.count("*").alias("__count"))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.asc_nulls_last(group)).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(group).alias("__group"), F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__before"))
     numbered = df.withColumn("__nth", nth).join(starts, F.col(group).eqNullSafe(F.col("__group")))
     return numbered.withColumn(name, F.col("__before") + F.col("__nth") + (first - 1)).drop("__nth", "__before", "__group")

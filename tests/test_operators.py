@@ -419,3 +419,12 @@ def test_overlap_joins_equal_all_pairs(spark, lengths):
     assert sorted(r.id for r in overlap_join(left, right, how="left_semi").collect()) == sorted(hit)
     assert sorted(r.id for r in overlap_join(left, right, how="left_anti").collect()) == sorted({x[3] for x in a} - hit)
     assert sorted(((r.id, r.id_r) for r in overlap_join(left, right, how="left").collect()), key=str) == sorted(want + [(x[3], None) for x in a if x[3] not in hit], key=str)
+
+
+@pytest.mark.parametrize("stranded", [True, False])
+def test_flatten_numbers_null_sequences_last(spark, stranded):
+    rows = [(None, 1, 5, "+"), ("c1", 1, 5, "+"), ("c1", 9, 12, None), ("c1", 9, 12, "+"), ("c2", 0, 0, "-")]
+    d = spark.createDataFrame(rows, "chrom string, start long, end long, strand string")
+    got = {(r["chrom"], r["start"], r["strand"]): r["name"] for r in I.flatten(d, stranded, "loc").collect()}
+    want = {("c1", 1, "+"): "loc1", ("c1", 9, "+"): "loc2", ("c1", 9, None): "loc3", ("c2", 0, "-"): "loc4", (None, 1, "+"): "loc5"}
+    assert got == (want if stranded else {("c1", 1, "+"): "loc1", ("c1", 9, "+"): "loc2", ("c2", 0, "+"): "loc3", (None, 1, "+"): "loc4"})
