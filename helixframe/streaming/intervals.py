@@ -26,7 +26,7 @@ def merge_into(islands: list[tuple[int, int, int]], ranges: list[tuple[int, int]
     """Islands (start, end, n), in order, after they have absorbed ranges, by one sorted sweep; touching ones stay apart."""
     out: list[tuple[int, int, int]] = []
     for start, end, n in sorted([*islands, *((a, b, 1) for a, b in ranges)], key=lambda x: (x[0], -x[1])):
-        if out and start < out[-1][1] and end > out[-1][0]:
+        if out and start < out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2] + n)
         else:
             out.append((start, end, n))

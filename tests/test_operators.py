@@ -428,3 +428,10 @@ def test_flatten_numbers_null_sequences_last(spark, stranded):
     got = {(r["chrom"], r["start"], r["strand"]): r["name"] for r in I.flatten(d, stranded, "loc").collect()}
     want = {("c1", 1, "+"): "loc1", ("c1", 9, "+"): "loc2", ("c1", 9, None): "loc3", ("c2", 0, "-"): "loc4", (None, 1, "+"): "loc5"}
     assert got == (want if stranded else {("c1", 1, "+"): "loc1", ("c1", 9, "+"): "loc2", ("c2", 0, "+"): "loc3", (None, 1, "+"): "loc4"})
+
+
+def test_stream_islands_hold_empty_ranges_at_their_start():
+    from helixframe.streaming.intervals import merge_into
+
+    assert merge_into([], [(5, 5), (5, 9), (9, 9), (20, 20), (20, 20)]) == [(5, 9, 2), (9, 9, 1), (20, 20, 1), (20, 20, 1)]
+    assert merge_into([(5, 5, 1)], [(5, 9)]) == [(5, 9, 2)]
